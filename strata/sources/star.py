@@ -31,6 +31,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+
+
+
+def fact(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A long table, spread over all cores if its files give fewer tasks than that.
+
+    A small table is often one row group, hence one task up to the first
+    shuffle. Large tables have many splits and are read as they are.
+    """
+    df = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def order_lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Order lines with the given columns (all of them by default)."""
     wanted = columns or ORDER_LINE_COLUMNS
@@ -39,7 +53,7 @@ def order_lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
         raise ValueError(f"no such order line columns: {sorted(unknown)}")
     need = set(wanted)
 
-    lines = table(spark, folder, "lineitem").select(
+    lines = fact(spark, folder, "lineitem", "l_orderkey").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("product_id"),
@@ -121,7 +135,7 @@ def readings(spark: SparkSession, folder: str, faulty: bool = False) -> DataFram
     for name, (measure, lost) in measures.items():
         measure = measure.cast("decimal(5,2)")
         cols.append((F.when(~kind.isin(lost), measure) if faulty else measure).alias(name))
-    return table(spark, folder, "events").select(
+    return fact(spark, folder, "events", "event_id").select(
         "event_id", F.col("user_id").alias("station_id"), F.col("ts").alias("reading_ts"), *cols
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from strata.functions import retail
 from strata.functions.bands import exact
 from strata.functions.exprs import mean, money_sum, month_start, number, ratio, whole
+from strata.operators.folding import folded_sums, join_groups, line_sums
 from strata.operators.ranking import previous
 from strata.operators.staging import with_margin_pct, with_net_sales
 
@@ -81,7 +82,11 @@ def sales_per_period(lines: DataFrame, unit: str, amount: str = "sales") -> Data
 
 
 def regional_sales(lines: DataFrame, segments: Sequence[str]) -> DataFrame:
-    """Region × month: reach, totals, averages, lines per segment, best category, delivery."""
+    """Region × month: reach, totals, averages, lines per segment, best category, delivery.
+
+    Folded to (region, month, category) first, distinct counts apart, as in the
+    product table.
+    """
     keys = ("region", "order_year", "order_month")
     dated = with_margin_pct(with_net_sales(lines)).withColumns(
         {
@@ -90,28 +95,28 @@ def regional_sales(lines: DataFrame, segments: Sequence[str]) -> DataFrame:
             "_days": retail.delivery_days(),
         }
     )
-    per_segment = [
-        F.count_if(F.col("segment") == s).alias(f"{s.lower().replace(' ', '_')}_orders") for s in segments
-    ]
-    grouped = dated.groupBy(*keys).agg(
+    per_segment = {f"{s.lower().replace(' ', '_')}_orders": F.count_if(F.col("segment") == s) for s in segments}
+    by_category = dated.groupBy(*keys, "category").agg(
+        *line_sums(),
+        *[c.alias(n) for n, c in per_segment.items()],
+        F.sum("_days").alias("_days"),
+        F.count("_days").alias("_shipped"),
+        F.count_if(F.col("_days").isNull()).alias("_unshipped"),
+    )
+    totals = by_category.groupBy(*keys).agg(
+        *folded_sums("total_quantity", "total_sales"),
+        *[F.sum(n).alias(n) for n in per_segment],
+        ratio(F.sum("_days"), F.sum("_shipped")).alias("avg_delivery_days"),
+        F.sum("_unshipped").alias("unshipped_orders"),
+        F.max(F.struct("_best", "category"))["category"].alias("top_category_by_sales"),
+    )
+    reach = dated.groupBy(*keys).agg(
         F.count_distinct("order_id").alias("total_orders"),
         F.count_distinct("customer_id").alias("unique_customers"),
         F.count_distinct("product_id").alias("unique_products"),
         F.count_distinct("state").alias("unique_states"),
-        money_sum("net_sales").alias("total_sales"),
-        money_sum("profit").alias("total_profit"),
-        F.sum("quantity").alias("total_quantity"),
-        mean("net_sales").alias("avg_order_value"),
-        number(F.avg("profit_margin_pct")).alias("avg_profit_margin"),
-        *per_segment,
-        mean("_days").alias("avg_delivery_days"),
-        F.count_if(F.col("_days").isNull()).alias("unshipped_orders"),
     )
-    # Few rows on both sides: regions × months (× categories).
-    best = dated.groupBy(*keys, "category").agg(F.max("net_sales").alias("_amount"))
-    best = best.groupBy(*keys).agg(F.max(F.struct("_amount", "category")).alias("_best"))
-    best = best.select(*keys, F.col("_best.category").alias("top_category_by_sales"))
-    return grouped.join(best, list(keys), "left")
+    return join_groups(totals, reach, keys)
 
 
 def category_region_month(lines: DataFrame, month_of_year: bool = False) -> DataFrame:

@@ -11,12 +11,15 @@ from pyspark.sql import SparkSession
 #   forceOptimizeSkewedJoin: a join on a hot key is split at run time even when
 #     the next operator wanted to reuse the join's partitioning (one more
 #     exchange is far cheaper than one task holding a third of the rows).
-#   rebalance…: writes go through REBALANCE, which splits hot partitions.
+#   fileCompressionFactor: Parquet columns grow several times when decoded, so a
+#     table counts as small enough to broadcast by its decoded size.
+#   optimizeSkewsInRebalancePartitions: writes go through REBALANCE, which splits hot partitions.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.sources.fileCompressionFactor": "4.0",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 

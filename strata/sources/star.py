@@ -23,7 +23,7 @@ ORDER_LINE_COLUMNS = (
 )
 
 FROM_CUSTOMER = {"customer_name": "c_name", "segment": "c_mktsegment"}
-FROM_GEOGRAPHY = {"state": "n_name", "region": "r_name"}
+FROM_GEOGRAPHY = ("state", "region")
 FROM_PART = {"category": "p_type", "sub_category": "p_brand", "product_name": "p_name"}
 
 
@@ -69,6 +69,8 @@ def order_lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
         lines = lines.join(_order_heads(spark, folder, need), "order_id")
     if need & {"profit", *FROM_PART}:
         lines = lines.join(_products(spark, folder), "product_id")
+    if need & set(FROM_GEOGRAPHY):
+        lines = _with_places(spark, folder, lines)
 
     derived = {
         "discount": (F.col("sales") * F.col("_rate")).cast(MONEY),
@@ -82,29 +84,38 @@ def order_lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def _order_heads(spark: SparkSession, folder: str, need: set[str]) -> DataFrame:
-    heads = table(spark, folder, "orders").select(
+    with_customers = bool(need & {*FROM_CUSTOMER, *FROM_GEOGRAPHY})
+    # Joined with customers, the orders may become the streamed side of the join with lines.
+    orders = fact(spark, folder, "orders", "o_orderkey") if with_customers else table(spark, folder, "orders")
+    heads = orders.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").alias("_ordered_at"),
     )
-    if need & {*FROM_CUSTOMER, *FROM_GEOGRAPHY}:
-        heads = heads.join(customers(spark, folder, geography=bool(need & set(FROM_GEOGRAPHY))), "customer_id")
-    return heads
+    return heads.join(_people(spark, folder), "customer_id") if with_customers else heads
 
 
-def customers(spark: SparkSession, folder: str, geography: bool = True) -> DataFrame:
-    people = table(spark, folder, "customer").select(
+def _people(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_nationkey").alias("_nation"),
         *[F.col(src).alias(name) for name, src in FROM_CUSTOMER.items()],
     )
-    if not geography:
-        return people.drop("_nation")
-    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
-    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("n_nationkey").alias("_nation"), *[F.col(src).alias(name) for name, src in FROM_GEOGRAPHY.items()]
+
+
+def _with_places(spark: SparkSession, folder: str, df: DataFrame) -> DataFrame:
+    """State and region by nation key: two tables of fixed size, broadcast by their measured size."""
+    nation = table(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("_nation"), F.col("n_name").alias("state"), F.col("n_regionkey").alias("_region")
+    )
+    region = table(spark, folder, "region").select(
+        F.col("r_regionkey").alias("_region"), F.col("r_name").alias("region")
     )
-    return people.join(places, "_nation").drop("_nation")
+    return df.join(nation, "_nation").join(region, "_region").drop("_nation", "_region")
+
+
+def customers(spark: SparkSession, folder: str) -> DataFrame:
+    return _with_places(spark, folder, _people(spark, folder))
 
 
 def _products(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,6 +29,8 @@ EXTRACT_FROM = dt.date(2000, 1, 1)
 ONE_DAY = dt.date(2024, 1, 15)
 HALF_TIME = dt.datetime(2024, 1, 16, 12, 0)
 FIRST_DAY, LAST_DAY = dt.date(2024, 1, 1), dt.date(2024, 1, 31)
+LOOKBACK_DAYS = 1460
+ANOMALY_LIMIT = 100_000
 BACKFILL_FROM = dt.date(2024, 1, 9)
 RETAIN_DAYS, RETAIN_AS_OF = 365, dt.date(2001, 8, 1)
 FIRST_LOAD_UNTIL = dt.date(2000, 7, 1)

@@ -81,6 +81,10 @@ def lit(x) -> str:
     return f"{type(x).__name__ == 'datetime' and 'TIMESTAMP' or 'DATE'} '{x}'"
 
 
+def flag(condition: str) -> str:
+    return f"CASE WHEN {condition} THEN 1 ELSE 0 END"
+
+
 def values(xs) -> str:
     return ", ".join(f"'{x}'" for x in xs)
 
@@ -414,6 +418,7 @@ FROM lines JOIN segments USING (customer_id) GROUP BY 1"""
 DELIVERY = f"""COUNT(*) AS orders_count, {mean('days')} AS avg_delivery_days, MIN(days) AS min_delivery_days,
        MAX(days) AS max_delivery_days, ROUND(QUANTILE_CONT(days, 0.5), 6) AS median_delivery_days,
        ROUND(QUANTILE_CONT(days, 0.95), 6) AS p95_delivery_days"""
+Q["average_check_joined"] = Q["average_check"]
 Q["delivery_performance"] = ON_LINES + f"""
 SELECT *, CASE delivery_status WHEN 'Overall' THEN 1 WHEN 'Fast' THEN 2 WHEN 'Standard' THEN 3 ELSE 4 END AS sort_key
 FROM (
@@ -583,10 +588,6 @@ Q["daily_weather_by_station"] = ON_READINGS + f"""
 SELECT CAST(reading_ts AS DATE) AS measurement_date, station_id, {DAILY_COLUMNS} FROM readings GROUP BY 1, 2"""
 
 
-def flag(condition: str) -> str:
-    return f"CASE WHEN {condition} THEN 1 ELSE 0 END"
-
-
 ALERTS_CTE = f"""
 alerts AS (
   SELECT measurement_date, avg_temperature, avg_humidity, avg_wind_speed, total_precipitation,
@@ -615,25 +616,51 @@ Q["linear_comfort_daily"] = ON_DAILY + f"""
 SELECT measurement_date, avg_temperature, avg_humidity, avg_wind_speed, {LINEAR} AS comfort_index FROM daily"""
 
 
-def seasonal(source: str, day: str, value: str) -> str:
+def seasonal(source: str, day: str, value: str, baseline: str | None = None) -> str:
+    baseline = baseline or f"""
+  SELECT s.{day}, s.{value}, mean, sd FROM {source} s JOIN (
+    SELECT DAYOFYEAR({day}) AS doy, AVG(CAST({value} AS DOUBLE)) AS mean, STDDEV_POP(CAST({value} AS DOUBLE)) AS sd
+    FROM {source} GROUP BY 1) ON DAYOFYEAR(s.{day}) = doy"""
     return f"""
-baseline AS (
-  SELECT DAYOFYEAR({day}) AS doy, ROUND(AVG(CAST({value} AS DOUBLE)), 6) AS baseline,
-         ROUND(STDDEV_POP(CAST({value} AS DOUBLE)), 6) AS baseline_stddev
-  FROM {source} GROUP BY 1
-),
+based AS ({baseline}),
 anomalies AS (
-  SELECT {day}, {value}, baseline, baseline_stddev, ROUND(CAST({value} AS DOUBLE) - baseline, 6) AS anomaly,
-         ROUND(z, 6) AS z_score,
-         CASE WHEN ABS(ROUND(z, 6)) > 3 THEN 'Extreme' WHEN ABS(ROUND(z, 6)) > 2 THEN 'Significant'
-              WHEN ABS(ROUND(z, 6)) > 1 THEN 'Moderate' ELSE 'Normal' END AS severity
-  FROM (SELECT *, (CAST({value} AS DOUBLE) - baseline) / NULLIF(baseline_stddev, 0) AS z
-        FROM {source} JOIN baseline ON DAYOFYEAR({day}) = doy)
+  SELECT {day}, {value}, ROUND(mean, 4) AS baseline, ROUND(sd, 4) AS baseline_stddev,
+         ROUND(CAST({value} AS DOUBLE) - mean, 4) AS anomaly, z AS z_score,
+         CASE WHEN ABS(z) > 3 THEN 'Extreme' WHEN ABS(z) > 2 THEN 'Significant'
+              WHEN ABS(z) > 1 THEN 'Moderate' ELSE 'Normal' END AS severity
+  FROM (SELECT *, ROUND((CAST({value} AS DOUBLE) - mean) / NULLIF(sd, 0), 6) AS z FROM based)
 )"""
 
 
 DAY_SALES_CTE = f"""
 day_sales AS (SELECT order_date AS period_start, {money('sales')} AS total_sales FROM lines GROUP BY 1)"""
+Q["anomaly_alerts"] = ctes(LINES, DAY_SALES_CTE, seasonal("day_sales", "period_start", "total_sales")) + f"""
+SELECT *, {flag(f'ABS(anomaly) > {fx.ANOMALY_LIMIT}')} AS significant_anomaly_alert FROM anomalies"""
+
+
+def against(which: str) -> str:
+    """Daily sales against the chosen days of the same day of the year."""
+    return ctes(
+        LINES,
+        DAY_SALES_CTE,
+        seasonal(
+            "day_sales",
+            "period_start",
+            "total_sales",
+            f"""
+  SELECT a.period_start, a.total_sales, AVG(CAST(b.total_sales AS DOUBLE)) AS mean,
+         STDDEV_POP(CAST(b.total_sales AS DOUBLE)) AS sd
+  FROM day_sales a LEFT JOIN day_sales b
+       ON DAYOFYEAR(a.period_start) = DAYOFYEAR(b.period_start) AND {which}
+  GROUP BY 1, 2""",
+        ),
+    ) + "SELECT * FROM anomalies"
+
+
+Q["seasonal_anomaly_lookback"] = against(
+    f"b.period_start >= {lit(fx.RETAIN_AS_OF)} - INTERVAL {fx.LOOKBACK_DAYS} DAY"
+)
+Q["seasonal_anomaly_other_years"] = against("a.period_start <> b.period_start")
 Q["seasonal_anomaly"] = ctes(LINES, DAY_SALES_CTE, seasonal("day_sales", "period_start", "total_sales")) + """
 SELECT * FROM anomalies"""
 TRAILING_CTE = f"""
@@ -661,6 +688,11 @@ deviations AS (
 )"""
 Q["norm_deviation"] = ctes(READINGS, DAILY_CTE, NORMS_CTE) + "SELECT * FROM deviations"
 WET_HOURS = "COUNT(DISTINCT HOUR(reading_ts)) FILTER (precipitation > 0)"
+Q["daily_weather_reaveraged"] = ON_READINGS + f"""
+SELECT measurement_date, ROUND(AVG(avg_temperature), 6) AS avg_temperature, ROUND(AVG(avg_humidity), 6) AS avg_humidity,
+       ROUND(AVG(avg_wind_speed), 6) AS avg_wind_speed, {money('total_precipitation')} AS total_precipitation
+FROM (SELECT CAST(reading_ts AS DATE) AS measurement_date, station_id, {DAILY_COLUMNS} FROM readings GROUP BY 1, 2)
+GROUP BY 1"""
 Q["precip_intensity"] = ON_READINGS + f"""
 SELECT CAST(reading_ts AS DATE) AS measurement_date, {money('precipitation')} AS total_precipitation,
        {WET_HOURS} AS wet_hours, {ratio('SUM(precipitation)', WET_HOURS)} AS precip_intensity

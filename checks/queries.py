@@ -333,10 +333,6 @@ def _customer_metrics(spark, folder):
     return customers.customer_metrics(lines(spark, folder, *CUSTOMER_COLUMNS), fx.CUSTOMER_TIER)
 
 
-def _segments(source):
-    return customers.customer_segments(source, **fx.CUSTOMER_SEGMENT)
-
-
 @query
 def customer_metrics(spark, folder):
     return _customer_metrics(spark, folder)
@@ -446,8 +442,13 @@ def assumed_margin(spark, folder):
 
 @query
 def average_check(spark, folder):
+    return sales.average_check_by_total(lines(spark, folder, "order_id", "customer_id", "sales"), **fx.CUSTOMER_SEGMENT)
+
+
+@query
+def average_check_joined(spark, folder):
     source = lines(spark, folder, "order_id", "customer_id", "sales")
-    return sales.average_check(source, _segments(source))
+    return sales.average_check(source, customers.customer_segments(source, **fx.CUSTOMER_SEGMENT))
 
 
 @query
@@ -467,7 +468,8 @@ def customer_clv_months(spark, folder):
 
 @query
 def customer_segment_share(spark, folder):
-    return customers.segment_share(customers.clv_by_days(_customer_metrics(spark, folder)))
+    metrics_table = staging.settled(_customer_metrics(spark, folder), "customer-metrics")
+    return customers.segment_share(customers.clv_by_days(metrics_table))
 
 
 @query
@@ -593,8 +595,36 @@ def linear_comfort_daily(spark, folder):
 
 @query
 def seasonal_anomaly(spark, folder):
+    return weather.seasonal_anomaly(_daily_sales(spark, folder), "total_sales", "period_start")
+
+
+def _daily_sales(spark, folder):
     daily = sales.sales_per_period(lines(spark, folder, "order_date", "sales"), "day")
-    return weather.seasonal_anomaly(daily.select("period_start", "total_sales"), "total_sales", "period_start")
+    return daily.select("period_start", "total_sales")
+
+
+@query
+def seasonal_anomaly_lookback(spark, folder):
+    return weather.seasonal_anomaly(
+        _daily_sales(spark, folder), "total_sales", "period_start", fx.LOOKBACK_DAYS, fx.RETAIN_AS_OF
+    )
+
+
+@query
+def seasonal_anomaly_other_years(spark, folder):
+    return weather.seasonal_anomaly(_daily_sales(spark, folder), "total_sales", "period_start", leave_out_today=True)
+
+
+@query
+def anomaly_alerts(spark, folder):
+    return weather.anomaly_mart(seasonal_anomaly(spark, folder), fx.ANOMALY_LIMIT)
+
+
+@query
+def daily_weather_reaveraged(spark, folder):
+    by_station = weather.daily_weather(star.readings(spark, folder), ["station_id"])
+    means = ["avg_temperature", "avg_humidity", "avg_wind_speed"]
+    return weather.reaverage(by_station, means, ["total_precipitation"])
 
 
 @query
@@ -701,7 +731,7 @@ def incremental_aggregate(spark, folder):
     table = refresh.Versions(spark, run_dir(spark, "aggregate"))
 
     def totals(rows):
-        return customers.customer_segments(rows, **fx.CUSTOMER_SEGMENT)
+        return customers.customer_segments(rows, **fx.CUSTOMER_SEGMENT, attributes=["order_date"])
 
     first = source.where(F.col("order_date") < F.lit(fx.FIRST_LOAD_UNTIL))
     refresh.incremental_aggregate(first, table, ["customer_id"], "order_date", totals)

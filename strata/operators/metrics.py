@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from strata.functions.bands import COMPARE
 from strata.functions.exprs import ratio
+from strata.operators.enrich import declared
 
 
 class Target(NamedTuple):
@@ -85,8 +86,7 @@ def evaluate_alerts(values: DataFrame, rules: Sequence[Rule] = RULES) -> DataFra
 
 
 def _declared(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    plain = [tuple(float(x) if isinstance(x, int) else x for x in r) for r in rows]
-    return spark.createDataFrame(plain, schema)
+    return declared(spark, [tuple(float(x) if isinstance(x, int) else x for x in r) for r in rows], schema)
 
 
 def card_scalar(df: DataFrame, value: Column, name: str = "value") -> DataFrame:

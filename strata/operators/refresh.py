@@ -135,12 +135,13 @@ def upsert_partitions(
     partition_cols: Sequence[str],
     sort_cols: Sequence[str] = (),
     newest_first: Sequence[str] | None = None,
+    check_moved: bool = True,
 ) -> None:
     """Upsert that rewrites only the partitions the batch touches.
 
     The partition of a key must not change between loads. Unless the partition
-    columns are part of the key, this is checked and :class:`MovedKey` raised;
-    use :func:`incremental_upsert` for keys that move.
+    columns are part of the key, this is checked (a scan of the stored keys,
+    ``check_moved=False`` leaves it out) and :class:`MovedKey` raised; use :func:`incremental_upsert` for keys that move.
     """
     spark = batch.sparkSession
     latest = dedupe(batch, keys, newest_first) if newest_first else batch
@@ -148,7 +149,7 @@ def upsert_partitions(
     if current is None:
         write_partitioned(latest, target, partition_cols, sort_cols)
         return
-    if not set(partition_cols) <= set(keys):
+    if check_moved and not set(partition_cols) <= set(keys):
         _check_partitions_stay(current, latest, keys, partition_cols)
     touched = current.join(latest.select(*partition_cols).distinct(), list(partition_cols), "left_semi")
     replace_partitions(merged(touched, latest, keys), target, partition_cols, sort_cols)
@@ -172,15 +173,16 @@ def incremental_aggregate(
     """Bring an aggregate table up to date: groups with new rows are aggregated anew from all their rows.
 
     Adding only new rows would be wrong for averages, distinct counts and
-    classes. Every stored group carries its greatest mark.
+    classes. ``aggregate`` must carry the greatest mark of each group along.
     """
     current = table.current()
     rows = source
     if current is not None:
         touched = newer_rows(source, current, mark).select(*keys).distinct()
         rows = source.join(touched, list(keys), "left_semi")
-    marks = rows.groupBy(*keys).agg(F.max(mark).alias(mark))
-    groups = aggregate(rows).join(marks, list(keys))
+    groups = aggregate(rows)
+    if mark not in groups.columns:
+        raise ValueError(f"the aggregate does not carry its mark {mark!r}")
     return table.publish(groups if current is None else merged(current, groups, keys))
 
 

@@ -11,7 +11,7 @@ from strata.functions.bands import exact
 from strata.functions.exprs import mean, money_sum, month_start, number, ratio, whole
 from strata.operators.folding import folded_sums, join_groups, line_sums
 from strata.operators.ranking import previous
-from strata.operators.staging import with_margin_pct, with_net_sales
+from strata.operators.staging import settled, with_margin_pct, with_net_sales
 
 
 def calendar(c: str | Column = "order_date") -> dict[str, Column]:
@@ -133,7 +133,11 @@ def category_region_month(lines: DataFrame, month_of_year: bool = False) -> Data
 
 
 def orders_summary(lines: DataFrame, segments: DataFrame) -> DataFrame:
-    """Every line with its customer's segment and the totals of its category, region and month of year."""
+    """Every line with its customer's segment and the totals of its category, region and month of year.
+
+    The group totals are stored first. Few as they are, Spark then sees it and
+    broadcasts them; planned in one go it would shuffle all lines by group.
+    """
     keys = ["category", "region", "order_month"]
     dated = lines.withColumn("order_month", whole(F.month("order_date")))
     groups = dated.groupBy(*keys).agg(
@@ -142,9 +146,8 @@ def orders_summary(lines: DataFrame, segments: DataFrame) -> DataFrame:
         mean("discount").alias("avg_discount"),
         money_sum("profit").alias("total_profit"),
     )
-    return dated.join(segments.select("customer_id", "customer_segment"), "customer_id", "left").join(
-        groups, keys, "left"
-    )
+    with_segment = dated.join(segments.select("customer_id", "customer_segment"), "customer_id", "left")
+    return with_segment.join(settled(groups, "group-totals"), keys, "left")
 
 
 def profit_by_category_region(lines: DataFrame) -> DataFrame:
@@ -167,11 +170,24 @@ def average_check(lines: DataFrame, segments: DataFrame) -> DataFrame:
     Lines are summed per customer before they meet the segments, so a hot
     customer is one row in the join. An order belongs to one customer.
     """
-    per_customer = lines.groupBy("customer_id").agg(
+    joined = _per_customer(lines).join(segments.select("customer_id", "customer_segment"), "customer_id")
+    return _check_by_segment(joined)
+
+
+def average_check_by_total(lines: DataFrame, total_over=10000, count_over=10) -> DataFrame:
+    """:func:`average_check` for segments by total and orders, in one pass over the lines."""
+    segment = retail.customer_segment("_sales", "_orders", total_over, count_over)
+    return _check_by_segment(_per_customer(lines).withColumn("customer_segment", segment))
+
+
+def _per_customer(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("customer_id").agg(
         F.sum("sales").alias("_sales"), F.count("*").alias("_lines"), F.count_distinct("order_id").alias("_orders")
     )
-    joined = per_customer.join(segments.select("customer_id", "customer_segment"), "customer_id")
-    return joined.groupBy("customer_segment").agg(
+
+
+def _check_by_segment(per_customer: DataFrame) -> DataFrame:
+    return per_customer.groupBy("customer_segment").agg(
         money_sum("_sales").alias("total_sales"),
         F.sum("_orders").alias("total_orders"),
         ratio(F.sum("_sales"), F.sum("_orders")).alias("average_check"),

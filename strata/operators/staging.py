@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from strata.functions import retail, weather
+from strata.session import run_dir
 from strata.sources.star import ORDER_LINE_COLUMNS
 
 READING_COLUMNS = ("temperature_2m", "relative_humidity_2m", "wind_speed_10m", "precipitation")
@@ -82,6 +83,18 @@ def as_view(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The frame stored in the shared folder and read back.
+
+    What follows starts from its files: it is computed once, and joins choose
+    between broadcast and shuffle by its real size, not by an estimate.
+    """
+    spark: SparkSession = df.sparkSession
+    path = run_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def as_table(df: DataFrame, target: str) -> DataFrame:
     """A table rebuilt in full."""
     spark: SparkSession = df.sparkSession

@@ -102,40 +102,43 @@ def seasonal_anomaly(
     ``leave_out_today`` compares a day with the other years only. The baseline
     has at most 366 rows.
     """
-    doy = F.dayofyear(day)
-    history = daily
-    if lookback_days is not None:
-        history = daily.where(F.col(day) >= F.date_sub(F.lit(as_of), lookback_days))
     x = F.col(value).cast("double")
-    stats = [F.count(x).alias("_n"), F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_sd")]
-    baseline = history.groupBy(doy.alias("_doy")).agg(*stats)
-    joined = daily.withColumn("_doy", doy).join(F.broadcast(baseline), "_doy", "left")
-    mean_, sd = F.col("_mean"), F.col("_sd")
+    counted = F.lit(True) if lookback_days is None else F.col(day) >= F.date_sub(F.lit(as_of), lookback_days)
+    dated = daily.withColumn("_doy", F.dayofyear(day))
+    past = F.when(counted, x)
     if leave_out_today:
-        # Take the day itself out of n, sum and sum of squares.
-        n, part = F.col("_n"), F.lit(True)
-        if lookback_days is not None:
-            part = F.col(day) >= F.date_sub(F.lit(as_of), lookback_days)
-        m = F.when(part, n - 1).otherwise(n)
-        total = F.when(part, n * mean_ - x).otherwise(n * mean_)
-        squares = n * (sd * sd + mean_ * mean_)
-        squares = F.when(part, squares - x * x).otherwise(squares)
-        mean_ = F.try_divide(total, m.cast("double"))
-        variance = F.try_divide(squares, m.cast("double")) - mean_ * mean_
-        sd = F.sqrt(F.greatest(variance, F.lit(0.0)))
-    scored = joined.withColumns({"_m": number(mean_), "_s": F.round(sd, 6)})
-    z = weather.zscore(x, F.col("_m"), F.col("_s"))
-    return scored.select(
+        joined = dated.withColumns(_other_years(past, W.partitionBy("_doy").orderBy(day)))
+    else:
+        stats = dated.groupBy("_doy").agg(F.avg(past).alias("_mean"), F.stddev_pop(past).alias("_sd"))
+        joined = dated.join(F.broadcast(stats), "_doy", "left")
+    mean_, sd = F.col("_mean"), F.col("_sd")
+    z = weather.zscore(x, mean_, sd)
+    return joined.select(
         day,
         value,
-        F.col("_m").alias("baseline"),
-        F.col("_s").alias("baseline_stddev"),
-        number(x - F.col("_m")).alias("anomaly"),
+        F.round(mean_, 4).alias("baseline"),
+        F.round(sd, 4).alias("baseline_stddev"),
+        F.round(x - mean_, 4).alias("anomaly"),
         number(z).alias("z_score"),
-        weather.severity(F.round(z, 6)).alias("severity"),
+        weather.severity(number(z)).alias("severity"),
     )
 
 
+def _other_years(past: Column, own) -> dict[str, Column]:
+    """Mean and spread of a window's rows but the current one: earlier and later rows, combined.
+
+    A window holds one row per year.
+    """
+    sides = [own.rowsBetween(W.unboundedPreceding, -1), own.rowsBetween(1, W.unboundedFollowing)]
+    n1, n2 = (F.count(past).over(s) for s in sides)
+    m1, m2 = (F.coalesce(F.avg(past).over(s), F.lit(0.0)) for s in sides)
+    s1, s2 = (F.coalesce(F.stddev_pop(past).over(s), F.lit(0.0)) for s in sides)
+    n = (n1 + n2).cast("double")
+    apart = F.try_divide((m1 - m2) * (m1 - m2) * n1 * n2, n)
+    spread = F.try_divide(n1 * s1 * s1 + n2 * s2 * s2 + apart, n)
+    return {"_mean": F.try_divide(n1 * m1 + n2 * m2, n), "_sd": F.sqrt(spread)}
+
+
 def anomaly_mart(anomalies: DataFrame, limit: float = 5) -> DataFrame:
     return anomalies.withColumn("significant_anomaly_alert", alert_flag(F.abs("anomaly"), ">", limit))
 

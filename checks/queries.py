@@ -590,7 +590,7 @@ def hourly_comfort(spark, folder):
 
 @query
 def linear_comfort_daily(spark, folder):
-    return weather.linear_comfort_daily(star.readings(spark, folder))
+    return weather.linear_comfort(weather.daily_weather(star.readings(spark, folder)))
 
 
 @query
@@ -663,16 +663,16 @@ def daily_extremes(spark, folder):
 @query
 def daily_weather_fact(spark, folder):
     readings = star.readings(spark, folder)
-    deviations = weather.norm_deviation(weather.daily_means(readings), star.weekday_norms(readings))
-    return weather.daily_weather_fact(
-        weather.daily_weather(readings), deviations, weather.linear_comfort_daily(readings)
-    )
+    daily = staging.settled(weather.daily_weather(readings), "daily-weather")
+    means = daily.select(weather.DAY, "avg_temperature")
+    deviations = weather.norm_deviation(means, star.weekday_norms(readings))
+    return weather.daily_weather_fact(daily, deviations, weather.linear_comfort(daily))
 
 
 @query
 def weather_summary(spark, folder):
     readings = star.readings(spark, folder)
-    daily = weather.daily_weather(readings)
+    daily = staging.settled(weather.daily_weather(readings), "daily-weather")
     odd = weather.anomaly_mart(weather.seasonal_anomaly(daily.select(weather.DAY, "avg_temperature"), "avg_temperature"))
     hours = weather.hourly_comfort(weather.comfort(readings))
     return weather.weather_summary(weather.daily_alerts(daily, fx.DAILY_LIMITS), odd, hours)

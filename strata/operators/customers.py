@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from strata.functions import retail
 from strata.functions.exprs import mean, money_sum, month_index, month_start, number, ratio, whole
@@ -14,28 +14,26 @@ from strata.operators.staging import with_margin_pct, with_net_sales
 DAYS_PER_YEAR = 365.0
 
 
-def order_totals(lines: DataFrame, *keys: str) -> DataFrame:
-    """Lines summed to (keys, order).
+def latest_by(df: DataFrame, key: str, values: Sequence[str], order: str) -> DataFrame:
+    """``values`` of the row with the greatest ``order`` per key; ties go to the greatest values."""
+    return picked_rows(df, key, [(values, order)])
 
-    The order is the key of the join that built the lines, so this step reuses
-    that partitioning, and each later distinct count of orders is over rows that
-    are already few. It also takes the weight out of a hot customer.
-    """
-    return lines.groupBy("order_id", *keys).agg(
-        F.count("*").alias("n_lines"),
-        *[F.sum(c).alias(c) for c in ("sales", "net_sales", "profit", "quantity") if c in lines.columns],
-    )
 
+def picked_rows(df: DataFrame, key: str, picks: Sequence[tuple[Sequence[str], str]]) -> DataFrame:
+    """:func:`latest_by` for several (values, order) pairs in one pass.
 
-def latest_by(df: DataFrame, key: str, values: Sequence[str], order: Column | str) -> DataFrame:
-    """``values`` of the row with the greatest ``order`` per key; ties go to the greatest values.
-
-    First one row per (key, values) with its greatest order, a hash aggregate on
-    the map side; only those few rows are compared across tasks.
+    First one row per key and values with the greatest orders, an aggregate that
+    hashes on the map side and takes the weight out of a hot key; only what is
+    left is compared as structs.
     """
-    versions = df.groupBy(key, *values).agg(F.max(order).alias("_order"))
-    picked = versions.groupBy(key).agg(F.max(F.struct("_order", *values)).alias("_best"))
-    return picked.select(key, *[F.col("_best").getField(v).alias(v) for v in values])
+    values = [v for names, _ in picks for v in names]
+    versions = df.groupBy(key, *values).agg(*[F.max(o).alias(f"_order{i}") for i, (_, o) in enumerate(picks)])
+    best = versions.groupBy(key).agg(
+        *[F.max(F.struct(f"_order{i}", *names)).alias(f"_best{i}") for i, (names, _) in enumerate(picks)]
+    )
+    return best.select(
+        key, *[F.col(f"_best{i}").getField(v).alias(v) for i, (names, _) in enumerate(picks) for v in names]
+    )
 
 
 def customer_metrics(lines: DataFrame, tier: dict | None = None) -> DataFrame:
@@ -59,26 +57,16 @@ def customer_metrics(lines: DataFrame, tier: dict | None = None) -> DataFrame:
     )
 
 
-def customer_places(lines: DataFrame, places: Sequence[str] = ("region", "state")) -> DataFrame:
-    """Last known place of a customer."""
-    latest = latest_by(lines, "customer_id", places, "order_date")
-    return latest.select("customer_id", *[F.col(p).alias(f"latest_{p}") for p in places])
-
-
-def customer_preferences(lines: DataFrame) -> DataFrame:
-    """Category and sub-category of a customer's biggest line."""
-    best = latest_by(with_net_sales(lines), "customer_id", ("category", "sub_category"), "net_sales")
-    return best.select(
+def customer_latest_attrs(lines: DataFrame) -> DataFrame:
+    """Last known place of a customer, and category and sub-category of the biggest line."""
+    picks = [(("region", "state"), "order_date"), (("category", "sub_category"), "net_sales")]
+    return picked_rows(with_net_sales(lines), "customer_id", picks).select(
         "customer_id",
-        F.col("category").alias("preferred_category"),
-        F.col("sub_category").alias("preferred_sub_category"),
+        *[F.col(c).alias(f"latest_{c}") for c in ("region", "state")],
+        *[F.col(c).alias(f"preferred_{c}") for c in ("category", "sub_category")],
     )
 
 
-def customer_latest_attrs(lines: DataFrame) -> DataFrame:
-    return customer_places(lines).join(customer_preferences(lines), "customer_id")
-
-
 def customer_segments(
     lines: DataFrame, amount="sales", total_over=10000, count_over=10, count_lines=False, attributes: Sequence[str] = ()
 ) -> DataFrame:

@@ -82,15 +82,10 @@ def hourly_comfort(scored: DataFrame, alert_below: float = 30) -> DataFrame:
     )
 
 
-def linear_comfort_daily(readings: DataFrame) -> DataFrame:
+def linear_comfort(daily: DataFrame) -> DataFrame:
     """A simple index on daily means."""
-    means = readings.groupBy(_day()).agg(
-        mean("temperature_2m").alias("avg_temperature"),
-        mean("relative_humidity_2m").alias("avg_humidity"),
-        mean("wind_speed_10m").alias("avg_wind_speed"),
-    )
-    index = weather.linear_comfort("avg_temperature", "avg_humidity", "avg_wind_speed")
-    return means.withColumn("comfort_index", index)
+    means = ("avg_temperature", "avg_humidity", "avg_wind_speed")
+    return daily.select(DAY, *means, weather.linear_comfort(*means).alias("comfort_index"))
 
 
 def seasonal_anomaly(
@@ -99,18 +94,20 @@ def seasonal_anomaly(
     """Each day's value against the mean and spread of its day of the year.
 
     ``lookback_days`` (with ``as_of``) limits the history of the baseline;
-    ``leave_out_today`` compares a day with the other years only. The baseline
-    has at most 366 rows.
+    ``leave_out_today`` compares a day with the other years only. ``daily`` has
+    one row per day, so a window by day of the year holds one row per year, and
+    the daily frame is computed once.
     """
     x = F.col(value).cast("double")
     counted = F.lit(True) if lookback_days is None else F.col(day) >= F.date_sub(F.lit(as_of), lookback_days)
     dated = daily.withColumn("_doy", F.dayofyear(day))
     past = F.when(counted, x)
+    own = W.partitionBy("_doy")
     if leave_out_today:
-        joined = dated.withColumns(_other_years(past, W.partitionBy("_doy").orderBy(day)))
+        stats = _other_years(past, own.orderBy(day))
     else:
-        stats = dated.groupBy("_doy").agg(F.avg(past).alias("_mean"), F.stddev_pop(past).alias("_sd"))
-        joined = dated.join(F.broadcast(stats), "_doy", "left")
+        stats = {"_mean": F.avg(past).over(own), "_sd": F.stddev_pop(past).over(own)}
+    joined = dated.withColumns(stats)
     mean_, sd = F.col("_mean"), F.col("_sd")
     z = weather.zscore(x, mean_, sd)
     return joined.select(

@@ -49,7 +49,7 @@ def weather_models(
                 t["int_daily_weather"].select("measurement_date", "avg_temperature"), t["norms"]
             ),
         ),
-        Model("int_linear_comfort", "core", lambda t: weather.linear_comfort_daily(t["stg_readings"])),
+        Model("int_linear_comfort", "core", lambda t: weather.linear_comfort(t["int_daily_weather"])),
         Model("mart_daily_metrics", "marts", lambda t: weather.daily_alerts(t["int_daily_weather"], limits)),
         Model(
             "mart_anomalies", "marts", lambda t: weather.anomaly_mart(t["int_weather_anomalies"], anomaly_limit)

@@ -11,7 +11,7 @@ its threshold and merges sorted shuffles otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from strata.functions.exprs import MONEY, mean, ratio
 from strata.sources.scans import HOURLY_MEASURES
@@ -152,15 +152,15 @@ def readings(spark: SparkSession, folder: str, faulty: bool = False) -> DataFram
 
 
 def weekday_norms(readings: DataFrame) -> DataFrame:
-    """A norms table by date: the mean temperature of all readings on the same weekday."""
-    day = F.to_date("reading_ts")
-    by_day = readings.groupBy(day.alias("date")).agg(
-        F.sum("temperature_2m").alias("total"), F.count("temperature_2m").alias("n")
-    )
-    by_weekday = by_day.groupBy(F.weekday("date").alias("weekday")).agg(
-        ratio(F.sum("total"), F.sum("n")).alias("climate_norm")
+    """A norms table by date: the mean temperature of all readings on the same weekday.
+
+    The window runs over days, not over readings.
+    """
+    by_day = readings.groupBy(F.to_date("reading_ts").alias("date")).agg(
+        F.sum("temperature_2m").alias("_total"), F.count("temperature_2m").alias("_n")
     )
-    return by_day.select("date", F.weekday("date").alias("weekday")).join(by_weekday, "weekday").drop("weekday")
+    same = W.partitionBy(F.weekday("date"))
+    return by_day.select("date", ratio(F.sum("_total").over(same), F.sum("_n").over(same)).alias("climate_norm"))
 
 
 def hourly_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -728,7 +728,8 @@ Q["incremental_append_inclusive"] = "SELECT o_orderkey, o_custkey, o_orderdate F
 Q["incremental_upsert"] = ON_LINES + f"""
 SELECT {KEY}, order_date,
        CAST(CASE WHEN order_date >= {lit(fx.BATCH_FROM)} THEN quantity + 100 ELSE quantity END AS INT) AS quantity
-FROM lines"""
+FROM lines
+QUALIFY ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY order_date DESC, lines.quantity DESC) = 1"""
 Q["partitioned_upsert"] = Q["incremental_upsert"]
 Q["incremental_aggregate"] = ctes(LINES, SEGMENTS_CTE) + """
 SELECT customer_id, total_spent, order_count, customer_segment, order_date

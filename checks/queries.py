@@ -710,10 +710,10 @@ def _line_loads(spark, folder):
 
 @query
 def incremental_upsert(spark, folder):
-    first, batch = _line_loads(spark, folder)
     table = refresh.Versions(spark, run_dir(spark, "upsert"))
-    refresh.incremental_upsert(first, table, LINE_KEY)
-    return refresh.incremental_upsert(batch, table, LINE_KEY, newest_first=["order_date"])
+    for rows in _line_loads(spark, folder):
+        stored = refresh.incremental_upsert(rows, table, LINE_KEY, ["order_date", "quantity"])
+    return stored
 
 
 @query
@@ -721,7 +721,9 @@ def partitioned_upsert(spark, folder):
     path = run_dir(spark, "upsert-months")
     for rows in _line_loads(spark, folder):
         dated = rows.withColumn("order_month", F.date_format("order_date", "yyyyMM"))
-        refresh.upsert_partitions(dated, path, LINE_KEY, ["order_month"], ["order_date"])
+        refresh.upsert_partitions(
+            dated, path, LINE_KEY, ["order_month"], ["order_date"], newest_first=["order_date", "quantity"]
+        )
     return spark.read.parquet(path).drop("order_month")
 
 

@@ -841,6 +841,26 @@ Q["dq_report"] = (
 )
 
 
+CUSTOMER_CHECKS = missing("customer_id", "total_orders", "total_spent") + [
+    ("total_orders", "accepted_range", "total_orders < 1"),
+    ("total_spent", "accepted_range", "total_spent < 0"),
+    ("customer_tier", "accepted_values", "customer_tier NOT IN ('VIP', 'Frequent', 'High Value')"),
+    ("customer_lifetime_days", "accepted_range", "customer_lifetime_days NOT BETWEEN 0 AND 2200"),
+    ("total_profit", "positive", "total_profit <= 0"),
+]
+DAY_CHECKS = missing("measurement_date", "avg_temperature", "total_precipitation") + [
+    ("avg_humidity", "accepted_range", "avg_humidity NOT BETWEEN 0 AND 100"),
+    ("max_temperature", "accepted_range", "max_temperature > 29.95"),
+    ("measurement_count", "positive", "measurement_count <= 0"),
+]
+Q["dq_marts"] = (
+    ctes(LINES, METRICS_CTE, READINGS, DAILY_CTE)
+    + checked("int_customer_metrics", "metrics", CUSTOMER_CHECKS)
+    + " UNION ALL "
+    + checked("int_daily_weather", "daily", DAY_CHECKS)
+)
+
+
 def repeated(table: str, source: str, keys: str, rule: str = "unique") -> str:
     return (
         f"SELECT '{table}' AS table_name, '{keys}' AS column_name, '{rule}' AS rule, "

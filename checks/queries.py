@@ -881,6 +881,28 @@ def dq_report(spark, folder):
     )
 
 
+@query
+def dq_marts(spark, folder):
+    q = quality
+    customer_checks = [
+        *q.not_null("customer_id", "total_orders", "total_spent"),
+        q.accepted_range("total_orders", low=1),
+        q.accepted_range("total_spent", low=0),
+        q.accepted_values("customer_tier", retail.CUSTOMER_TIERS[:3]),
+        q.accepted_range("customer_lifetime_days", low=0, high=2200),
+        q.positive("total_profit"),
+    ]
+    day_checks = [
+        *q.not_null("measurement_date", "avg_temperature", "total_precipitation"),
+        q.accepted_range("avg_humidity", low=0, high=100),
+        q.accepted_range("max_temperature", high=29.95),
+        q.positive("measurement_count"),
+    ]
+    return q.quality_report(_customer_metrics(spark, folder), "int_customer_metrics", customer_checks).unionByName(
+        q.quality_report(weather.daily_weather(star.readings(spark, folder)), "int_daily_weather", day_checks)
+    )
+
+
 @query
 def dq_unique(spark, folder):
     orders = star.table(spark, folder, "orders")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strata.functions import retail, weather
 from strata.session import run_dir
@@ -68,13 +68,16 @@ def drop_all_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], newest_first: Sequence[str]) -> DataFrame:
-    """The newest row per key.
+    """The newest row per key; rows equal in ``newest_first`` are told apart by their other columns.
 
-    ``row_number() = 1`` makes Spark keep one row per key in every map task
-    before the shuffle, so many copies of one key never meet in one task.
+    An aggregate, not a window: each task keeps one row per key before anything
+    is shuffled, also when a join above was split, so the copies of a hot key
+    never meet in one task. Columns must be comparable (no maps).
     """
-    order = W.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in newest_first])
-    return df.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    order = [c for c in newest_first if c not in keys]
+    others = [c for c in df.columns if c not in keys and c not in order]
+    newest = df.groupBy(*keys).agg(F.max(F.struct(*order, *others)).alias("_newest"))
+    return newest.select(*[c if c in keys else F.col("_newest").getField(c).alias(c) for c in df.columns])
 
 
 def as_view(df: DataFrame, name: str) -> DataFrame:

@@ -27,6 +27,7 @@ TYPE_NAMES = {
     "double": "double",
 }
 
+# Fixed value: tables of a source's latest load end with it.
 TABLE_SUFFIX = "_last_data"
 
 

@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks.oracles import Q
+from checks.queries import REGISTRY
 from checks.compare import connect, differences
 from tests.conftest import rows
 
@@ -14,13 +16,15 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(REGISTRY))
 def test_query_agrees_with_sql(spark, con, name):
     assert differences(entry.queries()[name](spark, SMALL), con, entry.oracle_sql()[name]) == []
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(REGISTRY) == set(Q)
+    assert set(REGISTRY) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_runs(spark):

@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strata.llm import bpe, secrets, viterbi
+from strata.llm import bpe, line_quality, packing, secrets, topk, url_rules, viterbi
 from strata.llm.text import count_kind, spans_digest, spans_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op4_quality_rules(spark, folder):
+    judged = line_quality.judge(table(spark, folder, "documents"))
+    return judged.select("doc_id", *line_quality.COUNTS, "base_failed", "kept", "lost_words")
+
+
 @query
 def op5_byte_bpe(spark, folder):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -38,6 +44,15 @@ def op5_byte_bpe(spark, folder):
     )
 
 
+#: The id that ends a document, and the length of a packed sequence.
+END_ID, SEQUENCE = 2, 1024
+
+
+@query
+def op6_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID, SEQUENCE)
+
+
 @query
 def op7_secret_scan(spark, folder):
     found = secrets.find_secrets(table(spark, folder, "documents"))
@@ -52,3 +67,26 @@ def op7_secret_scan(spark, folder):
 @query
 def op8_token_counts(spark, folder):
     return viterbi.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op9_top_k(spark, folder):
+    vectors = table(spark, folder, "embeddings").where(topk.usable(F.col("embedding")))
+    vectors = vectors.select("vec_id", topk.scaled(F.col("embedding"), 256).alias("vector"))
+    return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
+
+
+#: host, path, verdict
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+@query
+def op10_url_rules(spark, folder):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge_urls(table(spark, folder, "pages"), rules)

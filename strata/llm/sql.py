@@ -1,3 +1,72 @@
 """DuckDB SQL for the rows of the queries that SQL can express; the others are tested against brute force."""
 
+from strata.llm.queries import URL_RULES
+
 Q: dict[str, str] = {}
+
+Q["op4_quality_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d
+), g AS (
+  SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, unnest(range(1, len(ws) - 1)) AS u(i)
+), again AS (
+  SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1
+), repeated AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM again, unnest([0, 1, 2]) AS o(k) GROUP BY r
+), l AS (
+  SELECT r, doc_id, host, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+         trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS normal
+  FROM (SELECT r, doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d)
+), dup AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE n > 0 GROUP BY r
+), own AS (
+  SELECT r, doc_id, host, normal, sum(n) AS n FROM l WHERE n > 0 GROUP BY ALL
+), other AS (
+  SELECT a.r, a.doc_id, a.host, a.normal, a.n, max_by(b.normal, struct_pack(s := len(b.normal), h := b.normal)) AS other
+  FROM own a LEFT JOIN own b ON a.r = b.r AND a.normal <> b.normal GROUP BY ALL
+), frequent AS (
+  SELECT host, normal, min(doc_id) AS first
+  FROM (SELECT host, normal, other, min(doc_id) AS doc_id FROM other GROUP BY ALL) GROUP BY ALL HAVING count(*) > 100
+), lost AS (
+  SELECT r, sum(n) AS n FROM own JOIN frequent USING (host, normal) WHERE doc_id <> first GROUP BY r
+), counts AS (
+  SELECT d.r, doc_id, len(ws)::BIGINT AS n_words,
+         coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words,
+         coalesce(lost.n, 0)::BIGINT AS lost_words
+  FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN repeated USING (r) LEFT JOIN lost USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * (n_words - lost_words) >= 50 * n_words AS kept, lost_words
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+"""
+
+Q["op9_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+Q["op10_url_rules"] = r"""
+WITH rules(r_host, r_path, r_verdict) AS (VALUES %s), u AS (
+  SELECT row_number() OVER () AS r, page_id,
+         coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+)
+SELECT page_id, host, path, r_host || r_path AS rule, coalesce(r_verdict, 'allow') AS verdict
+FROM u LEFT JOIN rules
+  ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(r_host || r_path) DESC, length(r_host) DESC) = 1
+""" % ", ".join(map(repr, URL_RULES))

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 8 << 20
 
 #: The characters of Unicode's White_Space property, as the tokenizers' pattern takes ``\s``.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 #: White space with the run that follows it. The tokenizers' pattern never crosses the end of such a chunk,
 #: hence a text's tokens are its chunks' tokens in order.

@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strata.llm import bpe, line_quality, packing, secrets, topk, url_rules, viterbi
+from strata.llm import bpe, line_quality, packing, pii, secrets, topk, url_rules, viterbi
 from strata.llm.text import count_kind, spans_digest, spans_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_sanitise(spark, folder):
+    found = pii.sanitise(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        *[count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.PATTERNS],
+        spans_digest(F.col("base")).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op4_quality_rules(spark, folder):
     judged = line_quality.judge(table(spark, folder, "documents"))

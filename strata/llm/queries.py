@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strata.llm import bpe, line_quality, packing, pii, secrets, topk, url_rules, viterbi
+from strata.llm import bpe, kneser_ney, line_quality, packing, pii, secrets, topk, url_rules, viterbi
 from strata.llm.text import count_kind, spans_digest, spans_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,21 @@ def op1_sanitise(spark, folder):
     )
 
 
+@query
+def op3_language_model(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = kneser_ney.train(docs.where(~kneser_ney.held_out(F.col("doc_id"))))
+    return kneser_ney.score(docs, model).select(
+        "doc_id",
+        kneser_ney.held_out(F.col("doc_id")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.words.total).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 @query
 def op4_quality_rules(spark, folder):
     judged = line_quality.judge(table(spark, folder, "documents"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strata.llm import bpe, kneser_ney, line_quality, packing, pii, secrets, topk, url_rules, viterbi
+from strata.llm import bpe, kneser_ney, line_quality, ngram_join, packing, pii, secrets, topk, url_rules, viterbi
 from strata.llm.text import count_kind, spans_digest, spans_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def op1_sanitise(spark, folder):
     )
 
 
+@query
+def op2_ngram_join(spark, folder):
+    joined = ngram_join.near_duplicates(table(spark, folder, "documents"))
+    return joined.select("doc_id", "class_id", "copy_id", "n_links")
+
+
 @query
 def op3_language_model(spark, folder):
     docs = table(spark, folder, "documents")

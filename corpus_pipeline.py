@@ -1,16 +1,53 @@
-"""Corpus pipeline over ``documents``: line quality, near-duplicates, secrets, packing."""
+"""Corpus pipeline over ``documents``.
+
+Quality rules reject documents and remove lines that many documents of a source share; of near-duplicates the document
+of the least id stays; secrets are replaced; what is left is tokenized and packed into sequences.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from strata.llm import line_quality, ngram_join, packing, secrets
+from strata.llm.queries import END_ID, SEQUENCE
+from strata.session import run_dir
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_quality.cleaned(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, SEQUENCE)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_scan),
+    ("best-fit packing", pack),
+]
 
-STAGES: list = []
+#: Hashes, entropies and tokenizers are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each over what its predecessor kept."""
+    """The stages in order, each over the stored result of its predecessor."""
+    folder = run_dir(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for place, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if place < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{place}")
+            docs = spark.read.parquet(f"{folder}/{place}")
     return docs

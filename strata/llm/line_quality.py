@@ -17,7 +17,7 @@ from __future__ import annotations
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strata.llm.text import map_columns
+from strata.llm.text import map_columns, map_text
 from strata.session import run_dir
 
 #: Fixed values of the base rules: ASCII white space parts words; the symbols counted.
@@ -153,16 +153,10 @@ def cleaned(
     """The rows of ``df`` that are kept, all columns, their frequent lines removed from the text."""
     verdicts = judge(df, limit, keep_percent, id_col, host_col, text_col).where("kept")
     verdicts = verdicts.groupBy("_key").agg(F.first("removed").alias("_removed"))
-    keyed = df.withColumn("_key", _document(id_col, host_col, text_col)).join(verdicts, "_key").drop("_key")
-    fields = [f for f in df.schema]
-    at = df.columns.index(text_col)
-
-    def run(*columns):
-        columns = list(columns)
-        removed = columns.pop()
-        texts = columns[at]
-        columns[at] = [t if not r or t is None else without_lines(t, set(r)) for t, r in zip(texts, removed)]
-        return {f.name: c for f, c in zip(fields, columns)}
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return map_columns(keyed.select(*[f"`{f.name}`" for f in fields], "_removed"), run, schema)
+    rows = df.select(F.struct("*").alias("_row"), _document(id_col, host_col, text_col).alias("_key"))
+    rows = rows.join(verdicts, "_key").select("_row", "_removed")
+
+    def without(text, removed):
+        return text if text is None or not removed else without_lines(text, set(removed))
+
+    return map_text(rows, df.schema, text_col, without, "_removed")

@@ -296,8 +296,10 @@ def near_duplicates(
     )
 
 
-def one_of_each(df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(
+    df: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """The rows of ``df``, all columns, with one row of every class."""
     kept = near_duplicates(df, threshold, n, recall, id_col, text_col).where("first").select("_key").distinct()
-    keyed = df.withColumn("_key", row_key(id_col, text_col)).join(kept, "_key", "left_semi")
-    return keyed.dropDuplicates(["_key"]).drop("_key")
+    rows = df.select(F.struct("*").alias("_row"), row_key(id_col, text_col).alias("_key"))
+    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")

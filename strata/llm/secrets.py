@@ -14,9 +14,9 @@ from __future__ import annotations
 import re
 from math import log2
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from strata.llm.text import SPANS, map_columns
+from strata.llm.text import SPANS, map_columns, map_text
 
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -144,22 +144,26 @@ def _named(spans):
 
 
 def find_secrets(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str | None = None,
-    classes=CLASSES, window: int = WINDOW, allowed=ALLOWED,
-) -> DataFrame:
-    """``id_col``, ``base`` and ``spans`` (arrays of kind, start, end) of every whole text.
-
-    With ``mark`` also ``text``: the text with each secret replaced, null where it was null.
-    """
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes=CLASSES, window: int = WINDOW, allowed=ALLOWED
+) -> DataFrame:
+    """``id_col``, ``base`` and ``spans`` (arrays of kind, start, end) of every whole text."""
     scanner = Scanner(classes, window, allowed)
 
     def run(ids, texts):
         found = [scanner.spans(t or "") for t in texts]
-        out = {id_col: ids, "base": [_named(b) for b, _ in found], "spans": [_named(s) for _, s in found]}
-        if mark is not None:
-            out["text"] = [t if t is None else redacted(t, s, mark) for t, (_, s) in zip(texts, found)]
-        return out
+        return {id_col: ids, "base": [_named(b) for b, _ in found], "spans": [_named(s) for _, s in found]}
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, base {SPANS}, spans {SPANS}" + (", text string" if mark is not None else "")
-    return map_columns(df.select(id_col, text_col), run, schema)
+    return map_columns(df.select(id_col, text_col), run, f"`{id_col}` {kind}, base {SPANS}, spans {SPANS}")
+
+
+def redact(
+    df: DataFrame, mark: str = "[SECRET]", text_col: str = "text", classes=CLASSES, window: int = WINDOW, allowed=ALLOWED
+) -> DataFrame:
+    """The rows of ``df``, all columns, with every secret in the text replaced by ``mark``; null texts stay null."""
+    scanner = Scanner(classes, window, allowed)
+
+    def clean(text):
+        return text if text is None else redacted(text, scanner.spans(text)[1], mark)
+
+    return map_text(df.select(F.struct("*").alias("_row")), df.schema, text_col, clean)

@@ -20,9 +20,13 @@ WHITE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2
 #: hence a text's tokens are its chunks' tokens in order.
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
+#: The same, with a comma or full stop after a letter or digit in a chunk of its own: the pattern parts there too, and
+#: fewer chunks differ.
+FINE_CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}.,]++(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])(?=[.,])|{CHUNK.pattern}")
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    step = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1)))
+
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    step = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 
@@ -40,6 +44,20 @@ def map_columns(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def map_text(rows: DataFrame, schema: StructType, text_col: str, fn: Callable, *more: str) -> DataFrame:
+    """The structs ``_row`` of ``rows``, of the given schema, as rows whose text is ``fn`` of itself and the columns ``more``."""
+    names = schema.names
+    at = names.index(text_col)
+
+    def run(*columns):
+        own = list(columns[: len(names)])
+        own[at] = [fn(*values) for values in zip(own[at], *columns[len(names) :])]
+        return dict(zip(names, own))
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return map_columns(rows.select(*[F.col("_row")[n].alias(f"c{i}") for i, n in enumerate(names)], *more), run, ddl)
+
+
 SPANS = "array<struct<kind: string, start: bigint, end: bigint>>"
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from functools import lru_cache
@@ -29,14 +30,20 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from strata.llm.text import CHUNK, slices
+from strata.llm.text import FINE_CHUNK, slices
 from strata.session import run_dir
 
-CACHED, CACHED_CHARS = 900_000, 48
+#: Chunks in each of the cache's two generations; longer chunks are never kept. Only speed and memory depend on these.
+CACHED, CACHED_CHARS = 600_000, 48
+#: Bytes of text encoded at a time.
+SLICE = 3 << 19
 
 
 class Encoder(dict):
-    """Ids of chunks seen, as little-endian 32-bit integers; new chunks of a slice are encoded together."""
+    """Ids of chunks seen, as little-endian 32-bit integers; new chunks of a slice are encoded together.
+
+    When the dict is full it becomes the older generation, from which chunks come back as they are met again.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -45,20 +52,37 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [CHUNK.findall(t) for t in texts]
         if len(self) >= CACHED:
+            self.older = dict(self)
             self.clear()
-        new = list({c for own in chunks for c in own if c not in self})
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, found))
-        out = [b"".join(map(self.__getitem__, own)) for own in chunks]
-        for c in new:
-            if len(c) > CACHED_CHARS:
-                del self[c]
+        found, open_places = [], []
+        for text in texts:
+            chunks = FINE_CHUNK.findall(text)
+            ids = list(map(self.get, chunks))
+            found.append(ids)
+            if None in ids:
+                open_places.append((ids, [(i, chunks[i]) for i, own in enumerate(ids) if own is None]))
+        self.learn({c for _, places in open_places for _, c in places})
+        for ids, places in open_places:
+            for i, chunk in places:
+                ids[i] = self[chunk]
+        out = [b"".join(ids) for ids in found]
+        for _, places in open_places:
+            for _, chunk in places:
+                if len(chunk) > CACHED_CHARS:
+                    self.pop(chunk, None)
         return out
 
+    def learn(self, chunks: set[str]) -> None:
+        known = chunks & self.older.keys()
+        self.update((c, self.older[c]) for c in known)
+        new = list(chunks - known)
+        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self.update((c, array("I", e.ids).tobytes()) for c, e in zip(new, found))
+
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
@@ -88,7 +112,7 @@ def token_pieces(
     def run(batches):
         own, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, SLICE):
                 out = []
                 texts = [t or "" for t in rows.column(1).to_pylist()]
                 for key, ids in zip(rows.column(0).to_pylist(), own.encode(texts)):
@@ -180,6 +204,34 @@ def best_fit(left: dict[int, int], size: int) -> list[tuple[list[int], int]]:
     return [g for room in groups.values() for g in room]
 
 
+#: Fractions of a repeat count that are rounded up, if the lengths are there; the one that gives the fewest sequences is
+#: taken. Above 1: none is.
+ROUND_UP = (0.05, 0.3, 0.6, 1.1)
+
+
+def rounded(own: np.ndarray, x: np.ndarray, histogram: dict[int, int], size: int, least: float) -> list[tuple[list[int], int]]:
+    """Whole repeat counts, and what they leave packed best-fit: (lengths of a sequence, number of such sequences)."""
+    left = {length: n for length, n in histogram.items() if n}
+    groups: list[tuple[list[int], int]] = []
+
+    def use(i: int, wanted: int) -> None:
+        lengths = [int(v) for v in own[i] if v]
+        n = min([wanted, *(left.get(v, 0) // lengths.count(v) for v in lengths)])
+        if n > 0:
+            groups.append((lengths, n))
+            for v in lengths:
+                left[v] -= n
+
+    whole = np.flatnonzero(x >= 1)
+    for i in whole[np.argsort(-x[whole], kind="stable")]:
+        use(i, int(x[i]))
+    part = x - np.floor(x)
+    more = np.flatnonzero(part >= least)
+    for i in more[np.argsort(-part[more], kind="stable")]:
+        use(i, 1)
+    return groups + best_fit({length: n for length, n in left.items() if n}, size)
+
+
 def packing_plan(histogram: dict[int, int], size: int, most: int = 3) -> dict[int, np.ndarray]:
     """For every length the ranges of its ranks: columns first rank, first sequence, offset; by first rank.
 
@@ -190,28 +242,9 @@ def packing_plan(histogram: dict[int, int], size: int, most: int = 3) -> dict[in
         counts[length] = n
     own = patterns(size, most)
     own = own[(np.where(own > 0, counts[own], 1) > 0).all(axis=1)]
-    left = {length: n for length, n in histogram.items() if n}
-    groups: list[tuple[list[int], int]] = []
-    if len(own):
-        x = fit(own, counts)
-
-        def use(i: int, wanted: int) -> None:
-            lengths = [int(v) for v in own[i] if v]
-            n = min([wanted, *(left.get(v, 0) // lengths.count(v) for v in lengths)])
-            if n > 0:
-                groups.append((lengths, n))
-                for v in lengths:
-                    left[v] -= n
-
-        for i in np.argsort(-x, kind="stable"):  # whole parts
-            if x[i] < 1:
-                break
-            use(i, int(x[i]))
-        for i in np.argsort(-(x - np.floor(x)), kind="stable"):  # round up where the lengths are there
-            if x[i] - int(x[i]) < 0.05:
-                break
-            use(i, 1)
-    groups += best_fit({length: n for length, n in left.items() if n}, size)
+    x = fit(own, counts) if len(own) else np.zeros(0)
+    tries = [rounded(own, x, histogram, size, least) for least in ROUND_UP]
+    groups = min(tries, key=lambda g: sum(n for _, n in g))
 
     ranges: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     rank: dict[int, int] = defaultdict(int)

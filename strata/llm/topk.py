@@ -156,7 +156,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, slices: int = 2
     c = spark.read.parquet(f"{folder}/c")
     # The stated queries against all rows: each query block is sent to every candidate block, by the blocks' numbers.
     numbers = [r["block"] for r in c.select("block").collect()]
-    spread = lambda df: df.withColumn("block", F.explode(F.lit(numbers).cast("array<bigint>")))
+    # Merged, never broadcast: the spread queries are far larger than what Spark takes them for.
+    spread = lambda df: df.withColumn("block", F.explode(F.lit(numbers).cast("array<bigint>"))).hint("merge")
     pairs = spread(q).join(c, "block")
 
     def meet(batches, work):

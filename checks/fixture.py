@@ -9,6 +9,7 @@ import datetime as dt
 LOAD_TS = dt.datetime(2024, 2, 1, 6, 30)
 RUN_STARTED = dt.datetime(2024, 2, 1, 6, 0)
 RUN_ID = "run-0001"
+NEXT_LOAD_TS, NEXT_RUN_STARTED, NEXT_RUN_ID = dt.datetime(2024, 2, 2, 6, 30), dt.datetime(2024, 2, 2, 6, 0), "run-0002"
 AS_OF = dt.date(2024, 2, 1)
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -36,4 +37,6 @@ RETAIN_DAYS, RETAIN_AS_OF = 365, dt.date(2001, 8, 1)
 FIRST_LOAD_UNTIL = dt.date(2000, 7, 1)
 BATCH_FROM = dt.date(2000, 1, 1)
 REFRESH_YEAR = 1999
+EXPIRE_DAYS, EXPIRE_AS_OF = 10, dt.date(2024, 1, 20)
+SALES_THRESHOLD = 50_000
 KNOWN_BEFORE = dt.date(1995, 7, 1)

@@ -85,6 +85,19 @@ def flag(condition: str) -> str:
     return f"CASE WHEN {condition} THEN 1 ELSE 0 END"
 
 
+def of_run(condition: str) -> str:
+    """Greatest load metadata of a group whose rows for which ``condition`` holds came with the second run."""
+    marks = {
+        "loaded_at": (lit(fx.NEXT_LOAD_TS), lit(fx.LOAD_TS)),
+        "run_started_at": (lit(fx.NEXT_RUN_STARTED), lit(fx.RUN_STARTED)),
+        "run_id": (f"'{fx.NEXT_RUN_ID}'", f"'{fx.RUN_ID}'"),
+    }
+    return ", ".join(f"MAX(CASE WHEN {condition} THEN {b} ELSE {a} END) AS {c}" for c, (b, a) in marks.items())
+
+
+RUN_MARKS = of_run(f"order_date >= {lit(fx.FIRST_LOAD_UNTIL)}")
+
+
 def values(xs) -> str:
     return ", ".join(f"'{x}'" for x in xs)
 
@@ -123,6 +136,15 @@ Q["load_all_counts"] = " UNION ALL ".join(
 Q["full_refresh"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM orders"
 Q["replace_day_idempotent"] = ON_READINGS + "SELECT *, CAST(reading_ts AS DATE) AS load_day FROM readings"
 Q["append_load"] = ON_READINGS + "SELECT * FROM readings"
+Q["replace_day_emptied"] = ON_READINGS + f"""
+SELECT event_id, reading_ts, temperature_2m, CAST(reading_ts AS DATE) AS load_day FROM readings
+WHERE CAST(reading_ts AS DATE) <> {lit(fx.ONE_DAY)}"""
+Q["backfill_gap"] = ON_READINGS + f"""
+SELECT event_id, reading_ts, temperature_2m, CAST(reading_ts AS DATE) AS load_day FROM readings
+WHERE CAST(reading_ts AS DATE) NOT BETWEEN {lit(fx.BACKFILL_FROM)} AND {lit(fx.BACKFILL_FROM)} + 2"""
+Q["expire_partitions"] = ON_READINGS + f"""
+SELECT event_id, reading_ts, CAST(reading_ts AS DATE) AS load_day FROM readings
+WHERE CAST(reading_ts AS DATE) > {lit(fx.EXPIRE_AS_OF)} - {fx.EXPIRE_DAYS}"""
 Q["retention_filter"] = ON_LINES + f"""
 SELECT {KEY}, order_date, sales FROM lines
 WHERE order_date + INTERVAL {fx.RETAIN_DAYS} DAY > {lit(fx.RETAIN_AS_OF)}"""
@@ -307,7 +329,7 @@ metrics AS (
          {mean('net_sales')} AS avg_order_value, {money('profit')} AS total_profit,
          {big('SUM(quantity)')} AS total_quantity,
          MIN(order_date) AS first_order_date, MAX(order_date) AS last_order_date,
-         ROUND(AVG(margin_pct), 6) AS avg_profit_margin,
+         ROUND(AVG(margin_pct), 6) AS avg_profit_margin, {RUN_MARKS},
          CAST(MAX(order_date) - MIN(order_date) AS BIGINT) AS customer_lifetime_days,
          CASE WHEN SUM(net_sales) >= {vip_total} AND COUNT(DISTINCT order_id) >= {vip_orders} THEN 'VIP'
               WHEN COUNT(DISTINCT order_id) >= {fx.CUSTOMER_TIER['frequent']} THEN 'Frequent'
@@ -317,12 +339,14 @@ metrics AS (
 )"""
 ON_METRICS = ctes(LINES, METRICS_CTE)
 Q["customer_metrics"] = ON_METRICS + "SELECT * FROM metrics"
-Q["customer_latest_attrs"] = ON_LINES + """
+LATEST_ATTRS = """
 SELECT customer_id, ARG_MAX(region, (order_date, region, state)) AS latest_region,
        ARG_MAX(state, (order_date, region, state)) AS latest_state,
        ARG_MAX(category, (net_sales, category, sub_category)) AS preferred_category,
        ARG_MAX(sub_category, (net_sales, category, sub_category)) AS preferred_sub_category
 FROM priced GROUP BY customer_id"""
+Q["customer_latest_attrs"] = ON_LINES + LATEST_ATTRS
+Q["customer_table"] = ON_METRICS + f"SELECT * FROM metrics LEFT JOIN ({LATEST_ATTRS}) USING (customer_id)"
 Q["customer_tier_counts"] = ON_METRICS + "SELECT customer_tier, COUNT(*) AS customer_count FROM metrics GROUP BY 1"
 Q["customer_segments"] = ctes(LINES, SEGMENTS_CTE) + "SELECT * FROM segments"
 Q["customer_segments_by_lines"] = ctes(LINES, LINE_SEGMENTS_CTE) + "SELECT * FROM line_segments"
@@ -346,7 +370,7 @@ performance AS (
            {big('SUM(quantity)')} AS total_quantity_sold, {money('net_sales')} AS total_revenue,
            {money('profit')} AS total_profit, {mean('net_sales')} AS avg_order_value,
            ROUND(AVG(margin_pct), 6) AS avg_profit_margin,
-           MIN(order_date) AS first_sale_date, MAX(order_date) AS last_sale_date,
+           {RUN_MARKS}, MIN(order_date) AS first_sale_date, MAX(order_date) AS last_sale_date,
            ARG_MAX(region, (net_sales, region)) AS top_region_by_sales
     FROM priced GROUP BY product_id, product_name, category, sub_category)
 )"""
@@ -360,7 +384,7 @@ SELECT region, YEAR(order_date) AS order_year, MONTH(order_date) AS order_month,
        COUNT(DISTINCT product_id) AS unique_products, COUNT(DISTINCT state) AS unique_states,
        {money('net_sales')} AS total_sales, {money('profit')} AS total_profit, {big('SUM(quantity)')} AS total_quantity,
        {mean('net_sales')} AS avg_order_value, ROUND(AVG(margin_pct), 6) AS avg_profit_margin, {PER_SEGMENT},
-       {mean('days')} AS avg_delivery_days, COUNT(*) FILTER (days IS NULL) AS unshipped_orders,
+       {mean('days')} AS avg_delivery_days, COUNT(*) FILTER (days IS NULL) AS unshipped_orders, {RUN_MARKS},
        ARG_MAX(category, (net_sales, category)) AS top_category_by_sales
 FROM priced GROUP BY 1, 2, 3"""
 Q["avg_delivery_days"] = ON_LINES + f"""
@@ -672,6 +696,17 @@ trailing_days AS (
         FROM daily)
 )"""
 Q["trailing_baseline"] = ctes(READINGS, DAILY_CTE, TRAILING_CTE) + "SELECT * FROM trailing_days"
+Q["trailing_sales"] = ctes(LINES, DAY_SALES_CTE) + f"""
+SELECT *, CASE WHEN total_sales - historical_avg > {fx.SALES_THRESHOLD} THEN 1 ELSE 0 END AS is_anomaly
+FROM (SELECT period_start AS measurement_date, total_sales,
+             ROUND(AVG(CAST(total_sales AS DOUBLE)) OVER (ORDER BY period_start
+                   RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), 6) AS historical_avg
+      FROM day_sales)"""
+Q["sales_day_summary"] = ctes(LINES, DAY_SALES_CTE, seasonal("day_sales", "period_start", "total_sales")) + f"""
+SELECT period_start AS measurement_date, total_sales, anomaly AS temperature_anomaly, severity,
+       {flag(f'ABS(anomaly) > {fx.ANOMALY_LIMIT}')} AS significant_anomaly_alert,
+       CAST(NULL AS INTEGER) AS daily_low_comfort_alert
+FROM anomalies"""
 Q["hot_day_count"] = ctes(READINGS, DAILY_CTE, TRAILING_CTE) + f"""
 SELECT CAST(date_trunc('month', measurement_date) AS DATE) AS month_start, {big('SUM(is_anomaly)')} AS hot_days,
        COUNT(*) AS days
@@ -731,9 +766,19 @@ SELECT {KEY}, order_date,
 FROM lines
 QUALIFY ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY order_date DESC, lines.quantity DESC) = 1"""
 Q["partitioned_upsert"] = Q["incremental_upsert"]
-Q["incremental_aggregate"] = ctes(LINES, SEGMENTS_CTE) + """
-SELECT customer_id, total_spent, order_count, customer_segment, order_date
-FROM segments JOIN (SELECT customer_id, MAX(order_date) AS order_date FROM lines GROUP BY 1) USING (customer_id)"""
+Q["upsert_out_of_order"] = Q["incremental_upsert"]
+
+
+def segments_loaded(late: str) -> str:
+    mark = f"MAX(CASE WHEN {late} THEN {lit(fx.NEXT_LOAD_TS)} ELSE {lit(fx.LOAD_TS)} END) AS loaded_at"
+    return ctes(LINES, SEGMENTS_CTE) + f"""
+SELECT customer_id, total_spent, order_count, customer_segment, loaded_at
+FROM segments JOIN (SELECT customer_id, {mark} FROM lines GROUP BY 1) USING (customer_id)"""
+
+
+Q["incremental_aggregate"] = segments_loaded(f"order_date >= {lit(fx.FIRST_LOAD_UNTIL)}")
+Q["incremental_same_day"] = segments_loaded("order_id % 3 = 0")
+Q["incremental_late_rows"] = segments_loaded(f"order_date < {lit(fx.KNOWN_BEFORE)} OR customer_id % 5 = 0")
 Q["partition_refresh"] = ON_LINES + f"""
 SELECT region, YEAR(order_date) AS order_year, {money('sales')} AS total_sales, COUNT(*) AS line_count,
        CASE WHEN YEAR(order_date) = {fx.REFRESH_YEAR} THEN 2 ELSE 1 END AS load_no
@@ -756,6 +801,19 @@ RETAIL_MODELS = [
     ("int_customer_segments", "segments", "total_spent"),
     ("int_product_performance", "performance", "total_revenue"),
     ("int_regional_sales", "(SELECT region, month_start, SUM(net_sales) AS x FROM priced GROUP BY 1, 2)", "x"),
+    (
+        "int_geo_customers",
+        "(SELECT ARG_MAX(COALESCE(latitude, 0), (order_date, customer_name, region, state)) AS x FROM lines LEFT JOIN "
+        f"(VALUES {', '.join(f"('{k}', {lat})" for k, (lat, _) in fx.COORDINATES.items())}) AS places(region, latitude) "
+        "USING (region) GROUP BY customer_id)",
+        "x",
+    ),
+    ("int_group_totals", "(SELECT category, region, MONTH(order_date) AS m, SUM(sales) AS x FROM lines GROUP BY 1, 2, 3)", "x"),
+    (
+        "mart_orders_summary",
+        "(SELECT SUM(sales) OVER (PARTITION BY category, region, MONTH(order_date)) AS x FROM lines)",
+        "x",
+    ),
     (
         "int_category_region_month",
         "(SELECT category, region, month_start, SUM(sales) AS x FROM priced GROUP BY 1, 2, 3)",
@@ -785,12 +843,17 @@ RETAIL_CTES = (
     f"\nrankings AS ({TWO_RANKINGS})", ACTIVE_CTE, CLV_MONTHS_CTE,
 )
 Q["layers_retail"] = ctes(*RETAIL_CTES) + "\nUNION ALL ".join(model_rows(*m) for m in RETAIL_MODELS)
+Q["layers_retail_incremental"] = ctes(*RETAIL_CTES) + "\nUNION ALL ".join(
+    model_rows(*m).replace(" FROM", ", CAST(0 AS BIGINT) AS differing_rows FROM", 1) for m in RETAIL_MODELS[1:]
+)
 WEATHER_MODELS = [
     ("stg_readings", "readings", "precipitation"),
     ("stg_weather_metrics", "readings", "precipitation"),
     ("int_daily_weather", "daily", "total_precipitation"),
     ("int_comfort_index", "comfort", "temperature_2m"),
     ("int_weather_anomalies", "anomalies", "anomaly"),
+    ("int_norm_deviation", "deviations", "temperature_anomaly"),
+    ("int_linear_comfort", f"(SELECT {LINEAR} AS x FROM daily)", "x"),
     ("mart_daily_metrics", "alerts", "total_precipitation"),
     ("mart_anomalies", f"(SELECT {flag(f'ABS(anomaly) > {fx.TRAILING_THRESHOLD}')} AS x FROM anomalies)", "x"),
     ("mart_comfort", "hours", "low_comfort_alert"),
@@ -798,7 +861,12 @@ WEATHER_MODELS = [
     ("mart_daily_fact", "daily", "total_precipitation"),
     ("mart_summary", "alerts", "total_precipitation"),
 ]
-Q["layers_weather"] = ctes(*WEATHER_CTES, TRAILING_CTE) + "\nUNION ALL ".join(model_rows(*m) for m in WEATHER_MODELS)
+Q["layers_weather"] = ctes(*WEATHER_CTES, TRAILING_CTE, NORMS_CTE) + "\nUNION ALL ".join(
+    model_rows(*m) for m in WEATHER_MODELS
+)
+Q["layers_weather_incremental"] = ctes(*WEATHER_CTES, TRAILING_CTE, NORMS_CTE) + "\nUNION ALL ".join(
+    model_rows(*m).replace(" FROM", ", CAST(0 AS BIGINT) AS differing_rows FROM", 1) for m in WEATHER_MODELS
+)
 Q["top_products_snapshot"] = ctes(LINES, PRODUCT_SALES_CTE, f"\nrankings AS ({TWO_RANKINGS})") + f"""
 SELECT rankings.*, analysis_date FROM rankings
 CROSS JOIN (VALUES ({lit(fx.AS_OF)}), (CAST({lit(fx.AS_OF)} + INTERVAL 1 DAY AS DATE))) AS days(analysis_date)"""
@@ -876,6 +944,24 @@ Q["dq_unique"] = ON_METRICS + " UNION ALL ".join(
         repeated("int_customer_metrics", "metrics", "customer_id"),
     ]
 )
+
+
+def without_parent(child: str, key: str, parent: str, parent_key: str) -> str:
+    return (
+        f"SELECT '{child}' AS table_name, '{key}' AS column_name, 'in {parent}' AS rule, "
+        f"COUNT(*) FILTER ({key} IS NULL OR {key} NOT IN (SELECT {parent_key} FROM {parent})) AS failed_rows, "
+        f"COUNT(*) AS total_rows FROM {child}"
+    )
+
+
+Q["dq_orphans"] = " UNION ALL ".join(
+    without_parent(*x)
+    for x in (
+        ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+        ("lineitem", "l_partkey", "part", "p_partkey"),
+        ("orders", "o_custkey", "customer", "c_custkey"),
+    )
+)
 Q["dq_unique_combo"] = ON_LINES + " UNION ALL ".join(
     repeated("order_lines", "lines", keys, "unique_combination")
     for keys in ("order_id, product_id", "order_id, line_no", KEY)
@@ -973,3 +1059,4 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY station_id ORDER BY reading_ts DESC, eve
 Q["stream_daily_weather"] = ON_DAILY + """
 SELECT measurement_date, avg_temperature, min_temperature, max_temperature, total_precipitation, measurement_count
 FROM daily"""
+Q["stream_upsert_out_of_order"] = Q["stream_upsert"]

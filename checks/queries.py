@@ -20,6 +20,7 @@ from strata.plans.retail import retail_models
 from strata.plans.weather import weather_models
 from strata.session import prepare, run_dir
 from strata.sources import scans, schema, sinks, star
+from strata.sources.tables import read_table
 from strata.streaming import loads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +45,18 @@ def ntz(ts: dt.datetime):
     return F.lit(ts).cast("timestamp_ntz")
 
 
+def loaded(df: DataFrame, late=None) -> DataFrame:
+    """Lines with the metadata of the run that loaded them: the second one for ``late`` rows, by default late orders."""
+    late = F.coalesce(F.col("order_date") >= F.lit(fx.FIRST_LOAD_UNTIL) if late is None else late, F.lit(False))
+    return df.withColumns(
+        {
+            "loaded_at": F.when(late, ntz(fx.NEXT_LOAD_TS)).otherwise(ntz(fx.LOAD_TS)),
+            "run_started_at": F.when(late, ntz(fx.NEXT_RUN_STARTED)).otherwise(ntz(fx.RUN_STARTED)),
+            "run_id": F.when(late, fx.NEXT_RUN_ID).otherwise(fx.RUN_ID),
+        }
+    )
+
+
 # --- sources and sinks ------------------------------------------------------------------
 
 
@@ -132,11 +145,38 @@ def full_refresh(spark, folder):
 def replace_day_idempotent(spark, folder):
     path = run_dir(spark, "days")
     readings = star.readings(spark, folder)
-    sinks.replace_day(readings, path, "reading_ts")
-    again = scans.extract_day(readings, "reading_ts", fx.ONE_DAY)
+    sinks.load_days(readings, path, "reading_ts")
     for _ in range(2):
-        sinks.replace_day(again, path, "reading_ts")
-    return spark.read.parquet(path)
+        sinks.replace_day(readings, path, "reading_ts", fx.ONE_DAY)
+    return read_table(spark, path)
+
+
+@query
+def replace_day_emptied(spark, folder):
+    path = run_dir(spark, "emptied")
+    readings = star.readings(spark, folder).select("event_id", "reading_ts", "temperature_2m")
+    sinks.load_days(readings, path, "reading_ts")
+    source = readings.where(~scans.in_days("reading_ts", fx.ONE_DAY))
+    sinks.replace_day(source, path, "reading_ts", fx.ONE_DAY)
+    return read_table(spark, path)
+
+
+@query
+def backfill_gap(spark, folder):
+    path = run_dir(spark, "gap")
+    readings = star.readings(spark, folder).select("event_id", "reading_ts", "temperature_2m")
+    sinks.load_days(readings, path, "reading_ts")
+    source = readings.where(~scans.in_days("reading_ts", fx.BACKFILL_FROM, 3))
+    sinks.backfill(source, path, "reading_ts", fx.BACKFILL_FROM, fx.LAST_DAY)
+    return read_table(spark, path)
+
+
+@query
+def expire_partitions(spark, folder):
+    path = run_dir(spark, "expiry")
+    sinks.load_days(star.readings(spark, folder).select("event_id", "reading_ts"), path, "reading_ts")
+    sinks.expire_partitions(spark, path, "load_day", fx.EXPIRE_DAYS, fx.EXPIRE_AS_OF)
+    return read_table(spark, path)
 
 
 @query
@@ -160,9 +200,9 @@ def retention_filter(spark, folder):
 def backfill_range(spark, folder):
     path = run_dir(spark, "backfill")
     readings = star.readings(spark, folder).select("event_id", "reading_ts", "temperature_2m")
-    sinks.replace_day(readings.where(F.col("reading_ts") < ntz(fx.HALF_TIME)), path, "reading_ts")
+    sinks.load_days(readings.where(F.col("reading_ts") < ntz(fx.HALF_TIME)), path, "reading_ts")
     sinks.backfill(readings, path, "reading_ts", fx.BACKFILL_FROM, fx.LAST_DAY)
-    return spark.read.parquet(path)
+    return read_table(spark, path)
 
 
 @query
@@ -171,7 +211,7 @@ def partitioned_write(spark, folder):
     source = lines(spark, folder, "region", "order_date", "customer_id", "sales")
     source = source.withColumn("month", F.date_format("order_date", "yyyyMM"))
     sinks.write_partitioned(source, path, ["month", "region"], ["order_date", "customer_id"])
-    back = spark.read.parquet(path)
+    back = read_table(spark, path)
     return back.groupBy(whole("month").alias("month"), "region").agg(
         F.count("*").alias("line_count"), money_sum("sales").alias("total_sales")
     )
@@ -335,7 +375,13 @@ def _customer_metrics(spark, folder):
 
 @query
 def customer_metrics(spark, folder):
-    return _customer_metrics(spark, folder)
+    return customers.customer_metrics(loaded(lines(spark, folder, *CUSTOMER_COLUMNS)), fx.CUSTOMER_TIER)
+
+
+@query
+def customer_table(spark, folder):
+    source = lines(spark, folder, *CUSTOMER_COLUMNS, "region", "state", "category", "sub_category")
+    return customers.customer_table(staging.settled(loaded(source), "lines"), fx.CUSTOMER_TIER)
 
 
 @query
@@ -372,7 +418,8 @@ PERFORMANCE_COLUMNS = (
 
 @query
 def product_performance(spark, folder):
-    return products.product_performance(lines(spark, folder, *PERFORMANCE_COLUMNS), fx.PRODUCT_TIER, fx.VOLUME_STEPS)
+    source = staging.settled(loaded(lines(spark, folder, *PERFORMANCE_COLUMNS)), "lines")
+    return products.product_performance(source, fx.PRODUCT_TIER, fx.VOLUME_STEPS)
 
 
 @query
@@ -388,7 +435,7 @@ def regional_sales(spark, folder):
         spark, folder, "order_id", "customer_id", "product_id", "region", "state", "category", "segment",
         "order_date", "ship_date", "sales", "discount", "profit", "quantity",
     )
-    return sales.regional_sales(source, fx.SEGMENTS)
+    return sales.regional_sales(staging.settled(loaded(source), "lines"), fx.SEGMENTS)
 
 
 @query
@@ -523,8 +570,9 @@ def orders_summary(spark, folder):
         spark, folder, *LINE_KEY, "customer_id", "category", "region", "order_date", "sales", "quantity", "discount",
         "profit",
     )
+    source = staging.settled(source, "lines")
     segments = customers.customer_segments(source, **fx.LINE_SEGMENT, count_lines=True)
-    return sales.orders_summary(source, segments)
+    return sales.orders_summary(source, segments, staging.settled(sales.group_totals(source), "totals"))
 
 
 @query
@@ -634,6 +682,34 @@ def trailing_baseline(spark, folder):
     )
 
 
+@query
+def trailing_sales(spark, folder):
+    """The trailing baseline over years of daily sales: days leave the frame again."""
+    daily = _daily_sales(spark, folder).withColumnRenamed("period_start", weather.DAY)
+    return weather.trailing_baseline(daily, "total_sales", threshold=fx.SALES_THRESHOLD)
+
+
+@query
+def sales_day_summary(spark, folder):
+    """The joined day summary over years of daily sales in the place of temperatures: anomalies differ from zero."""
+    amounts = _daily_sales(spark, folder)
+    daily = amounts.select(
+        F.col("period_start").alias(weather.DAY),
+        F.col("total_sales").alias("avg_temperature"),
+        *[F.lit(0).cast("decimal(22,2)").alias(c) for c in ("avg_humidity", "avg_wind_speed", "total_precipitation")],
+    )
+    daily = staging.settled(daily, "daily-sales")
+    odd = weather.anomaly_mart(
+        weather.seasonal_anomaly(daily.select(weather.DAY, "avg_temperature"), "avg_temperature"), fx.ANOMALY_LIMIT
+    )
+    hours = weather.hourly_comfort(weather.comfort(star.readings(spark, folder)))
+    summary = weather.weather_summary(weather.daily_alerts(daily, fx.DAILY_LIMITS), odd, hours)
+    return summary.select(
+        weather.DAY, F.col("avg_temperature").alias("total_sales"), "temperature_anomaly", "severity",
+        "significant_anomaly_alert", "daily_low_comfort_alert",
+    )
+
+
 @query
 def hot_day_count(spark, folder):
     return weather.hot_day_count(trailing_baseline(spark, folder))
@@ -710,9 +786,18 @@ def _line_loads(spark, folder):
 
 @query
 def incremental_upsert(spark, folder):
-    table = refresh.Versions(spark, run_dir(spark, "upsert"))
+    table = refresh.Buckets(spark, run_dir(spark, "upsert"), LINE_KEY, 8)
     for rows in _line_loads(spark, folder):
-        stored = refresh.incremental_upsert(rows, table, LINE_KEY, ["order_date", "quantity"])
+        stored = refresh.incremental_upsert(rows, table, ["order_date", "quantity"])
+    return stored
+
+
+@query
+def upsert_out_of_order(spark, folder):
+    table = refresh.Buckets(spark, run_dir(spark, "upsert-order"), LINE_KEY, 8)
+    first, batch = _line_loads(spark, folder)
+    for rows in (batch, first, batch):
+        stored = refresh.incremental_upsert(rows, table, ["order_date", "quantity"])
     return stored
 
 
@@ -724,20 +809,39 @@ def partitioned_upsert(spark, folder):
         refresh.upsert_partitions(
             dated, path, LINE_KEY, ["order_month"], ["order_date"], newest_first=["order_date", "quantity"]
         )
-    return spark.read.parquet(path).drop("order_month")
+    return read_table(spark, path).drop("order_month")
 
 
-@query
-def incremental_aggregate(spark, folder):
-    source = lines(spark, folder, "order_id", "customer_id", "order_date", "sales")
+def _segment_loads(spark, folder, late):
+    """Customer segments kept up to date over two loads, the second with the ``late`` lines; a third brings nothing."""
+    source = loaded(lines(spark, folder, "order_id", "customer_id", "order_date", "sales"), late)
     table = refresh.Versions(spark, run_dir(spark, "aggregate"))
 
     def totals(rows):
-        return customers.customer_segments(rows, **fx.CUSTOMER_SEGMENT, attributes=["order_date"])
+        return customers.customer_segments(rows, **fx.CUSTOMER_SEGMENT, attributes=["loaded_at"])
 
-    first = source.where(F.col("order_date") < F.lit(fx.FIRST_LOAD_UNTIL))
-    refresh.incremental_aggregate(first, table, ["customer_id"], "order_date", totals)
-    return refresh.incremental_aggregate(source, table, ["customer_id"], "order_date", totals)
+    first = source.where(F.col("loaded_at") == ntz(fx.LOAD_TS))
+    for rows in (first, source, source):
+        stored = refresh.incremental_aggregate(rows, table, ["customer_id"], "loaded_at", totals)
+    return stored
+
+
+@query
+def incremental_aggregate(spark, folder):
+    return _segment_loads(spark, folder, F.col("order_date") >= F.lit(fx.FIRST_LOAD_UNTIL))
+
+
+@query
+def incremental_same_day(spark, folder):
+    """Every date is in both loads."""
+    return _segment_loads(spark, folder, F.col("order_id") % 3 == 0)
+
+
+@query
+def incremental_late_rows(spark, folder):
+    """The second load brings the older dates, and customers that are new."""
+    older = F.col("order_date") < F.lit(fx.KNOWN_BEFORE)
+    return _segment_loads(spark, folder, older | (F.col("customer_id") % 5 == 0))
 
 
 @query
@@ -752,7 +856,7 @@ def partition_refresh(spark, folder):
     refresh.partition_refresh(yearly, path, ["order_year"])
     again = yearly.where(F.col("order_year") == fx.REFRESH_YEAR).withColumn("load_no", F.lit(2))
     refresh.partition_refresh(again, path, ["order_year"])
-    return spark.read.parquet(path).withColumn("order_year", whole("order_year"))
+    return read_table(spark, path)
 
 
 @query
@@ -783,59 +887,123 @@ def _table_totals(tables, measures):
 
 @query
 def layers_retail(spark, folder):
-    classes = {
-        "customer_tier": fx.CUSTOMER_TIER,
-        "customer_segment": fx.CUSTOMER_SEGMENT,
-        "product_tier": fx.PRODUCT_TIER,
-        "enrich": {"size_steps": fx.SIZE_STEPS},
-    }
-    models = retail_models(fx.LOAD_TS, fx.AS_OF, fx.SEGMENTS, classes)
+    models = retail_models(fx.LOAD_TS, fx.AS_OF, fx.SEGMENTS, RETAIL_CLASSES)
     built = run_layers(spark, {"orders": lines(spark, folder)}, models, run_dir(spark, "retail"))
-    return _table_totals(
-        built,
-        {
-            "stg_orders": "net_sales",
-            "int_orders_enriched": "net_sales",
-            "int_customer_metrics": "total_spent",
-            "int_customer_segments": "total_spent",
-            "int_product_performance": "total_revenue",
-            "int_regional_sales": "total_sales",
-            "int_category_region_month": "total_sales",
-            "mart_sales_overview": "total_sales",
-            "mart_customer_segments": "total_spent",
-            "mart_delivery_performance": "orders_count",
-            "mart_product_abc_analysis": "total_sales",
-            "mart_top_products": "metric_value",
-            "mart_average_check": "total_sales",
-            "mart_retention": "retained_customers",
-            "mart_clv": "customer_lifespan",
-            "mart_profit": "total_profit",
-        },
-    )
+    return _table_totals(built, RETAIL_TOTALS)
+
+
+def retail_loads(source):
+    """Two loads of lines: the second has late dates, dates of the first one, and customers that are new."""
+    late = (F.col("order_id") % 3 == 0) | (F.col("customer_id") % 7 == 0)
+    return source.where(~late), source.where(late)
+
+
+def layered_retail(spark, folder):
+    """(incremental build over two loads, the second run twice; full build)"""
+    source = lines(spark, folder)
+    path = run_dir(spark, "retail-incremental")
+    first, second = retail_loads(source)
+    runs = [
+        (first, fx.LOAD_TS, (fx.RUN_STARTED, fx.RUN_ID)),
+        (second, fx.NEXT_LOAD_TS, (fx.NEXT_RUN_STARTED, fx.NEXT_RUN_ID)),
+        (second, fx.NEXT_LOAD_TS, (fx.NEXT_RUN_STARTED, fx.NEXT_RUN_ID)),
+    ]
+    for rows, load_ts, run in runs:
+        models = retail_models(load_ts, fx.AS_OF, fx.SEGMENTS, RETAIL_CLASSES, run, [*LINE_KEY, "sales"])
+        built = run_layers(spark, {"orders": rows}, models, path)
+    models = retail_models(fx.LOAD_TS, fx.AS_OF, fx.SEGMENTS, RETAIL_CLASSES)
+    return built, run_layers(spark, {"orders": source}, models, run_dir(spark, "retail-full"))
+
+
+def differing(built, full, name):
+    """Rows of a model that only one of two builds has; load metadata aside."""
+    columns = [c for c in full[name].columns if c not in (*staging.RUN_METADATA, "load_ts")]
+    a, b = built[name].select(*columns), full[name].select(*columns)
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.lit(name).alias("model"), F.count("*").alias("differing_rows"))
+
+
+def _compared(built, full, totals):
+    found = metrics.stacked([differing(built, full, name) for name in totals])
+    return _table_totals(built, totals).join(found, "model")
+
+
+@query
+def layers_retail_incremental(spark, folder):
+    built, full = layered_retail(spark, folder)
+    totals = {name: measure for name, measure in RETAIL_TOTALS.items() if name != "stg_orders"}
+    return _compared(built, full, totals)
+
+
+RETAIL_CLASSES = {
+    "customer_tier": fx.CUSTOMER_TIER,
+    "customer_segment": fx.CUSTOMER_SEGMENT,
+    "product_tier": fx.PRODUCT_TIER,
+    "enrich": {"size_steps": fx.SIZE_STEPS},
+    "coordinates": fx.COORDINATES,
+}
+RETAIL_TOTALS = {
+    "stg_orders": "net_sales",
+    "int_orders_enriched": "net_sales",
+    "int_customer_metrics": "total_spent",
+    "int_customer_segments": "total_spent",
+    "int_product_performance": "total_revenue",
+    "int_regional_sales": "total_sales",
+    "int_geo_customers": "latitude",
+    "int_group_totals": "total_sales",
+    "mart_orders_summary": "total_sales",
+    "int_category_region_month": "total_sales",
+    "mart_sales_overview": "total_sales",
+    "mart_customer_segments": "total_spent",
+    "mart_delivery_performance": "orders_count",
+    "mart_product_abc_analysis": "total_sales",
+    "mart_top_products": "metric_value",
+    "mart_average_check": "total_sales",
+    "mart_retention": "retained_customers",
+    "mart_clv": "customer_lifespan",
+    "mart_profit": "total_profit",
+}
 
 
 @query
 def layers_weather(spark, folder):
     readings = star.readings(spark, folder)
-    models = weather_models(fx.DAILY_LIMITS, fx.TRAILING_THRESHOLD)
+    models = weather_models(fx.DAILY_LIMITS, fx.TRAILING_THRESHOLD, trailing_limit=fx.TRAILING_THRESHOLD)
     sources = {"readings": readings, "norms": star.weekday_norms(readings)}
-    built = run_layers(spark, sources, models, run_dir(spark, "weather"))
-    return _table_totals(
-        built,
-        {
-            "stg_readings": "precipitation",
-            "stg_weather_metrics": "precipitation_mm",
-            "int_daily_weather": "total_precipitation",
-            "int_comfort_index": "temperature_2m",
-            "int_weather_anomalies": "anomaly",
-            "mart_daily_metrics": "total_precipitation",
-            "mart_anomalies": "significant_anomaly_alert",
-            "mart_comfort": "low_comfort_alert",
-            "mart_trailing": "is_anomaly",
-            "mart_daily_fact": "total_precipitation",
-            "mart_summary": "total_precipitation",
-        },
-    )
+    return _table_totals(run_layers(spark, sources, models, run_dir(spark, "weather")), WEATHER_TOTALS)
+
+
+@query
+def layers_weather_incremental(spark, folder):
+    """Two loads that share the day the second one starts on."""
+    readings = star.readings(spark, folder)
+    norms = star.weekday_norms(readings)
+    path = run_dir(spark, "weather-incremental")
+    second = F.col("reading_ts") >= ntz(fx.HALF_TIME)
+    marked = readings.withColumn("loaded_at", F.when(second, ntz(fx.NEXT_LOAD_TS)).otherwise(ntz(fx.LOAD_TS)))
+    limits = {"limits": fx.DAILY_LIMITS, "anomaly_limit": fx.TRAILING_THRESHOLD, "trailing_limit": fx.TRAILING_THRESHOLD}
+    for rows in (marked.where(~second), marked, marked):
+        models = weather_models(**limits, incremental=True)
+        built = run_layers(spark, {"readings": rows, "norms": norms}, models, path)
+    full = run_layers(spark, {"readings": readings, "norms": norms}, weather_models(**limits), run_dir(spark, "weather-full"))
+    built["int_comfort_index"] = built["int_comfort_index"].withColumn("yyyymm", F.date_format("reading_ts", "yyyyMM"))
+    return _compared(built, full, WEATHER_TOTALS)
+
+
+WEATHER_TOTALS = {
+    "stg_readings": "precipitation",
+    "stg_weather_metrics": "precipitation_mm",
+    "int_daily_weather": "total_precipitation",
+    "int_comfort_index": "temperature_2m",
+    "int_weather_anomalies": "anomaly",
+    "int_norm_deviation": "temperature_anomaly",
+    "int_linear_comfort": "comfort_index",
+    "mart_daily_metrics": "total_precipitation",
+    "mart_anomalies": "significant_anomaly_alert",
+    "mart_comfort": "low_comfort_alert",
+    "mart_trailing": "is_anomaly",
+    "mart_daily_fact": "total_precipitation",
+    "mart_summary": "total_precipitation",
+}
 
 
 @query
@@ -844,7 +1012,7 @@ def top_products_snapshot(spark, folder):
     ranking = top_products_two_metrics(spark, folder)
     for day in (fx.AS_OF, fx.AS_OF + dt.timedelta(days=1), fx.AS_OF):
         refresh.partition_refresh(products.snapshot(ranking, day), path, ["analysis_date"])
-    return spark.read.parquet(path)
+    return read_table(spark, path)
 
 
 # --- quality ---------------------------------------------------------------------------------
@@ -924,6 +1092,11 @@ def dq_unique_combo(spark, folder):
     )
 
 
+@query
+def dq_orphans(spark, folder):
+    return star.orphans(spark, folder)
+
+
 @query
 def dq_numeric(spark, folder):
     events = star.table(spark, folder, "events").select("value", F.get_json_object("props", "$.k").alias("k"))
@@ -941,25 +1114,28 @@ def dq_numeric(spark, folder):
 
 
 def _metric_values(spark, folder):
+    """All values of lines come from one stored row per order."""
     per_order = (
-        lines(spark, folder, "order_id", "order_date", "ship_date", "return_flag")
+        lines(spark, folder, "order_id", "customer_id", "order_date", "ship_date", "return_flag", "sales")
         .withColumn("_days", retail.delivery_days())
-        .groupBy("order_id")
+        .groupBy("order_id", "customer_id", "order_date")
         .agg(
             F.sum("_days").alias("days"),
             F.count("_days").alias("shipped"),
             F.max((F.col("return_flag") == "R").cast("int")).alias("returned"),
+            F.sum("sales").alias("sales"),
         )
     )
+    per_order = staging.settled(per_order, "per-order")
     overall = per_order.agg(
         ratio(F.sum("days"), F.sum("shipped")).alias("avg_delivery_days"),
         ratio(F.sum("returned"), F.count("*")).alias("return_rate"),
     )
-    clv = customer_clv_months(spark, folder).agg(F.round(F.avg("clv"), 4).alias("avg_clv"))
+    clv = customers.clv_by_months(per_order).agg(F.round(F.avg("clv"), 4).alias("avg_clv"))
     conversion = star.table(spark, folder, "events").agg(
         ratio(F.count_if(F.col("event_type") == "purchase"), F.count_if(F.col("event_type") == "view")).alias("rate")
     )
-    crr = retention_crr(spark, folder).withColumn("share", F.col("crr") / 100)
+    crr = customers.retention_crr(per_order).withColumn("share", F.col("crr") / 100)
     return metrics.stacked(
         [
             metrics.metric_rows(overall, {m: m for m in ("avg_delivery_days", "return_rate")}),
@@ -1028,12 +1204,13 @@ def card_table(spark, folder):
 # --- streams ---------------------------------------------------------------------------------
 
 
-def _arrivals(spark, folder, name):
+def _arrivals(spark, folder, name, newest_first=False):
     """Readings landing in two deliveries; yields after each one."""
     base = run_dir(spark, name)
     readings = star.readings(spark, folder)
     half = ntz(fx.HALF_TIME)
-    for part in (F.col("reading_ts") < half, F.col("reading_ts") >= half):
+    parts = [F.col("reading_ts") < half, F.col("reading_ts") >= half]
+    for part in reversed(parts) if newest_first else parts:
         sinks.append(readings.where(part), f"{base}/landing")
         yield base, loads.landing(spark, f"{base}/landing", readings.schema)
 
@@ -1049,8 +1226,17 @@ def stream_append(spark, folder):
 def stream_upsert(spark, folder):
     for base, arriving in _arrivals(spark, folder, "stream-upsert"):
         latest = arriving.select("station_id", "reading_ts", "event_id", "temperature_2m")
-        table = refresh.Versions(spark, f"{base}/table")
-        loads.stream_upsert(latest, table, ["station_id"], ["reading_ts", "event_id"], f"{base}/checkpoint")
+        table = refresh.Buckets(spark, f"{base}/table", ["station_id"], 8)
+        loads.stream_upsert(latest, table, ["reading_ts", "event_id"], f"{base}/checkpoint")
+    return table.current()
+
+
+@query
+def stream_upsert_out_of_order(spark, folder):
+    for base, arriving in _arrivals(spark, folder, "stream-order", newest_first=True):
+        latest = arriving.select("station_id", "reading_ts", "event_id", "temperature_2m")
+        table = refresh.Buckets(spark, f"{base}/table", ["station_id"], 8)
+        loads.stream_upsert(latest, table, ["reading_ts", "event_id"], f"{base}/checkpoint")
     return table.current()
 
 
@@ -1058,6 +1244,6 @@ def stream_upsert(spark, folder):
 def stream_daily_weather(spark, folder):
     for base, arriving in _arrivals(spark, folder, "stream-days"):
         loads.stream_daily_weather(arriving, f"{base}/table", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/table")
+    return read_table(spark, f"{base}/table")
 
 

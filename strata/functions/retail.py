@@ -126,10 +126,3 @@ def abc_class(running: Column | str, total: Column | str, shares=ABC_SHARES) ->
     """Class by cumulative share, compared as exact products."""
     rules = [(col(running) <= col(total) * exact(share), label) for share, label in shares]
     return first_label(rules, ABC_REST)
-
-
-def drop_flag(change: Column | str, drop: float = 0.15) -> Column:
-    """1 when a relative change is a fall of at least ``drop``."""
-    return F.when(col(change) <= F.lit(-float(drop)), 1).otherwise(0)
-
-

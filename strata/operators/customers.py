@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from strata.functions import retail
 from strata.functions.exprs import mean, money_sum, month_index, month_start, number, ratio, whole
 from strata.operators.ranking import previous
-from strata.operators.staging import with_margin_pct, with_net_sales
+from strata.operators.staging import run_marks, with_margin_pct, with_net_sales
 
 DAYS_PER_YEAR = 365.0
 
@@ -37,7 +37,7 @@ def picked_rows(df: DataFrame, key: str, picks: Sequence[tuple[Sequence[str], st
 
 
 def customer_metrics(lines: DataFrame, tier: dict | None = None) -> DataFrame:
-    """One row per customer: orders, spending, profit, first and last order, margin, tier."""
+    """One row per customer: orders, spending, profit, first and last order, margin, tier, the rows' load metadata."""
     priced = with_margin_pct(with_net_sales(lines))
     grouped = priced.groupBy("customer_id", "customer_name", "segment").agg(
         F.count_distinct("order_id").alias("total_orders"),
@@ -48,6 +48,7 @@ def customer_metrics(lines: DataFrame, tier: dict | None = None) -> DataFrame:
         F.min("order_date").alias("first_order_date"),
         F.max("order_date").alias("last_order_date"),
         number(F.avg("profit_margin_pct")).alias("avg_profit_margin"),
+        *run_marks(priced),
     )
     return grouped.withColumns(
         {
@@ -67,6 +68,11 @@ def customer_latest_attrs(lines: DataFrame) -> DataFrame:
     )
 
 
+def customer_table(lines: DataFrame, tier: dict | None = None) -> DataFrame:
+    """:func:`customer_metrics` with the latest place and the preferred category of each customer; give stored lines."""
+    return customer_metrics(lines, tier).join(customer_latest_attrs(lines), "customer_id", "left")
+
+
 def customer_segments(
     lines: DataFrame, amount="sales", total_over=10000, count_over=10, count_lines=False, attributes: Sequence[str] = ()
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strata.functions.bands import COMPARE
 from strata.functions.exprs import ratio
@@ -99,9 +99,10 @@ def card_series(df: DataFrame, x: Column, value: Column, x_name: str = "x", name
 
 
 def card_pie(df: DataFrame, slice_by: Column, value: Column, slice_name: str = "slice", name: str = "value") -> DataFrame:
-    """Slices with their share; the total runs over the slices, as many rows as the card shows."""
-    slices = card_series(df, slice_by, value, slice_name, name)
-    return slices.withColumn("share", ratio(F.col(name), F.sum(name).over(W.partitionBy())))
+    """Slices with their share of the slices' total, which is one row however many slices there are."""
+    slices = df.groupBy(slice_by.alias(slice_name)).agg(value.alias(name))
+    total = slices.agg(F.sum(name)).scalar()
+    return slices.withColumn("share", ratio(F.col(name), total)).orderBy(slice_name)
 
 
 def card_table(df: DataFrame, by: str, k: int, tie: Sequence[str]) -> DataFrame:

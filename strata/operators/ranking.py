@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from strata.session import shared_dir
+from strata.operators.staging import settled
 
 
 def top_k(df: DataFrame, by: str, k: int, tie: Sequence[str]) -> DataFrame:
@@ -37,10 +37,9 @@ def running_total(df: DataFrame, value: str, tie: str, partitions: int | None =
     it, of which there is one row per range.
     """
     spark = df.sparkSession
-    shared_dir(spark)  # checkpoint folder
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, F.col(value).desc(), F.col(tie)).withColumn("_range", F.spark_partition_id())
-    stored = ranged.checkpoint()
+    stored = settled(ranged, "ranges")
 
     sums = stored.groupBy("_range").agg(F.sum(value).alias("_sum"), F.count("*").alias("_rows"))
     # One row per range, at most `n`: small by construction, for this window as for the broadcast.

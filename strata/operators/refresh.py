@@ -1,37 +1,27 @@
-"""Incremental refresh: marks, appends, upserts, regrouped aggregates."""
+"""Incremental refresh: marks, appends, upserts, regrouped aggregates.
+
+The mark of a load is best a column that every row carries from the load that brought it (``loaded_at`` of
+:func:`strata.operators.staging.with_run_metadata`): it rises from load to load whatever the rows' business dates are.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType, DateType, NumericType, StructType, TimestampNTZType, TimestampType
 
-from strata.operators.staging import dedupe
+from strata.operators.staging import dedupe, settled
+from strata.session import scratch
 from strata.sources.schema import check_schema_unchanged
 from strata.sources.sinks import append, replace_partitions, write_partitioned
+from strata.sources.tables import Folder, read_table, stored, stored_schema
 
 
 class MovedKey(ValueError):
     """A batch row belongs to another partition than the stored row with its key."""
 
 
-def stored(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
-    """The table at ``path``, or None before its first load.
-
-    A ``schema`` also fixes the types of partition columns, which are otherwise
-    guessed from folder names.
-    """
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    try:
-        return reader.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def _before_everything(t: DataType) -> Column:
     if isinstance(t, (DateType, TimestampType, TimestampNTZType)):
         return F.lit("0001-01-01").cast(t)
@@ -47,16 +37,22 @@ def high_water_mark(target: DataFrame, mark: str) -> Column:
 
 
 def newer_rows(source: DataFrame, target: DataFrame | None, mark: str, inclusive: bool = False) -> DataFrame:
-    """Source rows above the target's mark (``inclusive``: from the mark on).
+    """Source rows above the target's mark (``inclusive``: from the mark on), all marked ones if there is no target.
 
-    The mark is compared with the raw column, so the scan skips older row groups.
+    A row without a mark is in no load, not even the first; :func:`unmarked` has them. Where the mark is a column of
+    the source's files, the comparison reaches the scan and skips older row groups.
     """
     if target is None:
-        return source
+        return source.where(F.col(mark).isNotNull())
     limit = high_water_mark(target, mark)
     return source.where(F.col(mark) >= limit if inclusive else F.col(mark) > limit)
 
 
+def unmarked(source: DataFrame, mark: str) -> DataFrame:
+    """The rows no load by this mark takes."""
+    return source.where(F.col(mark).isNull())
+
+
 def new_keys_only(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key the target does not have."""
     return source.join(target.select(*keys).distinct(), list(keys), "left_anti")
@@ -64,8 +60,8 @@ def new_keys_only(source: DataFrame, target: DataFrame, keys: Sequence[str]) ->
 
 def incremental_append(
     source: DataFrame, target: str, mark: str, keys: Sequence[str] | None = None, fixed_schema: bool = False
-) -> None:
-    """Append the rows above the target's mark; the first run loads everything.
+) -> int:
+    """Append the rows above the target's mark, the first time all; returns how many rows have no mark and stay out.
 
     Without ``keys`` late rows that equal the mark are lost. With ``keys`` the
     comparison includes the mark, and rows already stored at it are left out.
@@ -78,54 +74,100 @@ def incremental_append(
         at_mark = current.where(F.col(mark) >= high_water_mark(current, mark))
         new = new_keys_only(new, at_mark, keys)
     append(new, target)
+    return unmarked(source, mark).count()
 
 
-def merged(current: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The batch and every current row whose key it does not replace."""
-    kept = current.join(batch.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(batch.select(*current.columns))
+def merged(
+    current: DataFrame, batch: DataFrame, keys: Sequence[str], newest_first: Sequence[str] | None = None
+) -> DataFrame:
+    """The batch and the current rows whose key it does not have; with ``newest_first`` the newest of both per key.
+
+    A batch row that is as new as the stored one replaces it.
+    """
+    batch = batch.select(*current.columns)
+    if newest_first:
+        both = current.withColumn("_late", F.lit(0)).unionByName(batch.withColumn("_late", F.lit(1)))
+        return dedupe(both, keys, [*newest_first, "_late"]).drop("_late")
+    return null_safe(current, batch.select(*keys), keys, "left_anti").unionByName(batch)
 
 
 class Versions:
     """A table replaced as a whole: each version is a new folder, readers take the newest complete one.
 
-    A version that was not finished has no success marker and is never read.
+    A version that was not finished has no success marker and is never read. Publishing removes versions older than
+    the one before, which readers may still hold.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
-        self._path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._folder = Folder(spark, root)
 
     def _numbers(self) -> list[int]:
-        if not self._fs.exists(self._path):
-            return []
-        names = [status.getPath().getName() for status in self._fs.listStatus(self._path)]
-        return [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()]
+        return sorted(int(n[1:]) for n in self._folder.names() if n.startswith("v") and n[1:].isdigit())
+
+    def _complete(self) -> list[int]:
+        return [n for n in self._numbers() if self._version(n).child("_SUCCESS").exists()]
+
+    def _version(self, n: int) -> Folder:
+        return self._folder.child(f"v{n:06d}")
 
     def current(self) -> DataFrame | None:
-        complete = [n for n in self._numbers() if self._complete(n)]
-        return self.spark.read.parquet(self._folder(max(complete))) if complete else None
+        complete = self._complete()
+        return read_table(self.spark, self._version(complete[-1]).path) if complete else None
 
     def publish(self, df: DataFrame) -> DataFrame:
-        folder = self._folder(max(self._numbers(), default=0) + 1)
-        df.write.mode("errorifexists").parquet(folder)
-        return self.spark.read.parquet(folder)
+        before = self._complete()
+        folder = self._version(max(self._numbers(), default=0) + 1)
+        df.write.mode("errorifexists").parquet(folder.path)
+        for n in self._numbers():
+            if before and n < before[-1]:
+                self._version(n).delete()
+        return read_table(self.spark, folder.path)
+
+
+BUCKET = "_bucket"
 
-    def _folder(self, n: int) -> str:
-        return f"{self.root}/v{n:06d}"
 
-    def _complete(self, n: int) -> bool:
-        return self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._folder(n)}/_SUCCESS"))
+class Buckets:
+    """A keyed table in ``n`` buckets by a hash of the key; an upsert rewrites the buckets it touches only.
+
+    ``n`` is fixed when the table is made; choose it so that a bucket is a few files.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], n: int = 64):
+        self.spark, self.root, self.keys, self.n = spark, root, list(keys), n
+
+    def bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.n)).cast("int"))
+
+    def current(self) -> DataFrame | None:
+        df = stored(self.spark, self.root)
+        return None if df is None else df.drop(BUCKET)
+
+
+def fitted(batch: DataFrame, schema: StructType, evolve: bool) -> DataFrame:
+    """``batch`` with the stored columns. Any drift raises :class:`~strata.sources.schema.SchemaChanged`; with
+    ``evolve`` new columns stay and missing ones are null, only retyped columns raise."""
+    if not evolve:
+        return check_schema_unchanged(batch, schema)
+    have = {f.name for f in batch.schema}
+    batch = batch.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in have})
+    kept = StructType([f for f in batch.schema if f.name in set(schema.names)])
+    return check_schema_unchanged(batch.select(*kept.names), schema) and batch
 
 
 def incremental_upsert(
-    batch: DataFrame, table: Versions, keys: Sequence[str], newest_first: Sequence[str] | None = None
+    batch: DataFrame, table: Buckets, newest_first: Sequence[str] | None = None, evolve: bool = False
 ) -> DataFrame:
-    """Replace the rows with the batch's keys, add the others, publish a new version."""
-    latest = dedupe(batch, keys, newest_first) if newest_first else batch
-    current = table.current()
-    return table.publish(latest if current is None else merged(current, latest, keys))
+    """Replace the rows with the batch's keys, add the others; only the buckets of these keys are rewritten.
+
+    With ``newest_first`` the newest row per key wins, within the batch and against the stored row, so batches may come
+    in any order and repeat.
+    """
+    upsert_partitions(
+        table.bucketed(batch), table.root, table.keys, [BUCKET], newest_first=newest_first, check_moved=False, evolve=evolve
+    )
+    return table.current()
 
 
 def upsert_partitions(
@@ -136,23 +178,30 @@ def upsert_partitions(
     sort_cols: Sequence[str] = (),
     newest_first: Sequence[str] | None = None,
     check_moved: bool = True,
+    evolve: bool = False,
 ) -> None:
-    """Upsert that rewrites only the partitions the batch touches.
+    """Upsert that rewrites only the partitions the batch touches; drift raises unless ``evolve`` (:func:`fitted`).
 
     The partition of a key must not change between loads. Unless the partition
     columns are part of the key, this is checked (a scan of the stored keys,
-    ``check_moved=False`` leaves it out) and :class:`MovedKey` raised; use :func:`incremental_upsert` for keys that move.
+    ``check_moved=False`` leaves it out) and :class:`MovedKey` raised. The batch is computed once and stored.
     """
     spark = batch.sparkSession
     latest = dedupe(batch, keys, newest_first) if newest_first else batch
-    current = stored(spark, target, latest.schema)
+    current = stored(spark, target)
     if current is None:
         write_partitioned(latest, target, partition_cols, sort_cols)
         return
-    if check_moved and not set(partition_cols) <= set(keys):
-        _check_partitions_stay(current, latest, keys, partition_cols)
-    touched = current.join(latest.select(*partition_cols).distinct(), list(partition_cols), "left_semi")
-    replace_partitions(merged(touched, latest, keys), target, partition_cols, sort_cols)
+    with scratch(spark):
+        latest = settled(fitted(latest, current.schema, evolve), "batch")
+        if check_moved and not set(partition_cols) <= set(keys):
+            _check_partitions_stay(current, latest, keys, partition_cols)
+        if evolve:
+            have = set(current.columns)
+            new = {f.name: F.lit(None).cast(f.dataType) for f in latest.schema if f.name not in have}
+            current = current.withColumns(new)
+        touched = null_safe(current, latest.select(*partition_cols).distinct(), partition_cols, "left_semi")
+        replace_partitions(merged(touched, latest, keys, newest_first), target, partition_cols, sort_cols)
 
 
 def _check_partitions_stay(current, latest, keys, partition_cols) -> None:
@@ -172,22 +221,43 @@ def incremental_aggregate(
 ) -> DataFrame:
     """Bring an aggregate table up to date: groups with new rows are aggregated anew from all their rows.
 
-    Adding only new rows would be wrong for averages, distinct counts and
-    classes. ``aggregate`` must carry the greatest mark of each group along.
+    ``mark`` is a load mark on the source's rows, and ``aggregate`` carries its greatest value per group. Groups with
+    rows at the table's mark or above it, or without a mark, are built again: whole groups, so a second load at the same mark
+    is taken and repeating one changes nothing. Late business dates do no harm; a late *mark* (below one already
+    loaded) is not seen, so business dates are no marks.
     """
     current = table.current()
     rows = source
     if current is not None:
-        touched = newer_rows(source, current, mark).select(*keys).distinct()
-        rows = source.join(touched, list(keys), "left_semi")
+        limit = high_water_mark(current, mark)
+        touched = source.where((F.col(mark) >= limit) | F.col(mark).isNull()).select(*keys).distinct()
+        rows = null_safe(source, touched, keys, "left_semi")
     groups = aggregate(rows)
     if mark not in groups.columns:
         raise ValueError(f"the aggregate does not carry its mark {mark!r}")
-    return table.publish(groups if current is None else merged(current, groups, keys))
+    if current is None:
+        return table.publish(groups)
+    with scratch(source.sparkSession):
+        groups = settled(groups, "groups")
+        kept = null_safe(current, groups.select(*keys), keys, "left_anti")
+        return table.publish(kept.unionByName(groups.select(*current.columns)))
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """A semi or anti join in which a missing key value is a value as any other."""
+    other = right.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [left[k].eqNullSafe(other[f"_{k}"]) for k in keys]
+    condition = same[0]
+    for s in same[1:]:
+        condition = condition & s
+    return left.join(other, condition, how)
 
 
 def partition_refresh(df: DataFrame, target: str, partition_cols: Sequence[str], sort_cols: Sequence[str] = ()) -> None:
-    """Rewrite the partitions present in ``df``, leave the others."""
+    """Rewrite the partitions present in ``df``, leave the others. A drifting frame raises."""
+    schema = stored_schema(df.sparkSession, target)
+    if schema is not None:
+        check_schema_unchanged(df, schema)
     replace_partitions(df, target, partition_cols, sort_cols)
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from strata.functions import retail
 from strata.functions.bands import exact
 from strata.functions.exprs import mean, money_sum, month_start, number, ratio, whole
-from strata.operators.folding import folded_sums, join_groups, line_sums
+from strata.operators.folding import folded_sums, join_groups, line_sums, order_fold, orders_in_group
 from strata.operators.ranking import previous
-from strata.operators.staging import settled, with_margin_pct, with_net_sales
+from strata.operators.staging import run_marks, with_margin_pct, with_net_sales
 
 
 def calendar(c: str | Column = "order_date") -> dict[str, Column]:
@@ -21,17 +21,22 @@ def calendar(c: str | Column = "order_date") -> dict[str, Column]:
 def sales_overview(lines: DataFrame) -> DataFrame:
     """Month rows carrying the totals of their quarter and year.
 
-    Lines are aggregated once, to months. Quarters and years are windows over
+    Lines are folded to orders, then to months. Quarters and years are windows over
     those few rows, no second pass and no join. Summing monthly order counts is
     exact while an order has one date.
     """
+    orders = order_fold(
+        with_net_sales(lines).withColumn("month_start", month_start("order_date")),
+        ["month_start"],
+        F.sum("net_sales").alias("_net"),
+        F.sum("profit").alias("_profit"),
+    )
     months = (
-        with_net_sales(lines)
-        .groupBy(month_start("order_date").alias("month_start"))
+        orders.groupBy("month_start")
         .agg(
-            money_sum("net_sales").alias("total_sales"),
-            money_sum("profit").alias("total_profit"),
-            F.count_distinct("order_id").alias("total_orders"),
+            money_sum("_net").alias("total_sales"),
+            money_sum("_profit").alias("total_profit"),
+            orders_in_group().alias("total_orders"),
             F.count_distinct("customer_id").alias("unique_customers"),
         )
         .withColumns(calendar("month_start"))
@@ -85,7 +90,7 @@ def regional_sales(lines: DataFrame, segments: Sequence[str]) -> DataFrame:
     """Region × month: reach, totals, averages, lines per segment, best category, delivery.
 
     Folded to (region, month, category) first, distinct counts apart, as in the
-    product table.
+    product table: two passes, so give stored lines. Carries the rows' load metadata.
     """
     keys = ("region", "order_year", "order_month")
     dated = with_margin_pct(with_net_sales(lines)).withColumns(
@@ -102,8 +107,10 @@ def regional_sales(lines: DataFrame, segments: Sequence[str]) -> DataFrame:
         F.sum("_days").alias("_days"),
         F.count("_days").alias("_shipped"),
         F.count_if(F.col("_days").isNull()).alias("_unshipped"),
+        *run_marks(dated),
     )
     totals = by_category.groupBy(*keys).agg(
+        *run_marks(dated),
         *folded_sums("total_quantity", "total_sales"),
         *[F.sum(n).alias(n) for n in per_segment],
         ratio(F.sum("_days"), F.sum("_shipped")).alias("avg_delivery_days"),
@@ -122,32 +129,48 @@ def regional_sales(lines: DataFrame, segments: Sequence[str]) -> DataFrame:
 def category_region_month(lines: DataFrame, month_of_year: bool = False) -> DataFrame:
     """Category × region × month totals; ``month_of_year`` merges the years."""
     month = whole(F.month("order_date")) if month_of_year else month_start("order_date")
-    return lines.groupBy("category", "region", month.alias("order_month")).agg(
-        money_sum("sales").alias("total_sales"),
-        F.sum("quantity").alias("total_quantity"),
-        money_sum("profit").alias("total_profit"),
-        mean("discount").alias("avg_discount"),
-        F.count_distinct("order_id").alias("order_count"),
+    keys = ["category", "region", "order_month"]
+    orders = order_fold(
+        lines.withColumn("order_month", month),
+        keys,
+        F.sum("sales").alias("_sales"),
+        F.sum("quantity").alias("_quantity"),
+        F.sum("profit").alias("_profit"),
+        F.sum("discount").alias("_discount"),
+        F.count("discount").alias("_discounts"),
+    )
+    return orders.groupBy(*keys).agg(
+        money_sum("_sales").alias("total_sales"),
+        F.sum("_quantity").alias("total_quantity"),
+        money_sum("_profit").alias("total_profit"),
+        ratio(F.sum("_discount"), F.sum("_discounts")).alias("avg_discount"),
+        orders_in_group().alias("order_count"),
         F.count_distinct("customer_id").alias("customer_count"),
     )
 
 
-def orders_summary(lines: DataFrame, segments: DataFrame) -> DataFrame:
-    """Every line with its customer's segment and the totals of its category, region and month of year.
+SUMMARY_KEYS = ("category", "region", "order_month")
 
-    The group totals are stored first. Few as they are, Spark then sees it and
-    broadcasts them; planned in one go it would shuffle all lines by group.
-    """
-    keys = ["category", "region", "order_month"]
+
+def group_totals(lines: DataFrame) -> DataFrame:
+    """Totals per category, region and month of year."""
     dated = lines.withColumn("order_month", whole(F.month("order_date")))
-    groups = dated.groupBy(*keys).agg(
+    return dated.groupBy(*SUMMARY_KEYS).agg(
         money_sum("sales").alias("total_sales"),
         F.sum("quantity").alias("total_quantity"),
         mean("discount").alias("avg_discount"),
         money_sum("profit").alias("total_profit"),
     )
+
+
+def orders_summary(lines: DataFrame, segments: DataFrame, totals: DataFrame) -> DataFrame:
+    """Every line with its customer's segment and the totals (:func:`group_totals`) of its category, region and month.
+
+    Give stored tables: Spark then sees how few the totals are and broadcasts them.
+    """
+    dated = lines.withColumn("order_month", whole(F.month("order_date")))
     with_segment = dated.join(segments.select("customer_id", "customer_segment"), "customer_id", "left")
-    return with_segment.join(settled(groups, "group-totals"), keys, "left")
+    return with_segment.join(totals, list(SUMMARY_KEYS), "left")
 
 
 def profit_by_category_region(lines: DataFrame) -> DataFrame:

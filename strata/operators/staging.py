@@ -8,8 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strata.functions import retail, weather
-from strata.session import run_dir
+from strata.session import intermediate_dir
+from strata.sources.sinks import full_refresh
 from strata.sources.star import ORDER_LINE_COLUMNS
+from strata.sources.tables import read_table
 
 READING_COLUMNS = ("temperature_2m", "relative_humidity_2m", "wind_speed_10m", "precipitation")
 
@@ -27,6 +29,14 @@ def with_run_metadata(df: DataFrame, load_ts: dt.datetime, run_started: dt.datet
     return df.withColumns({"loaded_at": at(load_ts), "run_started_at": at(run_started), "run_id": F.lit(run_id)})
 
 
+RUN_METADATA = ("loaded_at", "run_started_at", "run_id")
+
+
+def run_marks(df: DataFrame) -> list:
+    """The greatest load time, run start and run id of a group, of those the rows carry."""
+    return [F.max(c).alias(c) for c in RUN_METADATA if c in df.columns]
+
+
 def with_net_sales(lines: DataFrame) -> DataFrame:
     return lines.withColumn("net_sales", retail.net_sales())
 
@@ -90,16 +100,16 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """The frame stored in the shared folder and read back.
 
     What follows starts from its files: it is computed once, and joins choose
-    between broadcast and shuffle by its real size, not by an estimate.
+    between broadcast and shuffle by its real size, not by an estimate. Inside
+    :func:`strata.session.scratch` the files go when the run ends.
     """
     spark: SparkSession = df.sparkSession
-    path = run_dir(spark, name)
+    path = intermediate_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def as_table(df: DataFrame, target: str) -> DataFrame:
-    """A table rebuilt in full."""
-    spark: SparkSession = df.sparkSession
-    df.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    """A table rebuilt in full; the old one stays until the new one is written."""
+    full_refresh(df, target)
+    return read_table(df.sparkSession, target)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from strata.functions import weather
 from strata.functions.bands import alert_flag
 from strata.functions.exprs import mean, money_sum, month_start, number, ratio, whole
+from strata.operators.staging import run_marks
 
 DAY = "measurement_date"
 
@@ -22,6 +23,7 @@ def _day(ts="reading_ts") -> Column:
 
 
 def daily_weather(readings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per day (and ``by``), with the load metadata its readings carry."""
     return readings.groupBy(_day(), *by).agg(
         mean("temperature_2m").alias("avg_temperature"),
         F.min("temperature_2m").alias("min_temperature"),
@@ -31,6 +33,7 @@ def daily_weather(readings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.max("wind_speed_10m").alias("max_wind_speed"),
         money_sum("precipitation").alias("total_precipitation"),
         F.count("*").alias("measurement_count"),
+        *run_marks(readings),
     )
 
 
@@ -147,7 +150,7 @@ def trailing_baseline(daily: DataFrame, value: str, days: int = 30, threshold: f
     over the calendar, a few hundred rows per year.
     """
     before = W.partitionBy(*by).orderBy(F.unix_date(DAY)).rangeBetween(-days, -1)
-    base = F.round(F.avg(value).over(before), 6)
+    base = F.round(F.avg(F.col(value).cast("double")).over(before), 6)
     with_base = daily.withColumn("historical_avg", base)
     above = F.col(value) - F.col("historical_avg") > F.lit(float(threshold))
     return with_base.withColumn("is_anomaly", F.coalesce(above, F.lit(False)).cast("int"))

@@ -10,83 +10,116 @@ from pyspark.sql import functions as F
 from strata.operators import customers, enrich, products, sales, staging
 from strata.plans.layers import Model
 
+LINE_KEY = ("order_id", "line_no", "product_id", "supplier_id")
+MARK = "loaded_at"
+
 
 def retail_models(
     load_ts: dt.datetime,
     as_of: dt.date,
     segments: Sequence[str],
     tiers: Mapping[str, dict] | None = None,
+    run: tuple[dt.datetime, str] | None = None,
+    line_key: Sequence[str] = LINE_KEY,
 ) -> list[Model]:
-    """Models over the source ``orders`` (order lines). ``tiers`` overrides class limits by name."""
+    """Models over the source ``orders`` (order lines). ``tiers`` overrides class limits by name.
+
+    With ``run`` (start and id) the build is incremental: ``orders`` holds the lines of one load, new or changed;
+    they are stamped with the run, upserted into the enriched table, and the core aggregates build the groups anew that
+    the load touched. ``line_key`` tells lines apart; a changed line keeps its customer, product and month. Without
+    ``run``, ``orders`` holds all lines.
+    """
     limits = dict(tiers or {})
     segment_limits = limits.get("customer_segment", {})
+    coordinates = limits.get("coordinates", enrich.REGION_COORDINATES)
 
     def staged(t):
-        return staging.with_margin_pct(staging.with_net_sales(staging.stage_orders(t["orders"], load_ts)))
+        lines = staging.with_margin_pct(staging.with_net_sales(staging.stage_orders(t["orders"], load_ts)))
+        return staging.with_run_metadata(lines, load_ts, *run) if run else lines
 
     def enriched(t):
         months = F.date_format("order_date", "yyyyMM").alias("order_yyyymm")
         return enrich.enrich_orders(t["stg_orders"], **limits.get("enrich", {})).select("*", months)
 
-    def segmented(t):
-        return customers.customer_segments(t["int_orders_enriched"], **segment_limits)
+    def lines(t):
+        return t["int_orders_enriched"]
+
+    def core(name, aggregate, keys, partition_by=(), sort_by=()):
+        """A core aggregate of the enriched lines."""
+        if run:
+            return Model(name, "core", lines, materialized="aggregate", keys=keys, mark=MARK, aggregate=aggregate)
+        return Model(name, "core", lambda t: aggregate(lines(t)), partition_by, sort_by)
+
+    def customer_table(rows):
+        return customers.customer_table(rows, limits.get("customer_tier"))
 
+    def segmented(rows):
+        marked = [MARK] if run else []
+        return customers.customer_segments(rows, **segment_limits, attributes=marked)
+
+    def geo(t):
+        latest = customers.latest_by(lines(t), "customer_id", ["customer_name", "region", "state"], "order_date")
+        return enrich.geo_enrich(latest, coordinates)
+
+    stored = (
+        {"materialized": "upsert", "keys": line_key, "newest_first": (MARK,)} if run else {}
+    )
     return [
-        Model("stg_orders", "stage", staged, view=True),
-        Model("int_orders_enriched", "core", enriched, ("order_yyyymm",), ("order_date", "customer_id")),
-        Model(
-            "int_customer_metrics",
-            "core",
-            lambda t: customers.customer_metrics(t["int_orders_enriched"], limits.get("customer_tier")),
-        ),
-        Model("int_customer_segments", "core", segmented),
-        Model(
+        Model("stg_orders", "stage", staged, materialized="view"),
+        Model("int_orders_enriched", "core", enriched, ("order_yyyymm",), ("order_date", "customer_id"), **stored),
+        core("int_customer_metrics", customer_table, ("customer_id",)),
+        core("int_customer_segments", segmented, ("customer_id",)),
+        core(
             "int_product_performance",
-            "core",
-            lambda t: products.product_performance(t["int_orders_enriched"], limits.get("product_tier")),
+            lambda rows: products.product_performance(rows, limits.get("product_tier")),
+            ("product_id",),
             ("category",),
             ("sub_category", "product_id"),
         ),
-        Model(
+        core(
             "int_regional_sales",
-            "core",
-            lambda t: sales.regional_sales(t["int_orders_enriched"], segments),
+            lambda rows: sales.regional_sales(rows, segments),
+            ("region", "order_year", "order_month"),
             ("order_year",),
             ("region", "order_month"),
         ),
-        Model("int_category_region_month", "core", lambda t: sales.category_region_month(t["int_orders_enriched"])),
-        Model("mart_sales_overview", "marts", lambda t: sales.sales_overview(t["int_orders_enriched"])),
+        Model("int_category_region_month", "core", lambda t: sales.category_region_month(lines(t))),
+        Model("int_geo_customers", "core", geo),
+        Model("int_group_totals", "core", lambda t: sales.group_totals(lines(t))),
+        Model("mart_sales_overview", "marts", lambda t: sales.sales_overview(lines(t))),
         Model(
             "mart_customer_segments",
             "marts",
             lambda t: customers.segment_share(customers.clv_by_days(t["int_customer_metrics"])),
             ("customer_tier",),
         ),
-        Model(
-            "mart_delivery_performance",
-            "marts",
-            lambda t: sales.delivery_performance(t["int_orders_enriched"]),
-            view=True,
-        ),
+        Model("mart_delivery_performance", "marts", lambda t: sales.delivery_performance(lines(t)), materialized="view"),
         Model(
             "mart_product_abc_analysis",
             "marts",
-            lambda t: products.abc_analysis(t["int_orders_enriched"]),
+            lambda t: products.abc_analysis(lines(t)),
             ("abc_category",),
             ("sales_rank",),
         ),
         Model(
             "mart_top_products",
             "marts",
-            lambda t: products.snapshot(products.top_products_two_metrics(t["int_orders_enriched"]), as_of),
+            lambda t: products.snapshot(products.top_products_two_metrics(lines(t)), as_of),
             ("analysis_date",),
+            materialized="partition",
+        ),
+        Model(
+            "mart_average_check", "marts", lambda t: sales.average_check(lines(t), t["int_customer_segments"])
         ),
         Model(
-            "mart_average_check",
+            "mart_orders_summary",
             "marts",
-            lambda t: sales.average_check(t["int_orders_enriched"], t["int_customer_segments"]),
+            lambda t: sales.orders_summary(
+                lines(t).drop("order_month"), t["int_customer_segments"], t["int_group_totals"]
+            ),
+            materialized="view",
         ),
-        Model("mart_retention", "marts", lambda t: customers.retention_monthly(t["int_orders_enriched"])),
-        Model("mart_clv", "marts", lambda t: customers.clv_by_months(t["int_orders_enriched"])),
-        Model("mart_profit", "marts", lambda t: sales.profit_by_category_region(t["int_orders_enriched"])),
+        Model("mart_retention", "marts", lambda t: customers.retention_monthly(lines(t))),
+        Model("mart_clv", "marts", lambda t: customers.clv_by_months(lines(t))),
+        Model("mart_profit", "marts", lambda t: sales.profit_by_category_region(lines(t))),
     ]

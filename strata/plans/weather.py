@@ -12,9 +12,17 @@ from strata.functions.weather import DAILY_LIMITS
 
 
 def weather_models(
-    limits: Mapping[str, float] = DAILY_LIMITS, anomaly_limit: float = 5, baseline_days: int = 30
+    limits: Mapping[str, float] = DAILY_LIMITS,
+    anomaly_limit: float = 5,
+    baseline_days: int = 30,
+    trailing_limit: float = 5,
+    incremental: bool = False,
 ) -> list[Model]:
-    """Models over the sources ``readings`` and ``norms``."""
+    """Models over the sources ``readings`` and ``norms``.
+
+    ``anomaly_limit`` is that of the seasonal mart, ``trailing_limit`` that of the trailing one. With ``incremental``
+    the readings carry ``loaded_at``: the days a load touched are built anew, its readings' comfort is appended.
+    """
 
     def present(t):
         return staging.drop_all_null(t["readings"], staging.READING_COLUMNS)
@@ -26,17 +34,32 @@ def weather_models(
         scored = weather.comfort(t["stg_readings"])
         return scored.withColumn("yyyymm", F.date_format("reading_ts", "yyyyMM"))
 
+    def dated(t):
+        return t["stg_readings"].withColumn("measurement_date", F.to_date("reading_ts"))
+
+    def daily(rows):
+        return by_month(weather.daily_weather(rows))
+
+    if incremental:
+        tables = [
+            Model(
+                "int_daily_weather", "core", dated, materialized="aggregate", keys=("measurement_date",), mark="loaded_at",
+                aggregate=daily,
+            ),
+            Model(
+                "int_comfort_index", "core", lambda t: weather.comfort(t["stg_readings"], ["event_id", "loaded_at"]),
+                materialized="append", keys=("event_id",), mark="loaded_at",
+            ),
+        ]
+    else:
+        tables = [
+            Model("int_daily_weather", "core", lambda t: daily(dated(t)), ("yyyymm",), ("measurement_date",)),
+            Model("int_comfort_index", "core", comfort, ("yyyymm",), ("reading_ts",)),
+        ]
     return [
-        Model("stg_readings", "stage", present, view=True),
-        Model("stg_weather_metrics", "stage", lambda t: staging.stage_weather(t["readings"], ["event_id"]), view=True),
-        Model(
-            "int_daily_weather",
-            "core",
-            lambda t: by_month(weather.daily_weather(t["stg_readings"])),
-            ("yyyymm",),
-            ("measurement_date",),
-        ),
-        Model("int_comfort_index", "core", comfort, ("yyyymm",), ("reading_ts",)),
+        Model("stg_readings", "stage", present, materialized="view"),
+        Model("stg_weather_metrics", "stage", lambda t: staging.stage_weather(t["readings"], ["event_id"]), materialized="view"),
+        *tables,
         Model(
             "int_weather_anomalies",
             "core",
@@ -62,7 +85,7 @@ def weather_models(
                 t["int_daily_weather"].select("measurement_date", "avg_temperature"),
                 "avg_temperature",
                 baseline_days,
-                anomaly_limit,
+                trailing_limit,
             ),
         ),
         Model(
@@ -76,6 +99,6 @@ def weather_models(
             "mart_summary",
             "marts",
             lambda t: weather.weather_summary(t["mart_daily_metrics"], t["mart_anomalies"], t["mart_comfort"]),
-            view=True,
+            materialized="view",
         ),
     ]

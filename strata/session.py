@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -65,3 +68,25 @@ def shared_dir(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run's tables, below the shared folder."""
     return f"{shared_dir(spark)}/strata/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What :func:`intermediate_dir` names inside is removed at the end; frames built on it must be stored by then."""
+    folder = run_dir(spark, "scratch")
+    token = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def intermediate_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for an intermediate table: of the run in progress, else it stays in the shared folder."""
+    own = _SCRATCH.get()
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}" if own else run_dir(spark, name)

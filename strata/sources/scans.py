@@ -17,21 +17,19 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, e
     return reader.csv(path)
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def read_jdbc(
-    spark: SparkSession, url: str, table: str, partition: tuple[str, object, object, int] | None = None, **options: str
-) -> DataFrame:
-    """A database table; ``partition`` (column, lower, upper, splits) makes the scan parallel."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+def jdbc_scan_options(
+    url: str, table: str, partition: tuple[str, object, object, int] | None = None, **options: str
+) -> dict[str, str]:
+    """Reader options of a database table; ``partition`` (column, lower, upper, splits) makes the scan parallel."""
+    found = {"url": url, "dbtable": table, **options}
     if partition:
         column, lower, upper, splits = partition
-        reader = reader.options(
-            partitionColumn=column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(splits)
-        )
-    return reader.load()
+        found |= {"partitionColumn": column, "lowerBound": str(lower), "upperBound": str(upper), "numPartitions": str(splits)}
+    return found
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, partition=None, **options: str) -> DataFrame:
+    return spark.read.format("jdbc").options(**jdbc_scan_options(url, table, partition, **options)).load()
 
 
 def extract_since(df: DataFrame, date_col: str, start, columns: dict[str, str] | None = None) -> DataFrame:

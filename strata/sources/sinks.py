@@ -1,4 +1,4 @@
-"""Writing tables: new, full refresh, append, by day, by partition.
+"""Writing tables: new, full refresh, append, by day, by partition; removing days and expired partitions.
 
 Tables are Parquet folders. A write by partition first rebalances on the
 partition columns: small partitions are merged into few files and a hot one is
@@ -14,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strata.sources.scans import in_days
+from strata.sources.tables import drop_partitions, partition_values, read_table, refuse_empty, save_schema, swap_in
 
 
 def write_new(df: DataFrame, target: str) -> None:
@@ -21,12 +22,17 @@ def write_new(df: DataFrame, target: str) -> None:
     df.write.mode("errorifexists").parquet(target)
 
 
+def jdbc_options(url: str, table: str, **options: str) -> dict[str, str]:
+    return {"url": url, "dbtable": table, **options}
+
+
 def write_new_jdbc(df: DataFrame, url: str, table: str, **options: str) -> None:
-    df.write.format("jdbc").options(url=url, dbtable=table, **options).mode("errorifexists").save()
+    df.write.format("jdbc").options(**jdbc_options(url, table, **options)).mode("errorifexists").save()
 
 
 def full_refresh(df: DataFrame, target: str) -> None:
-    df.write.mode("overwrite").parquet(target)
+    """Rebuild a table; until the new one is written, and if that fails, the old one stays."""
+    swap_in(df.sparkSession, target, df.write.parquet)
 
 
 def append(df: DataFrame, target: str) -> None:
@@ -38,30 +44,75 @@ def rebalanced(df: DataFrame, partition_cols: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", *partition_cols)
 
 
-def write_partitioned(
-    df: DataFrame, target: str, partition_cols: Sequence[str], sort_cols: Sequence[str] = (), mode: str = "overwrite"
-) -> None:
-    """Partition folders, each file sorted by ``sort_cols`` for min/max skipping."""
-    laid_out = rebalanced(df, partition_cols).sortWithinPartitions(*partition_cols, *sort_cols)
-    laid_out.write.mode(mode).partitionBy(*partition_cols).parquet(target)
+def laid_out(df: DataFrame, partition_cols: Sequence[str], sort_cols: Sequence[str]) -> DataFrame:
+    checked = refuse_empty(df, partition_cols)
+    return rebalanced(checked, partition_cols).sortWithinPartitions(*partition_cols, *sort_cols)
+
+
+def stored_order(df: DataFrame, partition_cols: Sequence[str]):
+    """The frame's schema as its files give it back: partition columns last."""
+    return df.select(*[c for c in df.columns if c not in partition_cols], *partition_cols).schema
+
+
+def write_partitioned(df: DataFrame, target: str, partition_cols: Sequence[str], sort_cols: Sequence[str] = ()) -> None:
+    """Rebuild a table in partition folders, each file sorted by ``sort_cols`` for min/max skipping."""
+
+    def write(path: str) -> None:
+        laid_out(df, partition_cols, sort_cols).write.partitionBy(*partition_cols).parquet(path)
+        save_schema(df.sparkSession, path, stored_order(df, partition_cols))
+
+    swap_in(df.sparkSession, target, write)
 
 
 def replace_partitions(df: DataFrame, target: str, partition_cols: Sequence[str], sort_cols: Sequence[str] = ()) -> None:
     """Rewrite only the partitions that occur in ``df``; running it twice changes nothing."""
-    laid_out = rebalanced(df, partition_cols).sortWithinPartitions(*partition_cols, *sort_cols)
-    writer = laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = laid_out(df, partition_cols, sort_cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*partition_cols).parquet(target)
+    save_schema(df.sparkSession, target, stored_order(df, partition_cols))
 
 
-def replace_day(df: DataFrame, target: str, ts_col: str, day_col: str = "load_day") -> None:
-    """Replace the loaded days of a table partitioned by day."""
+def load_days(df: DataFrame, target: str, ts_col: str, day_col: str = "load_day") -> None:
+    """Store all rows by day; days that occur in ``df`` are replaced, others stay."""
     replace_partitions(df.withColumn(day_col, F.to_date(ts_col)), target, [day_col], [ts_col])
 
 
 def backfill(df: DataFrame, target: str, ts_col: str, first: dt.date, last: dt.date, day_col="load_day") -> None:
-    """Load every day from ``first`` to ``last`` in one job: one range scan, one write by day."""
-    days = (last - first).days + 1
-    replace_day(df.where(in_days(ts_col, first, days)), target, ts_col, day_col)
+    """Replace every day from ``first`` to ``last`` by what ``df`` has of it, in one job; a day without rows is emptied."""
+    spark = df.sparkSession
+    days = [first + dt.timedelta(days=i) for i in range((last - first).days + 1)]
+    rows = df.where(in_days(ts_col, first, len(days)))
+    load_days(rows, target, ts_col, day_col)
+    # At most one row per day of the range.
+    there = {r[0] for r in rows.select(F.to_date(ts_col)).distinct().collect()}
+    drop_partitions(spark, target, day_col, [d.isoformat() for d in days if d not in there])
+
+
+def replace_day(df: DataFrame, target: str, ts_col: str, day: dt.date, day_col: str = "load_day") -> None:
+    """Replace one day by what ``df`` has of it; without rows the day is emptied."""
+    backfill(df, target, ts_col, day, day, day_col)
+
+
+def expire_partitions(spark: SparkSession, target: str, day_col: str, days: int, as_of: dt.date) -> list[str]:
+    """Remove a stored table's partitions older than ``days`` days; returns their values.
+
+    Values are days (2024-01-31) or months (202401, old once their last day is). Others stay, as does the
+    partition of rows without a date.
+    """
+    limit = as_of - dt.timedelta(days=days)
+    gone = [v for v in partition_values(spark, target, day_col) if (last := last_day(v)) is not None and last <= limit]
+    drop_partitions(spark, target, day_col, gone)
+    return sorted(gone)
+
+
+def last_day(value: str) -> dt.date | None:
+    """Last day of a partition named by a day or a month."""
+    try:
+        if len(value) == 6:
+            first = dt.datetime.strptime(value, "%Y%m").date()
+            return (first + dt.timedelta(days=31)).replace(day=1) - dt.timedelta(days=1)
+        return dt.date.fromisoformat(value)
+    except ValueError:
+        return None
 
 
 def load_all(
@@ -75,7 +126,7 @@ def load_all(
     def load(item):
         name, read = item
         full_refresh(read(), f"{folder}/{name}")
-        return name, spark.read.parquet(f"{folder}/{name}")
+        return name, read_table(spark, f"{folder}/{name}")
 
     with ThreadPoolExecutor(parallel) as pool:
         return dict(pool.map(load, sources.items()))

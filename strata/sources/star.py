@@ -2,8 +2,9 @@
 
 A retail system delivers order lines as one wide table; here they are joined
 from a normalised schema. Dimensions are joined only when one of their columns
-is wanted: Catalyst prunes columns but cannot drop an inner join by itself,
-while every line has exactly one order, customer and part (foreign keys).
+is wanted, and by left joins: the rows are the lines, whichever columns are
+asked for. A line whose order, customer or part is missing has nulls in their
+columns; :func:`orphans` counts such lines.
 
 No side is forced to broadcast. Spark broadcasts what it measures to be below
 its threshold and merges sorted shuffles otherwise.
@@ -32,19 +33,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 
-
-
-def fact(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A long table, spread over all cores if its files give fewer tasks than that.
-
-    A small table is often one row group, hence one task up to the first
-    shuffle. Large tables have many splits and are read as they are.
-    """
-    df = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def order_lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Order lines with the given columns (all of them by default)."""
     wanted = columns or ORDER_LINE_COLUMNS
@@ -53,7 +41,7 @@ def order_lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
         raise ValueError(f"no such order line columns: {sorted(unknown)}")
     need = set(wanted)
 
-    lines = fact(spark, folder, "lineitem", "l_orderkey").select(
+    lines = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("product_id"),
@@ -66,9 +54,9 @@ def order_lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     )
     if need & {"customer_id", "order_date", "ship_date", *FROM_CUSTOMER, *FROM_GEOGRAPHY}:
         # Customers meet orders first: that join moves orders, not the longer line table.
-        lines = lines.join(_order_heads(spark, folder, need), "order_id")
+        lines = lines.join(_order_heads(spark, folder, need), "order_id", "left")
     if need & {"profit", *FROM_PART}:
-        lines = lines.join(_products(spark, folder), "product_id")
+        lines = lines.join(_products(spark, folder), "product_id", "left")
     if need & set(FROM_GEOGRAPHY):
         lines = _with_places(spark, folder, lines)
 
@@ -84,15 +72,14 @@ def order_lines(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def _order_heads(spark: SparkSession, folder: str, need: set[str]) -> DataFrame:
-    with_customers = bool(need & {*FROM_CUSTOMER, *FROM_GEOGRAPHY})
-    # Joined with customers, the orders may become the streamed side of the join with lines.
-    orders = fact(spark, folder, "orders", "o_orderkey") if with_customers else table(spark, folder, "orders")
-    heads = orders.select(
+    heads = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").alias("_ordered_at"),
     )
-    return heads.join(_people(spark, folder), "customer_id") if with_customers else heads
+    if need & {*FROM_CUSTOMER, *FROM_GEOGRAPHY}:
+        return heads.join(_people(spark, folder), "customer_id", "left")
+    return heads
 
 
 def _people(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,7 +98,7 @@ def _with_places(spark: SparkSession, folder: str, df: DataFrame) -> DataFrame:
     region = table(spark, folder, "region").select(
         F.col("r_regionkey").alias("_region"), F.col("r_name").alias("region")
     )
-    return df.join(nation, "_nation").join(region, "_region").drop("_nation", "_region")
+    return df.join(nation, "_nation", "left").join(region, "_region", "left").drop("_nation", "_region")
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,7 +133,7 @@ def readings(spark: SparkSession, folder: str, faulty: bool = False) -> DataFram
     for name, (measure, lost) in measures.items():
         measure = measure.cast("decimal(5,2)")
         cols.append((F.when(~kind.isin(lost), measure) if faulty else measure).alias(name))
-    return fact(spark, folder, "events", "event_id").select(
+    return table(spark, folder, "events").select(
         "event_id", F.col("user_id").alias("station_id"), F.col("ts").alias("reading_ts"), *cols
     )
 
@@ -178,3 +165,25 @@ def hourly_documents(spark: SparkSession, folder: str) -> DataFrame:
     arrays = F.struct(*[F.col("entries").getField(f).alias(f) for f in ("time", *HOURLY_MEASURES)])
     daily = hourly.groupBy("day").agg(entries.alias("entries"))
     return daily.select("day", F.to_json(F.struct(arrays.alias("hourly"))).alias("payload"))
+
+
+def orphans(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality rows (table_name, column_name, rule, failed_rows, total_rows): lines without their order or part, orders
+    without their customer."""
+
+    def missing(child: str, key: str, parent: str, parent_key: str) -> DataFrame:
+        there = table(spark, folder, parent).select(F.col(parent_key).alias("_there")).distinct()
+        keys = table(spark, folder, child).groupBy(key).agg(F.count("*").alias("_n"))
+        joined = keys.join(there, F.col(key) == F.col("_there"), "left")
+        lost = F.sum(F.when(F.col("_there").isNull(), F.col("_n")).otherwise(0))
+        return joined.agg(
+            F.lit(child).alias("table_name"),
+            F.lit(key).alias("column_name"),
+            F.lit(f"in {parent}").alias("rule"),
+            F.coalesce(lost, F.lit(0)).alias("failed_rows"),
+            F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"),
+        )
+
+    found = missing("lineitem", "l_orderkey", "orders", "o_orderkey")
+    found = found.unionByName(missing("lineitem", "l_partkey", "part", "p_partkey"))
+    return found.unionByName(missing("orders", "o_custkey", "customer", "c_custkey"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from strata.functions.exprs import ratio
-from strata.operators.refresh import Versions, incremental_upsert
+from strata.operators.refresh import Buckets, incremental_upsert
 from strata.sources.sinks import replace_partitions
 
 
@@ -31,12 +31,13 @@ def stream_append(rows: DataFrame, target: str, checkpoint: str) -> None:
 
 
 def stream_upsert(
-    rows: DataFrame, table: Versions, keys: Sequence[str], newest_first: Sequence[str], checkpoint: str
+    rows: DataFrame, table: Buckets, newest_first: Sequence[str], checkpoint: str
 ) -> None:
-    """Upsert each batch by key; repeating a batch leaves the table as it is."""
+    """Upsert each batch by key, rewriting the buckets it touches; the newest row per key stays, whatever the order of
+    the files, and repeating a batch leaves the table as it is."""
 
     def load(batch: DataFrame, _: int) -> None:
-        incremental_upsert(batch, table, keys, newest_first)
+        incremental_upsert(batch, table, newest_first)
 
     _drain(rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint))
 

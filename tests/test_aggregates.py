@@ -203,6 +203,12 @@ def test_uniqueness_counts_repeated_keys(spark):
     assert rows(quality.uniqueness_report(df, "t", ["k"])) == [("t", "k", "unique", 2, 6)]
 
 
+def test_a_missing_key_is_no_repeated_value(spark):
+    df = spark.createDataFrame([(1, 1), (None, 1), (None, 1), (2, None), (2, None)], "k int, j int")
+    assert rows(quality.uniqueness_report(df, "t", ["k"])) == [("t", "k", "unique", 1, 5)]
+    assert rows(quality.uniqueness_report(df, "t", ["k", "j"])) == [("t", "k, j", "unique", 0, 5)]
+
+
 def test_targets_and_rules(spark):
     values = spark.createDataFrame(
         [("return_rate", "all", 0.04), ("return_rate", "may", 0.2), ("avg_clv", "all", None), ("other", "all", 1.0)],

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.queries import REGISTRY
 from strata.sources import star
@@ -10,7 +11,7 @@ from strata.sources import star
 SMALL = "/root/testdata/sf0.001"
 STORED = (
     "layers_ stream_ incremental_ csv_scan write_new load_all full_refresh replace_day append_load backfill partition "
-    "schema_guard top_products_snapshot"
+    "schema_guard top_products_snapshot expire_partitions upsert_out_of_order"
 ).split()
 READ_ONLY = [n for n in REGISTRY if not n.startswith(tuple(STORED))]
 
@@ -37,6 +38,66 @@ def test_last_versions_are_cut_down_before_the_shuffle(large):
     assert "Window" not in text
 
 
+@pytest.mark.parametrize("name", ["sales_overview", "category_region_month", "category_region_month_of_year", "sales_by_time"])
+def test_lines_are_scanned_once_and_never_multiplied(large, name):
+    text = plan(REGISTRY[name](large, SMALL))
+    assert text.count("l_orderkey:bigint") == 1 and "Expand" not in text
+
+
+@pytest.mark.parametrize("name", ["regional_sales", "product_performance", "customer_table"])
+def test_aggregates_of_two_passes_read_stored_lines(large, name):
+    assert "l_orderkey:bigint" not in plan(REGISTRY[name](large, SMALL))
+
+
+def test_declared_tables_are_joined_by_their_known_size(spark):
+    text = plan(REGISTRY["category_map"](spark, SMALL))
+    assert "LocalTableScan" in text and "BroadcastHashJoin" in text
+
+
+def test_a_pie_has_no_window(large):
+    assert "Window" not in plan(REGISTRY["card_pie"](large, SMALL))
+
+
+def test_a_hot_order_is_split_at_run_time(spark, tmp_path):
+    """One order holds nearly all lines."""
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in changed}
+    for name in ("orders", "customer", "nation", "region", "part"):
+        star.table(spark, SMALL, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = star.table(spark, SMALL, "lineitem")
+    hot = lines.withColumn("l_orderkey", F.when(F.col("l_linenumber") < 7, F.lit(1)).otherwise(F.col("l_orderkey")).cast("bigint"))
+    hot.repartition(16).write.parquet(f"{tmp_path}/lineitem.parquet")
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        df = star.order_lines(spark, str(tmp_path), "order_id", "order_date", "sales", "product_id")
+        df.write.format("noop").mode("overwrite").save()
+        df.collect()
+        assert "skew=true" in plan(df)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_the_rows_of_order_lines_do_not_depend_on_the_columns(spark, tmp_path):
+    for name in ("orders", "customer", "nation", "region", "part"):
+        star.table(spark, SMALL, name).where("false" if name == "part" else "true").write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = star.table(spark, SMALL, "lineitem")
+    lost = lines.limit(5).withColumn("l_orderkey", F.lit(-1).cast("bigint"))
+    lines.unionByName(lost).write.parquet(f"{tmp_path}/lineitem.parquet")
+    n = lines.count() + 5
+    for columns in (["sales"], ["order_date"], ["customer_name", "region"], ["category"], []):
+        assert star.order_lines(spark, str(tmp_path), *columns).count() == n
+    found = {(r.table_name, r.column_name): r.failed_rows for r in star.orphans(spark, str(tmp_path)).collect()}
+    assert found == {("lineitem", "l_orderkey"): 5, ("lineitem", "l_partkey"): n, ("orders", "o_custkey"): 0}
+
+
 def test_rankings_are_cut_down_before_the_shuffle(large):
     assert "row_number(), 10, Partial" in plan(REGISTRY["top_products_two_metrics"](large, SMALL))
     assert "TakeOrderedAndProject" in plan(REGISTRY["top10_profit"](large, SMALL))

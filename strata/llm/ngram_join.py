@@ -233,7 +233,8 @@ def verify(members: DataFrame, texts: DataFrame, n: int, threshold: Fraction) ->
         sets = [grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
         return {"group": groups, "class": classes, "blocks": blocks, "set": sets}
 
-    rows = members.join(texts, "_key").select("group", "class", "blocks", "_text")
+    # Members grow with the corpus: merged whatever their size, so that small inputs run the plan of large ones.
+    rows = members.hint("merge").join(texts, "_key").select("group", "class", "blocks", "_text")
     rows = _map(rows, extract, "group bigint, class bigint, blocks int, set binary")
     own = F.pmod(F.xxhash64("class"), "blocks").cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -4,9 +4,9 @@ Lines are normalised (lower case, single spaces) and hashed. Per host and line t
 line above the limit is removed from every document of that host but the first one that has it, and a document
 that loses too large a share of its words is rejected.
 
-What counts as a document: texts that also agree in their longest other line count once, so that exact copies of
-one document do not make its own lines frequent; the first document is that of the least id, so whatever is removed as
-frequent stays in the corpus once.
+What counts as a document: texts with the same set of lines count once, so that exact copies of one document do
+not make its own lines frequent. The first document is that of the least id, so whatever is removed as frequent stays in
+the corpus once.
 
 A null text has no words and fails the base rules; a null host is the host ''. Rows equal in id, host and text are one
 document and get the same result each. Other columns are not read.
@@ -47,31 +47,28 @@ def _hash(text: str) -> int:
 
 
 def measures(text: str) -> dict:
-    """The base rules' numbers, and of every distinct normalised line: hash, words in the text's lines like it, and
-    the hash of the longest other line."""
+    """The base rules' numbers, a hash of the set of normalised lines, and of each of them its hash and the words in the
+    text's lines like it."""
     words = text.encode().split()  # bytes part at ASCII white space only
     seen: set[str] = set()
     duplicates = 0
-    own: dict[int, list[int]] = {}
+    own: dict[int, int] = {}
     for line in text.split("\n"):
         n = len(line.encode().split())
         if not n:
             continue
         duplicates += line in seen
         seen.add(line)
-        normal = " ".join(line.lower().split())
-        entry = own.setdefault(_hash(normal), [0, len(normal)])
-        entry[0] += n
-    longest = sorted(((size, h) for h, (_, size) in own.items()), reverse=True)[:2]
-    first = longest[0][1] if longest else 0
-    second = longest[1][1] if len(longest) > 1 else 0
+        h = _hash(" ".join(line.lower().split()))
+        own[h] = own.get(h, 0) + n
     return {
         "n_words": len(words),
         "word_chars": len(text) - sum(map(text.count, SPACES)),
         "n_symbols": sum(map(text.count, SYMBOLS)),
         "n_dup_lines": duplicates,
         "n_repeat_words": repeated_words(words),
-        "lines": [{"line": h, "words": n, "other": second if h == first else first} for h, (n, _) in own.items()],
+        "content": _hash(",".join(map(str, sorted(own)))),
+        "lines": [{"line": h, "words": n} for h, n in own.items()],
     }
 
 
@@ -90,24 +87,24 @@ def measure(df: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFra
     def run(keys, ids, hosts, texts):
         found = [measures(t or "") for t in texts]
         out = {"_key": keys, "_id": ids, "_host": [h or "" for h in hosts]}
-        return out | {c: [f[c] for f in found] for c in (*COUNTS, "lines")}
+        return out | {c: [f[c] for f in found] for c in (*COUNTS, "content", "lines")}
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"_key bigint, _id {kind}, _host string, {', '.join(f'{c} bigint' for c in COUNTS)}, "
-    schema += "lines array<struct<line: bigint, words: bigint, other: bigint>>"
+    schema += "content bigint, lines array<struct<line: bigint, words: bigint>>"
     columns = [_document(id_col, host_col, text_col), F.col(id_col), F.col(host_col).cast("string"), F.col(text_col)]
     return map_columns(df.select(*columns), run, schema)
 
 
 def frequent_lines(lines: DataFrame, limit: int) -> DataFrame:
     """``_host``, ``line``, ``_first`` (the document that keeps it) of lines in more than ``limit`` documents."""
-    documents = lines.groupBy("_host", "line", "other").agg(F.min(F.struct("_id", "_key")).alias("_first"))
+    documents = lines.groupBy("_host", "line", "content").agg(F.min(F.struct("_id", "_key")).alias("_first"))
     counted = documents.groupBy("_host", "line").agg(F.count(F.lit(1)).alias("_n"), F.min("_first").alias("_first"))
     return counted.where(F.col("_n") > limit).select("_host", "line", F.col("_first._key").alias("_first"))
 
 
 def judge(
-    df: DataFrame, limit: int = 100, keep_percent: int = 50, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text"
+    df: DataFrame, limit: int = 100, keep_percent: int = 30, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text"
 ) -> DataFrame:
     """Per row of ``df``: ``_key`` (of id, host and text), the id, the base rules' numbers, ``base_failed``, ``kept``,
     ``lost_words`` and ``removed`` (hashes of the lines to remove).
@@ -119,7 +116,7 @@ def judge(
     folder = run_dir(spark, "line-quality")
     measure(df, id_col, host_col, text_col).write.parquet(f"{folder}/measured")
     measured = spark.read.parquet(f"{folder}/measured")
-    lines = measured.select("_key", "_id", "_host", F.inline("lines"))
+    lines = measured.select("_key", "_id", "_host", "content", F.inline("lines"))
     # Stored, so that the join below meets plain exchanges: a line shared by a third of all rows is split there.
     frequent_lines(lines, limit).write.parquet(f"{folder}/frequent")
     frequent = spark.read.parquet(f"{folder}/frequent")
@@ -128,7 +125,7 @@ def judge(
     lost = hits.groupBy("_key").agg(F.collect_set(F.struct("line", "words")).alias("_lost"))
     words = F.aggregate("_lost", F.lit(0).cast("long"), lambda a, x: a + x["words"])
     lost = lost.select("_key", words.alias("lost_words"), F.col("_lost.line").alias("removed"))
-    out = measured.drop("lines", "_host").join(lost, "_key", "left")
+    out = measured.drop("lines", "content", "_host").join(lost, "_key", "left")
     lost_words = F.coalesce("lost_words", F.lit(0).cast("long"))
     enough = 100 * (F.col("n_words") - lost_words) >= keep_percent * F.col("n_words")
     return out.select(
@@ -148,7 +145,7 @@ def without_lines(text: str, removed: set[int]) -> str:
 
 
 def cleaned(
-    df: DataFrame, limit: int = 100, keep_percent: int = 50, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text"
+    df: DataFrame, limit: int = 100, keep_percent: int = 30, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``df`` that are kept, all columns, their frequent lines removed from the text."""
     verdicts = judge(df, limit, keep_percent, id_col, host_col, text_col).where("kept")

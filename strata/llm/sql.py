@@ -23,12 +23,11 @@ WITH d AS (
   SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE n > 0 GROUP BY r
 ), own AS (
   SELECT r, doc_id, host, normal, sum(n) AS n FROM l WHERE n > 0 GROUP BY ALL
-), other AS (
-  SELECT a.r, a.doc_id, a.host, a.normal, a.n, max_by(b.normal, struct_pack(s := len(b.normal), h := b.normal)) AS other
-  FROM own a LEFT JOIN own b ON a.r = b.r AND a.normal <> b.normal GROUP BY ALL
+), content AS (
+  SELECT r, list_sort(list(normal)) AS content FROM own GROUP BY r
 ), frequent AS (
-  SELECT host, normal, min(doc_id) AS first
-  FROM (SELECT host, normal, other, min(doc_id) AS doc_id FROM other GROUP BY ALL) GROUP BY ALL HAVING count(*) > 100
+  SELECT host, normal, min(doc_id) AS first FROM own JOIN content USING (r)
+  GROUP BY ALL HAVING count(DISTINCT content) > 100
 ), lost AS (
   SELECT r, sum(n) AS n FROM own JOIN frequent USING (host, normal) WHERE doc_id <> first GROUP BY r
 ), counts AS (
@@ -40,7 +39,7 @@ WITH d AS (
   FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN repeated USING (r) LEFT JOIN lost USING (r)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND 100 * (n_words - lost_words) >= 50 * n_words AS kept, lost_words
+       NOT base_failed AND 100 * (n_words - lost_words) >= 30 * n_words AS kept, lost_words
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
 """
 

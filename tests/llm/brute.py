@@ -76,7 +76,7 @@ def entropies(run, window):
 # --- quality ----------------------------------------------------------------------------
 
 
-def quality(rows, limit=100, keep_percent=50):
+def quality(rows, limit=100, keep_percent=30):
     """rows: (id, host, text); a result per row, in order."""
 
     def lines(text):
@@ -92,10 +92,8 @@ def quality(rows, limit=100, keep_percent=50):
     for key, host, text in rows:
         own = lines(text)
         for line in own:
-            others = sorted(((len(x), x) for x in own if x != line), reverse=True)
-            other = others[0][1] if others else None
-            seen = documents[host or "", line]
-            seen[other] = min(seen.get(other, (low(key), text)), (low(key), text))
+            seen, content = documents[host or "", line], frozenset(own)
+            seen[content] = min(seen.get(content, (low(key), text)), (low(key), text))
     frequent = {k: min(v.values(), key=lambda x: x[0]) for k, v in documents.items() if len(v) > limit}
     out = []
     for key, host, text in rows:

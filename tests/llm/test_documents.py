@@ -232,7 +232,8 @@ def shared_lines():
     rows = [(i, "h", f"{text(60)}\n{notice}\n{footer if i % 2 else text(20)}") for i in range(30)]
     copy = f"{text(70)}\n{text(30)}"
     rows += [(100 + i, "h", copy) for i in range(20)]
-    rows += [(200, "h", f"{notice.upper()}\n{footer}\n{text(5)}"), (201, "other", f"{notice}\n{footer}\n{text(5)}"), (202, None, None)]
+    more = f"{notice.upper()}\n{footer}\n{text(9)}"  # its own words are less than a third
+    rows += [(200, "h", more), (201, "other", more), (202, None, None)]
     return rows
 
 

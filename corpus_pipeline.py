@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strata.llm import line_quality, ngram_join, packing, secrets
-from strata.llm.queries import END_ID, SEQUENCE
+from strata.llm.queries import END_ID, SEQUENCE, importable
 from strata.session import run_dir
 
 
@@ -43,6 +43,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order, each over the stored result of its predecessor."""
+    importable(spark)
     folder = run_dir(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for place, (_, stage) in enumerate(STAGES):

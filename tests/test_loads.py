@@ -398,3 +398,17 @@ def test_a_run_leaves_only_its_tables(spark, folder):
     assert set(os.listdir(base)) == before
     assert built["int_orders_enriched"].count() == lines.count()
     assert {n for layer in ("core", "marts") for n in os.listdir(f"{folder}/{layer}")} <= set(built)
+
+
+def test_models_of_a_layer_wait_for_those_before_them(spark, folder):
+    from strata.plans.layers import Model, run_layers
+
+    src = frame(spark, [(1, 1, day(1))])
+    add = lambda name: lambda t: t[name].withColumn("v", F.col("v") + 1)
+    names = ["src", "a", "b", "c", "d", "e"]
+    chain = [Model(n, "core", add(before)) for before, n in zip(names, names[1:])]
+    for parallel in (1, 4):
+        built = run_layers(spark, {"src": src}, chain, f"{folder}/{parallel}", parallel=parallel)
+        assert rows(built["e"].select("v")) == [(6,)]
+    with pytest.raises(KeyError):
+        run_layers(spark, {"src": src}, [Model("x", "core", add("y")), Model("y", "core", add("src"))], folder)

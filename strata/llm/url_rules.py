@@ -109,7 +109,7 @@ def judge_urls(
     none = lambda t: F.lit(None).cast(t)
     events = rules.select("_part", "_key", F.lit(0).alias("_kind"), none(kind).alias("_id"), "host", "path", "verdict")
     events = events.unionByName(urls.withColumns({"_kind": F.lit(1), "verdict": none("string")}))
-    events = events.repartition("_part").sortWithinPartitions("_part", "_key", "_kind")
+    events = events.repartitionById(max(parts, default=0) + 1, "_part").sortWithinPartitions("_part", "_key", "_kind")
     result = f"`{id_col}` {kind}, host string, path string, rule string, verdict string"
     arrow = to_arrow_schema(StructType.fromDDL(result))
 

@@ -159,22 +159,27 @@ def lower_words(text):
     return [w.encode().lower() for w in words(text)]
 
 
-class Bigrams:
-    """Interpolated modified Kneser-Ney with dictionaries."""
+class NGrams:
+    """Interpolated modified Kneser-Ney with dictionaries; None is the end token."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, order=2):
         own = [[None, *lower_words(t), None] for t in texts]
+        self.order = order
         self.c = Counter(w for x in own for w in x[1:])
         self.n, self.v = sum(self.c.values()), len(self.c)
-        self.b = Counter(p for x in own for p in zip(x, x[1:]))
-        self.d = self.discounts(self.b)
-        self.before = Counter(w for _, w in self.b)
-        self.dw = self.discounts(self.before)
-        self.total, self.left = Counter(), defaultdict(float)
-        for (u, _), n in self.b.items():
-            self.total[u] += n
-            self.left[u] += self.d[min(n, 3)]
-        self.rest = sum(self.dw[min(n, 3)] for n in self.before.values()) / max(1, sum(self.before.values()))
+        grams = {k: Counter(tuple(x[i - k : i]) for x in own for i in range(k, len(x) + 1)) for k in range(2, order + 1)}
+        self.counts = {order: grams[order]}
+        for k in range(1, order):
+            self.counts[k] = Counter(g[1:] for g in grams[k + 1])  # distinct words before
+            if k > 1:  # what begins a text has none before it
+                self.counts[k] |= Counter({g: n for g, n in grams[k].items() if g[0] is None})
+        self.d = {k: self.discounts(c) for k, c in self.counts.items()}
+        self.total = {k: Counter() for k in self.counts}
+        self.left = {k: defaultdict(float) for k in self.counts}
+        for k, c in self.counts.items():
+            for g, n in c.items():
+                self.total[k][g[:-1]] += n
+                self.left[k][g[:-1]] += self.d[k][min(n, 3)]
 
     @staticmethod
     def discounts(counts):
@@ -183,21 +188,19 @@ class Bigrams:
         raw = [k - (k + 1) * y * t[k] / t[k - 1] if t[k - 1] else k * y for k in (1, 2, 3)]
         return [0, *(min(max(d, 0), k) for k, d in zip((1, 2, 3), raw))]
 
-    def unigram(self, w):
-        n = self.before.get(w, 0)
-        known = (n - self.dw[min(n, 3)]) / sum(self.before.values()) if n else 0
-        return known + (self.rest if self.b else 1) / (self.v + 1)
-
-    def p(self, u, w):
-        if not self.total.get(u):
-            return self.unigram(w)
-        n = self.b.get((u, w), 0)
-        return ((n - self.d[min(n, 3)]) + self.left[u] * self.unigram(w)) / self.total[u]
+    def p(self, context, w):
+        k = len(context) + 1
+        shorter = self.p(context[1:], w) if context else 1 / (self.v + 1)
+        if not self.total[k].get(context):
+            return shorter
+        n = self.counts[k].get((*context, w), 0)
+        return (n - self.d[k][min(n, 3)] + self.left[k][context] * shorter) / self.total[k][context]
 
     def scores(self, text):
         x = [None, *lower_words(text), None]
         base = sum(math.log10((self.c.get(w, 0) + 1) / (self.n + self.v + 1)) for w in x[1:])
-        return len(x) - 1, sum(w in self.c for w in x[1:]), base, sum(math.log10(self.p(u, w)) for u, w in zip(x, x[1:]))
+        own = sum(math.log10(self.p(tuple(x[max(0, i - self.order + 1) : i]), x[i])) for i in range(1, len(x)))
+        return len(x) - 1, sum(w in self.c for w in x[1:]), base, own
 
 
 def held_out(key):

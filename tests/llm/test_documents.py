@@ -185,7 +185,7 @@ def test_bands_reach_the_recall():
 
 def test_language_model(spark, table, as_query):
     df, rows = table
-    model = brute.Bigrams([t for k, _, t in rows if not brute.held_out(k)])
+    model = brute.NGrams([t for k, _, t in rows if not brute.held_out(k)])
     got = defaultdict(list)
     for r in as_query("op3_language_model", spark, df).collect():
         assert r["train_tokens"] == model.n and r["held_out"] == brute.held_out(r["doc_id"])
@@ -201,15 +201,27 @@ def test_language_model(spark, table, as_query):
 
 def test_model_is_a_distribution_and_beats_add_one(spark, tables):
     df, rows = tables["small"]
-    model = brute.Bigrams([t for k, _, t in rows if not brute.held_out(k)])
+    model = brute.NGrams([t for k, _, t in rows if not brute.held_out(k)])
     for u in (None, b"the", b"never seen"):
-        assert math.isclose(sum(model.p(u, w) for w in model.c) + model.p(u, b"unknown!"), 1.0, rel_tol=1e-9)
+        assert math.isclose(sum(model.p((u,), w) for w in model.c) + model.p((u,), b"unknown!"), 1.0, rel_tol=1e-9)
     trained = kneser_ney.train(df.where(~kneser_ney.held_out(F.col("doc_id"))))
     held = kneser_ney.score(df.where(kneser_ney.held_out(F.col("doc_id"))), trained).agg(F.sum("score"), F.sum("base_score")).first()
     assert held[0] > held[1]
     kneser_ney.released(spark, trained)
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_longer_models(spark, table, monkeypatch, order):
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 5_000)
+    df, rows = table
+    model = brute.NGrams([t for k, _, t in rows if not brute.held_out(k)], order)
+    trained = kneser_ney.train(df.where(~kneser_ney.held_out(F.col("doc_id"))), order=order)
+    got = sorted(kneser_ney.score(df, trained).select("n_tokens", "score").collect())
+    wanted = sorted((n, s) for n, _, _, s in (model.scores(t) for _, _, t in rows))
+    assert len(got) == len(wanted)
+    assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(got, wanted))
+
+
 def test_model_without_training_rows(spark, tables):
     df, _ = tables["odd"]
     scored = kneser_ney.score(df, kneser_ney.train(df.limit(0))).collect()

@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from strata.llm.components import components
-from strata.llm.text import slices
+from strata.llm.text import map_columns
 from strata.session import run_dir
 
 #: Words a worker remembers, and bytes of text hashed at a time. Only speed and memory depend on these.
@@ -119,18 +119,6 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.lit(0), F.col(id_col), F.col(text_col))
 
 
-def _map(df: DataFrame, fn, schema: str, size: int = SLICE) -> DataFrame:
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, size):
-                out = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
-                yield pa.RecordBatch.from_pydict(out, schema=arrow)
-
-    return df.mapInArrow(run, schema)
-
-
 def sign(df: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     """``_key``, ``_id``, ``class``, ``grams`` (size of the set), ``bands`` per row."""
 
@@ -146,7 +134,7 @@ def sign(df: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: st
 
     kind = df.schema[id_col].dataType.simpleString()
     columns = df.select(row_key(id_col, text_col), id_col, text_col)
-    return _map(columns, run, f"_key bigint, _id {kind}, class bigint, grams bigint, bands array<bigint>")
+    return map_columns(columns, run, f"_key bigint, _id {kind}, class bigint, grams bigint, bands array<bigint>", SLICE)
 
 
 def candidate_stars(classes: DataFrame) -> DataFrame:
@@ -235,7 +223,7 @@ def verify(members: DataFrame, texts: DataFrame, n: int, threshold: Fraction) ->
 
     # Members grow with the corpus: merged whatever their size, so that small inputs run the plan of large ones.
     rows = members.hint("merge").join(texts, "_key").select("group", "class", "blocks", "_text")
-    rows = _map(rows, extract, "group bigint, class bigint, blocks int, set binary")
+    rows = map_columns(rows, extract, "group bigint, class bigint, blocks int, set binary", SLICE)
     own = F.pmod(F.xxhash64("class"), "blocks").cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(

@@ -31,13 +31,13 @@ def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.Record
         yield batch.slice(at, step)
 
 
-def map_columns(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def map_columns(df: DataFrame, fn: Callable, schema: str, size: int = SLICE_BYTES) -> DataFrame:
     """Apply ``fn`` to slices of all columns of ``df``, given as lists; it returns a dict of columns by ``schema``."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size):
                 out = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strata.llm.text import map_columns, map_text
+from strata.llm.text import map_columns, map_text, row_hash
 from strata.session import run_dir
 
 #: Fixed values of the base rules: ASCII white space parts words; the symbols counted.
@@ -79,10 +79,6 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def _document(id_col: str, host_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.lit(0), *[F.col(c) for c in (id_col, host_col, text_col)], F.col(text_col).isNull())
-
-
 def measure(df: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFrame:
     def run(keys, ids, hosts, texts):
         found = [measures(t or "") for t in texts]
@@ -92,7 +88,7 @@ def measure(df: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFra
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"_key bigint, _id {kind}, _host string, {', '.join(f'{c} bigint' for c in COUNTS)}, "
     schema += "content bigint, lines array<struct<line: bigint, words: bigint>>"
-    columns = [_document(id_col, host_col, text_col), F.col(id_col), F.col(host_col).cast("string"), F.col(text_col)]
+    columns = [row_hash(id_col, host_col, text_col), F.col(id_col), F.col(host_col).cast("string"), F.col(text_col)]
     return map_columns(df.select(*columns), run, schema)
 
 
@@ -150,7 +146,7 @@ def cleaned(
     """The rows of ``df`` that are kept, all columns, their frequent lines removed from the text."""
     verdicts = judge(df, limit, keep_percent, id_col, host_col, text_col).where("kept")
     verdicts = verdicts.groupBy("_key").agg(F.first("removed").alias("_removed"))
-    rows = df.select(F.struct("*").alias("_row"), _document(id_col, host_col, text_col).alias("_key"))
+    rows = df.select(F.struct("*").alias("_row"), row_hash(id_col, host_col, text_col).alias("_key"))
     rows = rows.join(verdicts, "_key").select("_row", "_removed")
 
     def without(text, removed):

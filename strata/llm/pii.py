@@ -18,7 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strata.llm.text import SPANS
+from strata.llm.text import SPANS, row_hash
 from strata.session import run_dir
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
@@ -188,8 +188,7 @@ def sanitise(
     spark = df.sparkSession
     folder = run_dir(spark, "pii")
     text = F.coalesce(text_col, F.lit(""))
-    key = F.xxhash64(F.lit(0), F.col(id_col), text)
-    texts = df.select(F.col(id_col).alias("_id"), key.alias("_key"), text.alias("_text"))
+    texts = df.select(F.col(id_col).alias("_id"), row_hash(id_col, text_col).alias("_key"), text.alias("_text"))
     found = texts.select("_id", "_key", base_spans(F.col("_text")).alias("base"), "_text")
     found = found.withColumn("_text", F.when(F.size("base") > 0, F.col("_text")))
     found.write.parquet(f"{folder}/found")

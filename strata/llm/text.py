@@ -44,6 +44,12 @@ def map_columns(df: DataFrame, fn: Callable, schema: str, size: int = SLICE_BYTE
     return df.mapInArrow(run, schema)
 
 
+def row_hash(*columns: str) -> Column:
+    """A hash of a row's values that tells a missing one from any other; never null."""
+    values = [F.col(c) for c in columns]
+    return F.xxhash64(*values, *[v.isNull() for v in values])
+
+
 def map_text(rows: DataFrame, schema: StructType, text_col: str, fn: Callable, *more: str) -> DataFrame:
     """The structs ``_row`` of ``rows``, of the given schema, as rows whose text is ``fn`` of itself and the columns ``more``."""
     names = schema.names

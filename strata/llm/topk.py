@@ -10,7 +10,7 @@ candidates are packed into blocks, and every query block meets every candidate b
    ones stay below the cutoff fall away.
 3. The entries left are scored in full, and each block's best k are merged.
 
-Scores are integers and exact. Vectors that are null or hold null, NaN or infinite components take no part; shorter
+Scores are integers and exact as long as they fit 64 bits. Vectors that are null or hold null, NaN or infinite components take no part; shorter
 vectors count as padded with zeros. Ids that are null take no part. A query's own row is known by its id, so
 rows that repeat an id are no candidates for it; repeated queries are answered each; repeated candidates
 count each. Other columns are not read.

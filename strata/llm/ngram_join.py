@@ -24,16 +24,16 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from strata.llm.components import components
-from strata.llm.text import map_columns
+from strata.llm.text import map_columns, row_hash
 from strata.session import run_dir
 
 #: Words a worker remembers, and bytes of text hashed at a time. Only speed and memory depend on these.
-CACHED, SLICE = 800_000, 1 << 20
+CACHED, SLICE = 300_000, 1 << 20
 #: Classes and n-grams in a block of a group under verification.
 BLOCK_CLASSES, BLOCK_GRAMS = 1024, 1 << 19
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -115,10 +115,6 @@ def signatures(grams: np.ndarray, first: np.ndarray, bands: int, rows: int) -> t
     return whole, out
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.lit(0), F.col(id_col), F.col(text_col))
-
-
 def sign(df: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     """``_key``, ``_id``, ``class``, ``grams`` (size of the set), ``bands`` per row."""
 
@@ -133,7 +129,7 @@ def sign(df: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: st
         }
 
     kind = df.schema[id_col].dataType.simpleString()
-    columns = df.select(row_key(id_col, text_col), id_col, text_col)
+    columns = df.select(row_hash(id_col, text_col), id_col, text_col)
     return map_columns(columns, run, f"_key bigint, _id {kind}, class bigint, grams bigint, bands array<bigint>", SLICE)
 
 
@@ -264,7 +260,7 @@ def near_duplicates(
     candidates = components(stored(candidate_stars(classes), "stars"), f"{folder}/candidates")
     members = candidates.select(F.col("node").alias("class"), F.col("label").alias("group")).join(classes, "class")
     members = stored(members.select("group", "class", F.col("least._key").alias("_key"), "grams"), "members")
-    texts = df.select(row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
+    texts = df.select(row_hash(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
     verified = stored(verify(members, texts, n, Fraction(str(threshold))), "verified")
 
     links = verified.groupBy("class").agg(F.sum("links").alias("n_links"))
@@ -290,5 +286,5 @@ def one_of_each(
 ) -> DataFrame:
     """The rows of ``df``, all columns, with one row of every class."""
     kept = near_duplicates(df, threshold, n, recall, id_col, text_col).where("first").select("_key").distinct()
-    rows = df.select(F.struct("*").alias("_row"), row_key(id_col, text_col).alias("_key"))
+    rows = df.select(F.struct("*").alias("_row"), row_hash(id_col, text_col).alias("_key"))
     return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")

@@ -34,8 +34,9 @@ from strata.llm.text import FINE_CHUNK, slices
 from strata.session import run_dir
 
 #: Chunks in each of the cache's two generations; longer chunks are never kept. Only speed and memory depend on these.
-CACHED, CACHED_CHARS = 600_000, 48
-#: Bytes of text encoded at a time.
+CACHED, CACHED_CHARS = 350_000, 48
+#: Chunks given to the tokenizer at a time, and bytes of text encoded at a time.
+TOGETHER = 10_000
 SLICE = 3 << 19
 
 
@@ -80,8 +81,10 @@ class Encoder(dict):
         known = chunks & self.older.keys()
         self.update((c, self.older[c]) for c in known)
         new = list(chunks - known)
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.update((c, array("I", e.ids).tobytes()) for c, e in zip(new, found))
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.update((c, array("I", e.ids).tobytes()) for c, e in zip(some, found))
 
 
 @lru_cache(maxsize=1)

@@ -35,6 +35,10 @@ from strata.session import run_dir
 
 #: Chunks in each of the cache's two generations; longer chunks are never kept. Only speed and memory depend on these.
 CACHED, CACHED_CHARS = 350_000, 48
+#: Fixed rule of byte-level vocabularies: printable bytes are their own character, the others follow from U+0100.
+PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+LATIN_END = "\u0250"
 #: Chunks given to the tokenizer at a time, and bytes of text encoded at a time.
 TOGETHER = 10_000
 SLICE = 3 << 19
@@ -53,6 +57,7 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -80,9 +85,16 @@ class Encoder(dict):
     def learn(self, chunks: set[str]) -> None:
         known = chunks & self.older.keys()
         self.update((c, self.older[c]) for c in known)
-        new = list(chunks - known)
-        for at in range(0, len(new), TOGETHER):
-            some = new[at : at + TOGETHER]
+        rest = []
+        for c in chunks - known:
+            # Latin words are one pre-token whatever the Unicode version; the model alone does for them.
+            if (c[1:] if c[0] == " " else c).isalpha() and (c.isascii() or max(c) < LATIN_END):
+                pieces = self.tokenize(c.encode().decode("latin-1").translate(BYTE_CHARS))
+                self[c] = array("I", [t.id for t in pieces]).tobytes()
+            else:
+                rest.append(c)
+        for at in range(0, len(rest), TOGETHER):
+            some = rest[at : at + TOGETHER]
             found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             self.update((c, array("I", e.ids).tobytes()) for c, e in zip(some, found))
 

@@ -22,7 +22,9 @@ CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 #: The same, with a comma or full stop after a letter or digit in a chunk of its own: the pattern parts there too, and
 #: fewer chunks differ.
-FINE_CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}.,]++(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])(?=[.,])|{CHUNK.pattern}")
+FINE_CHUNK = re.compile(
+    f"[{WHITE}]*(?:[^{WHITE}.,]++(?:(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])(?=[.,])|[^{WHITE}]*)|[^{WHITE}]+)|[{WHITE}]+"
+)
 
 
 def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

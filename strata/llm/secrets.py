@@ -3,7 +3,8 @@
 A candidate is a run of token characters with a digit. Within it, every run of one character class is read by a
 window of fixed width whose entropy is kept up by counts: one character enters, one leaves. Windows at or above
 the class's threshold, joined where they touch, are spans of the kind ``entropy``, unless the allow-list fits the
-candidate or a pattern has found the place already.
+candidate. Of a span that a pattern has found in part, the rest stays a span, unless it is a name that the allow-list
+fits and a separator sets apart (``my_`` before ``token=``).
 
 A null text is empty and has no spans; repeated rows give repeated results; other columns are not read. Spans
 are in code points, the end exclusive, ordered by start, then by kind as in :data:`KINDS`.
@@ -31,6 +32,7 @@ BASE = {
 #: Character classes with the least entropy, in bits, of a window.
 CLASSES = {"hex": (r"[0-9a-f]+", 3.0), "upper": (r"[A-Z0-9]+", 3.5), "base64": (r"[A-Za-z0-9+/_=-]+", 4.0)}
 WINDOW = 20
+SEPARATORS = set("/+_=-")
 #: Candidates that are no secrets: numbers, words with one number before or after, dates, placeholders, paths of words.
 ALLOWED = (
     r"[0-9+/_=-]+",
@@ -92,6 +94,29 @@ def high_entropy(run: str, window: int, threshold: float) -> list[tuple[int, int
     return found
 
 
+def outside(spans: list[list[int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What is left of the ordered, disjoint ``spans`` without the places ``taken``."""
+    covered: list[list[int]] = []
+    for a, b in sorted((s, e) for s, _, e in taken):
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(b, covered[-1][1])
+        else:
+            covered.append([a, b])
+    out, i = [], 0
+    for a, b in spans:
+        while i < len(covered) and covered[i][1] <= a:
+            i += 1
+        k = i
+        while k < len(covered) and covered[k][0] < b:
+            if a < covered[k][0]:
+                out.append((a, covered[k][0]))
+            a = max(a, covered[k][1])
+            k += 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
 class Scanner:
     def __init__(self, classes=CLASSES, window=WINDOW, allowed=ALLOWED):
         self.classes = [(re.compile(p), limit) for p, limit in classes.values()]
@@ -115,14 +140,14 @@ class Scanner:
                 joined[-1][1] = max(b, joined[-1][1])
             else:
                 joined.append([a, b])
-        out, i = [], 0
-        by_end = sorted((s, e) for s, _, e in taken)
-        for a, b in joined:
-            while i < len(by_end) and by_end[i][1] <= a:
-                i += 1
-            if not any(s < b and a < e for s, e in by_end[i : i + len(KINDS)]):
-                out.append((a, len(KINDS) - 1, b))
-        return out
+        starts, ends = {s for s, _, _ in taken}, {e for _, _, e in taken}
+        left = outside(joined, taken)
+        return [(a, len(KINDS) - 1, b) for a, b in left if not self.named(text, a, b, starts, ends)]
+
+    def named(self, text: str, start: int, end: int, starts: set[int], ends: set[int]) -> bool:
+        """Whether what a base span left of a candidate is only a name before or after it, apart by a separator."""
+        beside = [text[end - 1]] * (end in starts) + [text[start]] * (start in ends)
+        return bool(beside and self.allowed and set(beside) <= SEPARATORS and self.allowed.fullmatch(text, start, end))
 
     def spans(self, text: str) -> tuple[list, list]:
         base = base_spans(text)

@@ -1,9 +1,10 @@
 """Secrets in texts: fixed patterns, and windows of high Shannon entropy over candidate strings.
 
 A candidate is a run of token characters with a digit. Within it, every run of one character class is read by a
-window of fixed width whose entropy is kept up by counts: one character enters, one leaves. Windows at or above
-the class's threshold, joined where they touch, are spans of the kind ``entropy``, unless the allow-list fits the
-candidate. Of a span that a pattern has found in part, the rest stays a span, unless it is a name that the allow-list
+window whose entropy is kept up by counts: one character enters, one leaves. The window has a fixed width; a run that
+is shorter, down to the least length, is one window, and the threshold falls with the logarithm of its width. If any
+window is at or above the class's threshold, the whole candidate is a span of the kind ``entropy``, unless the
+allow-list fits it. Of a span that a pattern has found in part, the rest stays a span, unless it is a name that the allow-list
 fits and a separator sets apart (``my_`` before ``token=``).
 
 A null text is empty and has no spans; repeated rows give repeated results; other columns are not read. Spans
@@ -29,9 +30,12 @@ BASE = {
     "hex": (r"[0-9a-f]+", 0, 32),
 }
 
-#: Character classes with the least entropy, in bits, of a window.
-CLASSES = {"hex": (r"[0-9a-f]+", 3.0), "upper": (r"[A-Z0-9]+", 3.5), "base64": (r"[A-Za-z0-9+/_=-]+", 4.0)}
+#: Character classes with the least entropy, in bits, of a whole window. About one in twenty random strings of a class
+#: and of a window's width is below it.
+CLASSES = {"hex": (r"[0-9a-f]+", 3.0), "upper": (r"[A-Z0-9]+", 3.5), "base64": (r"[A-Za-z0-9+/_=-]+", 3.75)}
 WINDOW = 20
+#: Characters of the shortest candidate and run.
+LEAST = 16
 SEPARATORS = set("/+_=-")
 #: Candidates that are no secrets: numbers, words with one number before or after, dates, placeholders, paths of words.
 ALLOWED = (
@@ -94,7 +98,7 @@ def high_entropy(run: str, window: int, threshold: float) -> list[tuple[int, int
     return found
 
 
-def outside(spans: list[list[int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+def outside(spans: list[tuple[int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """What is left of the ordered, disjoint ``spans`` without the places ``taken``."""
     covered: list[list[int]] = []
     for a, b in sorted((s, e) for s, _, e in taken):
@@ -120,30 +124,27 @@ def outside(spans: list[list[int]], taken: list[tuple[int, int, int]]) -> list[t
 class Scanner:
     def __init__(self, classes=CLASSES, window=WINDOW, allowed=ALLOWED):
         self.classes = [(re.compile(p), limit) for p, limit in classes.values()]
-        self.window = window
-        self.candidate = re.compile(rf"[A-Za-z0-9+/_=-]{{{window},}}")
+        self.window, self.least = window, min(LEAST, window)
+        self.candidate = re.compile(rf"[A-Za-z0-9+/_=-]{{{self.least},}}")
         self.allowed = re.compile("|".join(f"(?:{p})" for p in allowed)) if allowed else None
 
     def entropy_spans(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        found: set[tuple[int, int]] = set()
+        found = []
         for m in self.candidate.finditer(text):
             word = m.group()
             if word.isalpha() or self.allowed and self.allowed.fullmatch(word):
                 continue
-            for pattern, limit in self.classes:
-                for run in pattern.finditer(word):
-                    at = m.start() + run.start()
-                    found |= {(at + a, at + b) for a, b in high_entropy(run.group(), self.window, limit)}
-        joined: list[list[int]] = []
-        for a, b in sorted(found):
-            if joined and a <= joined[-1][1]:
-                joined[-1][1] = max(b, joined[-1][1])
-            else:
-                joined.append([a, b])
+            if any(self.high(run.group(), limit) for pattern, limit in self.classes for run in pattern.finditer(word)):
+                found.append(m.span())
         starts, ends = {s for s, _, _ in taken}, {e for _, _, e in taken}
-        left = outside(joined, taken)
+        left = outside(found, taken)
         return [(a, len(KINDS) - 1, b) for a, b in left if not self.named(text, a, b, starts, ends)]
 
+    def high(self, run: str, limit: float) -> bool:
+        """Whether a window of ``run``, or the run itself if it is shorter, reaches the threshold of its width."""
+        width = min(len(run), self.window)
+        return width >= self.least and bool(high_entropy(run, width, limit * log2(width) / log2(self.window)))
+
     def named(self, text: str, start: int, end: int, starts: set[int], ends: set[int]) -> bool:
         """Whether what a base span left of a candidate is only a name before or after it, apart by a separator."""
         beside = [text[end - 1]] * (end in starts) + [text[start]] * (start in ends)

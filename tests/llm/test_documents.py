@@ -455,6 +455,18 @@ def test_rest_of_a_secret_beside_a_pattern_is_a_span():
     assert secrets.outside([[0, 9], [12, 20], [30, 31]], [(2, 0, 4), (3, 1, 5), (8, 0, 14), (29, 0, 40)]) == [(0, 2), (5, 8), (14, 20)]
 
 
+def test_random_keys_are_found_whole():
+    rng, scanner = random.Random(11), secrets.Scanner()
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for length, least in ((16, 0.9), (18, 0.9), (20, 0.9), (24, 0.97), (32, 0.99), (40, 0.99)):
+        keys = ["".join(rng.choices(alphabet, k=length)) for _ in range(1000)]
+        keys = [k for k in keys if any(c.isdigit() for c in k)]
+        found = [scanner.spans(f"the key {k}, as sent")[1] for k in keys]
+        assert all(len(f) <= 1 for f in found)
+        assert sum(f == [(8, 3, 8 + length)] for f in found) >= least * len(keys), length
+        assert not any(f and f[0][1:] != (3, 8 + length) for f in found)  # never in part
+
+
 def test_redacted_rows_keep_all_columns(tables):
     df, rows = tables["odd"]
     out = secrets.redact(df)

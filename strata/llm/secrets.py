@@ -1,11 +1,11 @@
 """Secrets in texts: fixed patterns, and windows of high Shannon entropy over candidate strings.
 
-A candidate is a run of token characters with a digit. Within it, every run of one character class is read by a
-window whose entropy is kept up by counts: one character enters, one leaves. The window has a fixed width; a run that
-is shorter, down to the least length, is one window, and the threshold falls with the logarithm of its width. If any
-window is at or above the class's threshold, the whole candidate is a span of the kind ``entropy``, unless the
-allow-list fits it. Of a span that a pattern has found in part, the rest stays a span, unless it is a name that the allow-list
-fits and a separator sets apart (``my_`` before ``token=``).
+A candidate is a run of token characters. Within it, every run of one character class is read by a window whose
+entropy is kept up by counts: one character enters, one leaves. The window has a fixed width; a run that is shorter,
+down to the least length, is one window, and the threshold falls with the logarithm of its width. If any window is at
+or above the class's threshold, the whole candidate is a span of the kind ``entropy``, unless the allow-list fits it.
+Of a span that a pattern has found in part, the rest stays a span, unless it is a name that the allow-list fits and a
+separator sets apart (``my_`` before ``token=``).
 
 A null text is empty and has no spans; repeated rows give repeated results; other columns are not read. Spans
 are in code points, the end exclusive, ordered by start, then by kind as in :data:`KINDS`.
@@ -37,13 +37,16 @@ WINDOW = 20
 #: Characters of the shortest candidate and run.
 LEAST = 16
 SEPARATORS = set("/+_=-")
-#: Candidates that are no secrets: numbers, words with one number before or after, dates, placeholders, paths of words.
+PLACEHOLDER = "EXAMPLE|Example|example|PLACEHOLDER|Placeholder|placeholder"
+#: Words of plausible length: of one case, or Capitalised ones in a row, the first in lower case or not (camelCase).
+WORD = r"(?:[A-Z]{1,24}|(?:[a-z]{1,24}|[A-Z][a-z]{2,23}|[A-Z][a-z]?(?![A-Za-z]))(?:[A-Z][a-z]{2,23})*+)"
+#: Candidates that are no secrets: numbers, words with one number before or after, dates, what begins or ends as a
+#: placeholder, paths of words.
 ALLOWED = (
     r"[0-9+/_=-]+",
-    r"[0-9]*[A-Za-z]?[a-z]*[0-9]*",
-    r"[A-Z]+[0-9]*",
-    r".*(?i:example|placeholder|xxxx).*",
-    r"(?:[A-Za-z]*[0-9]{0,6}[/_=-])*[A-Za-z]*[0-9]{0,6}",
+    rf"[0-9]*{WORD}?[0-9]*",
+    rf"(?:{PLACEHOLDER}).*|.*(?:{PLACEHOLDER})(?:KEY|Key|key)?",
+    rf"(?:{WORD}?[0-9]{{0,6}}[/_=-])*{WORD}?[0-9]{{0,6}}",
 )
 
 
@@ -76,7 +79,7 @@ def high_entropy(run: str, window: int, threshold: float) -> list[tuple[int, int
     """
     if len(run) < window:
         return []
-    weight = [0.0] + [c * log2(c) for c in range(1, window + 1)]
+    weight = [0.0] + [c * log2(c) for c in range(1, window + 2)]  # one enters before one leaves
     most = (log2(window) - threshold) * window + 1e-9
     counts: dict[str, int] = {}
     total, found = 0.0, []
@@ -132,7 +135,7 @@ class Scanner:
         found = []
         for m in self.candidate.finditer(text):
             word = m.group()
-            if word.isalpha() or self.allowed and self.allowed.fullmatch(word):
+            if self.allowed and self.allowed.fullmatch(word):
                 continue
             if any(self.high(run.group(), limit) for pattern, limit in self.classes for run in pattern.finditer(word)):
                 found.append(m.span())

@@ -467,6 +467,19 @@ def test_random_keys_are_found_whole():
         assert not any(f and f[0][1:] != (3, 8 + length) for f in found)  # never in part
 
 
+def test_only_words_are_allowed_whatever_their_entropy():
+    scanner = secrets.Scanner()
+    keys = ["kTqZxWvBnMpLrSdFgHjYcUaEiO42", "kTqZxWvBnMpLrSdFgHjYcUaEiO", "QwErTyUiOpAsDfGhJkLzXcVbNmQaZw12"]
+    keys += ["q7Rxxxx9ZkL2vN8bTy4WmP1s", "aK9examplezT3bQ8wL5pR2", "kqzxwvbnmplrsdfghjyctueio42"]
+    for key in keys:
+        assert scanner.spans(f"see {key} there")[1] == [(4, 3, 4 + len(key))], key
+    words = ["thisisaverylongplainwordindeed", "getElementsByClassNameFrom", "some_path/with-words/2024", "CONSTANT_NAME_WITH_WORDS_12"]
+    words += ["GetElementsByClassName2", "https_HTTP_Server/ID_12", "Donaudampfschifffahrtsgesellschaft", "xxxxxxxxxxxxxxxxxxxxxxxx"]
+    for word in words:
+        assert scanner.spans(f"see {word} there")[1] == [], word
+    assert scanner.spans("K7" + "y" * 60)[1] == []  # one character fills the window
+
+
 def test_redacted_rows_keep_all_columns(tables):
     df, rows = tables["odd"]
     out = secrets.redact(df)

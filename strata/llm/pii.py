@@ -4,8 +4,8 @@ Protected entities are the values the patterns find. A term (a word of three let
 disclose it even after the entity is gone. With N documents, n(t) of them with term t, n(e) distinct lines with entity e and
 n(t, e) distinct lines with both, the pointwise mutual information of t and e is log2(n(t, e) N / (n(t) n(e))), and
 the information of e is -log2(n(e) / N). Their ratio is the share of e's information that t discloses: 1 if t
-occurs with e only. In a document that mentions e, terms with a ratio of ``generalise_at`` or more
-are generalised, of ``remove_at`` or more removed, if n(t, e) is ``support`` or more. Copies of a line count once in
+occurs with e only. Anywhere in a document that mentions e, or on demand in all documents, terms with a ratio of
+``generalise_at`` or more are generalised, of ``remove_at`` or more removed, if n(t, e) is ``support`` or more. Copies of a line count once in
 n(e) and n(t, e), and n(t) counts all documents, so copies alone never make a term disclosing.
 
 A null text is empty. Rows equal in id and text are one document and get the same result each; other columns are
@@ -179,37 +179,52 @@ def replaced(text: Column, spans: Column) -> Column:
     return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
 
 
+def rated_terms(near: DataFrame, texts: DataFrame, terms: DataFrame, everywhere: bool) -> DataFrame:
+    """``_key`` and the terms to ``generalise`` and to ``remove`` in the row's text, of the rows that have any."""
+    if everywhere:
+        words = texts.select("_key", F.explode(_terms(F.col("_text"))).alias("term"))
+        own = words.join(terms.groupBy("term").agg(F.max("action").alias("action")), "term")
+    else:
+        named = near.select("_key", "entity").distinct()
+        texts = texts.join(named.select("_key").distinct(), "_key", "left_semi")
+        words = texts.select("_key", F.explode(_terms(F.col("_text"))).alias("term"))
+        own = words.join(terms, "term").join(named, ["_key", "entity"])
+    own = own.groupBy("_key", "term").agg(F.max("action").alias("action"))
+    lists = [F.collect_set(F.when(F.col("action") == a, F.col("term"))).alias(a) for a in ("generalise", "remove")]
+    return own.groupBy("_key").agg(*lists)
+
+
 def sanitise(
     df: DataFrame, support: int = 3, generalise_at: float = 0.9, remove_at: float = 0.97, id_col: str = "doc_id",
-    text_col: str = "text",
+    text_col: str = "text", everywhere: bool = False,
 ) -> DataFrame:
     """Id, ``base`` and ``spans`` (arrays of kind, start, end) and ``text``, the sanitised text, null where nothing
-    was found and the text stays as it is."""
+    was found and the text stays as it is. A disclosing term is looked for in the whole texts that mention its
+    entity, with ``everywhere`` in all texts."""
     spark = df.sparkSession
     folder = run_dir(spark, "pii")
+
+    def stored(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
     text = F.coalesce(text_col, F.lit(""))
     texts = df.select(F.col(id_col).alias("_id"), row_hash(id_col, text_col).alias("_key"), text.alias("_text"))
     found = texts.select("_id", "_key", base_spans(F.col("_text")).alias("base"), "_text")
-    found = found.withColumn("_text", F.when(F.size("base") > 0, F.col("_text")))
-    found.write.parquet(f"{folder}/found")
-    found = spark.read.parquet(f"{folder}/found")
-    mentions(found).write.parquet(f"{folder}/near")
-    near = spark.read.parquet(f"{folder}/near")
-    disclosing(near, texts, support, generalise_at, remove_at).write.parquet(f"{folder}/terms")
-    terms = spark.read.parquet(f"{folder}/terms")
-
-    own = near.select("_key", "entity", F.explode("terms").alias("term")).join(terms, ["entity", "term"])
-    own = own.groupBy("_key", "term").agg(F.max("action").alias("action")).groupBy("_key").agg(
-        *[F.collect_set(F.when(F.col("action") == a, F.col("term"))).alias(a) for a in ("generalise", "remove")]
-    )
-    both = found.join(own, "_key", "left")
-    none = F.array().cast("array<string>")
-    added = [_term_spans(F.col("_text"), F.col("base"), F.coalesce(a, none), a) for a in ("generalise", "remove")]
-    spans = F.when(F.col("generalise").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", *added)))
-    both = both.select("_id", "base", "_text", spans.alias("spans"))
+    found = stored(found.withColumn("_text", F.when(F.size("base") > 0, F.col("_text"))), "found")
+    near = stored(mentions(found), "near")
+    terms = stored(disclosing(near, texts, support, generalise_at, remove_at), "terms")
+    own = stored(rated_terms(near, texts, terms, everywhere), "own")
+
+    # Rows with terms come from the input, since texts without base spans are not stored.
+    rows = texts.join(own, "_key").withColumn("base", base_spans(F.col("_text")))
+    added = [_term_spans(F.col("_text"), F.col("base"), F.col(a), a) for a in ("generalise", "remove")]
+    rows = rows.select("_id", "base", "_text", F.array_sort(F.concat("base", *added)).alias("spans"))
+    rest = found.join(own, "_key", "left_anti").select("_id", "base", "_text", F.col("base").alias("spans"))
+    both = rest.unionByName(rows)
     return both.select(
         F.col("_id").alias(id_col),
         _plain(F.col("base")).alias("base"),
         _plain(F.col("spans")).alias("spans"),
-        replaced(F.col("_text"), F.col("spans")).alias("text"),
+        F.when(F.size("spans") > 0, replaced(F.col("_text"), F.col("spans"))).alias("text"),
     )

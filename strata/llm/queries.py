@@ -45,7 +45,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query
 def op1_sanitise(spark, folder):
-    found = pii.sanitise(table(spark, folder, "documents"))
+    found = pii.sanitise(table(spark, folder, "documents"), everywhere=True)
     return found.select(
         "doc_id",
         *[count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.PATTERNS],

@@ -133,6 +133,28 @@ def test_disclosing_terms_are_replaced_where_their_entity_is(spark):
     assert "Isidora" in out[50]["text"] and "[EMAIL]" in out[50]["text"]  # copies of a line count once
 
 
+def test_disclosing_terms_are_found_off_their_entitys_line(spark, as_query):
+    rows = [(i, f"Note {i} from Zybrowski at quentin@mail.example.org came.") for i in range(4)]
+    rows += [(10 + i, f"Other note {i} came from here.") for i in range(30)]
+    rows += [(60, "Ask quentin@mail.example.org first.\nThe family of Zybrowski knows."), (60, "Ask quentin@mail.example.org first.\nThe family of Zybrowski knows.")]
+    rows += [(61, "The family of Zybrowski knows."), (62, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = [(r["doc_id"], r["text"]) for r in pii.sanitise(df, generalise_at=0.7, remove_at=0.7).collect()]
+    assert len(pairs) == len(rows)
+    assert sorted(t for k, t in pairs if k == 60) == ["Ask [EMAIL] first.\nThe family of  knows."] * 2
+    assert dict(pairs)[61] is None
+    out = pii.sanitise(df, generalise_at=0.7, remove_at=0.7, everywhere=True).collect()
+    assert len(out) == len(rows)
+    by_id = {r["doc_id"]: r for r in out}
+    assert by_id[61]["text"] == "The family of  knows." and by_id[61]["base"] == [] and by_id[62]["text"] is None
+    assert "Zybrowski" not in "".join(r["text"] or "" for r in out) and by_id[10]["text"] is None
+    # the registered query looks everywhere, with its own thresholds
+    more = df.where("doc_id < 60").union(spark.createDataFrame([(63, "a\nZybrowski"), (64, "")], df.schema))
+    more = more.union(spark.createDataFrame([(100 + i, f"Line {i} of many others.") for i in range(300)], df.schema))
+    spans = {r["doc_id"]: r["spans"] for r in as_query("op1_sanitise", spark, more).collect()}
+    assert spans[63] in ("generalise:2:11", "remove:2:11") and spans[64] == ""
+
+
 def test_disclosure_ratio(spark):
     near = spark.createDataFrame(
         [("e1", line, ["rare", "common"]) for line in range(4)] + [("e2", 9, ["single"])], "entity string, line long, terms array<string>"

@@ -1,12 +1,12 @@
 """Personal data by patterns, and terms that give it away by information theory. DataFrame functions only.
 
-Protected entities are the values the patterns find. A term (a word of three letters or more) near an entity, that is in its line, may
-disclose it even after the entity is gone. With N documents, n(t) of them with term t, n(e) distinct lines with entity e and
-n(t, e) distinct lines with both, the pointwise mutual information of t and e is log2(n(t, e) N / (n(t) n(e))), and
-the information of e is -log2(n(e) / N). Their ratio is the share of e's information that t discloses: 1 if t
-occurs with e only. Anywhere in a document that mentions e, or on demand in all documents, terms with a ratio of
-``generalise_at`` or more are generalised, of ``remove_at`` or more removed, if n(t, e) is ``support`` or more. Copies of a line count once in
-n(e) and n(t, e), and n(t) counts all documents, so copies alone never make a term disclosing.
+Protected entities are the values the patterns find. A term (a word of three letters or more) near an entity, that is in
+its line, may disclose it even after the entity is gone. Everything is counted in distinct lines of the corpus, so copies
+of lines or documents neither raise nor lower a count. With N of them, n(t) with term t, n(e) with entity e and n(t, e)
+with both, the pointwise mutual information of t and e is log2(n(t, e) N / (n(t) n(e))), and the information of e is
+-log2(n(e) / N). Their ratio is the share of e's information that t discloses: 1 if t occurs with e only. Anywhere in
+a document that mentions e, or on demand in all documents, terms with a ratio of ``generalise_at`` or more are
+generalised, of ``remove_at`` or more removed, if n(t, e) is ``support`` or more.
 
 A null text is empty. Rows equal in id and text are one document and get the same result each; other columns are
 not read. Spans are in code points, the end exclusive, by start, then by kind as in :data:`KINDS`.
@@ -122,20 +122,28 @@ def _terms(text: Column) -> Column:
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """``_key``, ``entity``, ``line`` (hash of what surrounds it) and the line's ``terms``, per span."""
+    """``_key``, ``entity``, ``line`` (its hash) and the line's ``terms`` around the span, per span."""
     spans = found.where(F.size("base") > 0).select("_key", "_text", F.explode("base").alias("s"))
     head = F.substring_index(F.substring(F.col("_text"), F.lit(1), F.col("s.start").cast("int")), "\n", -1)
     tail = F.substring(F.col("_text"), F.col("s.end").cast("int") + 1, F.length("_text"))
     tail = F.substring_index(tail, "\n", 1)
-    spans = spans.select("_key", entity(F.col("s.kind"), F.col("s.hit")).alias("entity"), head.alias("h"), tail.alias("t"))
-    return spans.select("_key", "entity", F.xxhash64("h", "t").alias("line"), _terms(F.concat_ws(" ", "h", "t")).alias("terms"))
+    spans = spans.select(
+        "_key", entity(F.col("s.kind"), F.col("s.hit")).alias("entity"), head.alias("h"), F.col("s.hit").alias("hit"), tail.alias("t")
+    )
+    line = F.xxhash64(F.concat("h", "hit", "t")).alias("line")  # no span crosses the end of a line
+    return spans.select("_key", "entity", line, _terms(F.concat_ws(" ", "h", "t")).alias("terms"))
+
+
+def distinct_lines(texts: DataFrame) -> DataFrame:
+    """``_text``: every line of the texts once."""
+    return texts.select(F.explode(F.split("_text", "\n", -1)).alias("_text")).distinct()
 
 
 def disclosing(near: DataFrame, texts: DataFrame, support: int, generalise_at: float, remove_at: float) -> DataFrame:
     """``entity``, ``term``, ``ratio``, ``action`` of the terms at or above the thresholds.
 
-    ``near`` are mentions, ``texts`` all documents' texts (column ``_text``). Counts are of the whole corpus; terms
-    are counted by partial aggregation before they meet the few candidates.
+    ``near`` are mentions, ``texts`` what terms are counted in (column ``_text``): the corpus in the unit of ``near``, that is
+    its distinct lines. Terms are counted by partial aggregation before they meet the few candidates.
     """
     lines = near.select("entity", "line").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     both = near.select("entity", "line", F.explode("terms").alias("term")).distinct()
@@ -213,7 +221,7 @@ def sanitise(
     found = texts.select("_id", "_key", base_spans(F.col("_text")).alias("base"), "_text")
     found = stored(found.withColumn("_text", F.when(F.size("base") > 0, F.col("_text"))), "found")
     near = stored(mentions(found), "near")
-    terms = stored(disclosing(near, texts, support, generalise_at, remove_at), "terms")
+    terms = stored(disclosing(near, distinct_lines(texts), support, generalise_at, remove_at), "terms")
     own = stored(rated_terms(near, texts, terms, everywhere), "own")
 
     # Rows with terms come from the input, since texts without base spans are not stored.

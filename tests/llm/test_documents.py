@@ -155,6 +155,21 @@ def test_disclosing_terms_are_found_off_their_entitys_line(spark, as_query):
     assert spans[63] in ("generalise:2:11", "remove:2:11") and spans[64] == ""
 
 
+def test_copies_do_not_change_what_is_disclosing(spark):
+    lines = [f"Note {i} from Zybrowski at quentin@mail.example.org came.\nEnd {i}." for i in range(4)]
+    others = [f"Other note {i} came from here." for i in range(60)]
+    kinds = []
+    for copies in (1, 40):
+        texts = [t for t in lines for _ in range(copies)] + others
+        out = pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        found = [r["text"] for r in out if r["doc_id"] < 4 * copies]
+        assert len(found) == 4 * copies and not any("Zybrowski" in t for t in found)
+        kinds.append({s["kind"] for r in out for s in r["spans"]})
+    assert kinds == [{"email", "remove"}] * 2
+    texts = spark.createDataFrame([("a\nb\n\na",), ("b",), ("",)], "_text string")
+    assert sorted(r[0] for r in pii.distinct_lines(texts).collect()) == ["", "a", "b"]
+
+
 def test_disclosure_ratio(spark):
     near = spark.createDataFrame(
         [("e1", line, ["rare", "common"]) for line in range(4)] + [("e2", 9, ["single"])], "entity string, line long, terms array<string>"

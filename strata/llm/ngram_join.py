@@ -145,9 +145,11 @@ def candidate_stars(classes: DataFrame) -> DataFrame:
 # --- verification -----------------------------------------------------------------------
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+def linked(sets: list[np.ndarray], side: np.ndarray | None, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Links per set, and for each set the place of the least set connected to it, among the pairs to compare: those of
-    different sides if there are two sides, else all."""
+    different sides, none if a side is empty; all without sides."""
+    if side is not None and (side.all() or not side.any()):
+        return np.zeros(len(sets), np.int64), np.arange(len(sets))
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     grams = np.concatenate(sets)
@@ -161,8 +163,8 @@ def linked(sets: list[np.ndarray], side: np.ndarray, threshold: Fraction) -> tup
 
     order = np.argsort(sizes, kind="stable")
     by_size = sizes[order]
-    bits, two_sides = bits[order], bool(side.any() and not side.all())
-    own_side = side[order]
+    bits = bits[order]
+    own_side = None if side is None else side[order]
     up, down = threshold.denominator, threshold.numerator
     links, root = np.zeros(n, np.int64), np.arange(n)
     # A pair at the threshold has sizes at most 1 / threshold apart.
@@ -173,7 +175,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray, threshold: Fraction) -> tup
             b = min(a + step, int(until[i]))
             both = np.bitwise_count(bits[a:b] & bits[i]).sum(axis=1, dtype=np.int64)
             hit = up * both >= down * (by_size[a:b] + by_size[i] - both)
-            if two_sides:
+            if own_side is not None:
                 hit &= own_side[a:b] != own_side[i]
             if not hit.any():
                 continue
@@ -230,10 +232,10 @@ def verify(members: DataFrame, texts: DataFrame, n: int, threshold: Fraction) ->
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for (_, i, _), members_ in _groups(batches, 3):
+        for (_, i, j), members_ in _groups(batches, 3):
             distinct = {c: (own != i, raw) for c, own, raw in members_}  # a row may repeat
             classes = np.array(list(distinct), np.int64)
-            side = np.array([s for s, _ in distinct.values()])
+            side = np.array([s for s, _ in distinct.values()]) if i != j else None
             links, root = linked([np.frombuffer(raw, np.uint64) for _, raw in distinct.values()], side, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(links), pa.array(classes[root])], schema=arrow)
 

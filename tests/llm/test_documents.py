@@ -215,6 +215,21 @@ def test_large_groups_are_verified_in_blocks(spark, monkeypatch):
     same(out, ["doc_id", "class_id", "copy_id", "n_links"], brute.near_duplicates(rows))
 
 
+@pytest.mark.parametrize("block_grams", [30, 100])
+def test_links_are_counted_once_with_empty_blocks(spark, monkeypatch, block_grams):
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", block_grams)
+    rng = random.Random(4)
+    rows = []
+    for group in range(6):  # of two or three long texts each
+        base = [f"g{group}t{rng.randrange(10_000)}" for _ in range(200)]
+        for i in range(2 + group % 2):
+            rows.append((10 * group + i, " ".join([*base, *[f"end{group}x{i}"] * (i > 0)])))
+    out = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    wanted = brute.near_duplicates(rows)
+    assert {r[3] for r in wanted} == {1, 2}
+    same(out, ["doc_id", "class_id", "copy_id", "n_links"], wanted)
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and 1 - (1 - 0.3**rows) ** bands <= 0.01

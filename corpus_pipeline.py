@@ -1,7 +1,7 @@
 """Corpus pipeline over ``documents``.
 
 Quality rules reject documents and remove lines that many documents of a source share; of near-duplicates the document
-of the least id stays; secrets are replaced; what is left is tokenized and packed into sequences.
+of the least id stays; secrets are replaced; what is left is tokenized and packed into sequences; every piece carries its token ids.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, SEQUENCE)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, SEQUENCE, keep_ids=True)
 
 
 STAGES = [

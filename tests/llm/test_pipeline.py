@@ -53,6 +53,17 @@ def test_stages_agree_with_plain_versions(spark):
     assert max(filled.values()) <= queries.SEQUENCE
 
 
+def test_last_stage_carries_the_sequences(spark):
+    docs = spark.createDataFrame([(1, "one two three " * 900), (2, "four"), (3, None)], "doc_id long, text string")
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = {}
+    for r in sorted(corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect(), key=lambda r: (r["doc_id"], r["piece"])):
+        assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        pieces[r["doc_id"]] = pieces.get(r["doc_id"], b"") + r["ids"]
+    for key, text in ((1, "one two three " * 900), (2, "four"), (3, "")):
+        assert array("I", pieces[key]).tolist() == [*own.encode(text, add_special_tokens=False).ids, queries.END_ID]
+
+
 def test_all_are_registered():
     names = set(entry.queries())
     assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if x[:2] == "op" and x[2].isdigit()}

@@ -13,7 +13,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strata.llm import bpe, kneser_ney, line_quality, ngram_join, packing, pii, secrets, topk, url_rules, viterbi
+from strata.llm import bpe, collocations, kneser_ney, line_quality, merkle, ngram_join, packing, pii, secrets, simhash, topk, url_rules, viterbi
 from strata.llm.text import count_kind, spans_digest, spans_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +139,33 @@ URL_RULES = (
 def op10_url_rules(spark, folder):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(table(spark, folder, "pages"), rules)
+
+
+@query
+def op11_simhash(spark, folder):
+    linked = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, radius=2)
+    return linked.select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op12_collocations(spark, folder):
+    return collocations.phrases(table(spark, folder, "documents"), longest=5, least=100, absorbed_percent=100, top=2000)
+
+
+LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query
+def op13_merkle(spark, folder):
+    docs = table(spark, folder, "documents")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(changed, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    claimed = [text if c == "text" else F.col(c) for c in LEAF_COLUMNS]
+    listed = merkle.manifest(docs, LEAF_COLUMNS, fanout=3, claimed=claimed)
+    return listed.select(
+        "doc_id",
+        *[merkle.hex_text(c).alias(c) for c in ("leaf", "subroot", "root")],
+        merkle.proof_digest("proof").alias("proof_sha256"),
+        merkle.hex_text("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )

@@ -10,6 +10,7 @@ LOAD_TS = dt.datetime(2024, 2, 1, 6, 30)
 RUN_STARTED = dt.datetime(2024, 2, 1, 6, 0)
 RUN_ID = "run-0001"
 NEXT_LOAD_TS, NEXT_RUN_STARTED, NEXT_RUN_ID = dt.datetime(2024, 2, 2, 6, 30), dt.datetime(2024, 2, 2, 6, 0), "run-0002"
+CORRECTED_TS = dt.datetime(2024, 2, 3, 6, 30)
 AS_OF = dt.date(2024, 2, 1)
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")

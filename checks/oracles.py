@@ -1060,3 +1060,75 @@ Q["stream_daily_weather"] = ON_DAILY + """
 SELECT measurement_date, avg_temperature, min_temperature, max_temperature, total_precipitation, measurement_count
 FROM daily"""
 Q["stream_upsert_out_of_order"] = Q["stream_upsert"]
+
+# --- loads that merge, estimates, counts on the way ------------------------------------------
+
+Q["merge_on_read"] = Q["merge_on_read_compacted"] = Q["incremental_upsert"]
+Q["dq_observed"], Q["dq_unique_hashed"], Q["sql_comfort"] = Q["dq_report"], Q["dq_unique"], Q["comfort_index"]
+Q["interleaved_write"] = ON_LINES + f"SELECT {KEY}, customer_id, order_date FROM lines"
+Q["stream_dedupe"] = Q["append_load"]
+Q["expire_rows"] = ON_READINGS + f"""
+SELECT event_id, reading_ts, strftime(reading_ts, '%Y%m') AS month FROM readings
+WHERE CAST(reading_ts AS DATE) > {lit(fx.EXPIRE_AS_OF)} - {fx.EXPIRE_DAYS}"""
+Q["unique_customers_sketch"] = ON_LINES + """
+SELECT month_start AS period_start, COUNT(DISTINCT customer_id) AS unique_customers,
+       COUNT(DISTINCT order_id) AS total_orders, TRUE AS customers_near, TRUE AS orders_near
+FROM priced GROUP BY 1"""
+Q["incremental_states"] = ON_LINES + f"""
+, corrected AS (
+  SELECT *, YEAR(order_date) AS order_year, YEAR(order_date) = {fx.REFRESH_YEAR} AND order_id % 7 = 0 AS wrong FROM lines)
+SELECT region, order_year, CAST(SUM(CASE WHEN wrong THEN quantity + 100 ELSE quantity END) AS BIGINT) AS quantity,
+       {money('sales')} AS sales, MIN(order_date) AS first_date, MAX(order_date) AS last_date,
+       MAX(CASE WHEN wrong THEN {lit(fx.CORRECTED_TS)} WHEN order_date >= {lit(fx.FIRST_LOAD_UNTIL)}
+                THEN {lit(fx.NEXT_LOAD_TS)} ELSE {lit(fx.LOAD_TS)} END) AS loaded_at,
+       COUNT(DISTINCT order_id) AS total_orders, COUNT(DISTINCT customer_id) AS unique_customers
+FROM corrected GROUP BY 1, 2"""
+
+
+def shipped(unit: str, names: tuple[str, str, str]) -> str:
+    return f"""
+  SELECT date_trunc('{unit}', ship_date) AS {unit}_start, {money('net_sales')} AS {names[0]}, {money('profit')} AS {names[1]},
+         COUNT(DISTINCT order_id) AS {names[2]}, COUNT(DISTINCT supplier_id) AS {unit}_suppliers
+  FROM priced WHERE ship_date IS NOT NULL GROUP BY 1"""
+
+
+Q["shipments_overview"] = ON_LINES + f"""
+, m AS ({shipped('month', ('total_sales', 'total_profit', 'total_orders'))}),
+q AS ({shipped('quarter', ('quarterly_sales', 'quarterly_profit', 'quarterly_orders'))}),
+y AS ({shipped('year', ('yearly_sales', 'yearly_profit', 'yearly_orders'))})
+SELECT CAST(month_start AS DATE) AS month_start, YEAR(month_start) AS year, QUARTER(month_start) AS quarter,
+       MONTH(month_start) AS month, total_sales, total_profit, total_orders, month_suppliers AS unique_customers,
+       quarterly_sales, quarterly_profit, quarterly_orders, yearly_sales, yearly_profit, yearly_orders,
+       {ratio('total_profit', 'total_sales')} AS profit_margin, {ratio('total_sales', 'total_orders')} AS avg_order_value
+FROM m JOIN q ON quarter_start = date_trunc('quarter', month_start) JOIN y ON year_start = date_trunc('year', month_start)"""
+
+BROKEN = "EXTRACT(day FROM reading_ts) % 5 = 0"
+MEASURES = ("temperature_2m", "relative_humidity_2m", "wind_speed_10m", "precipitation")
+Q["api_variant_rows"] = ON_READINGS + f"""
+, hourly AS (
+  SELECT date_trunc('hour', reading_ts) AS reading_ts, {', '.join(f"{mean(m)} AS {m}" for m in MEASURES)}
+  FROM readings WHERE NOT {BROKEN} GROUP BY 1
+), whole AS (
+  {' UNION ALL '.join(f"SELECT reading_ts, '{m}' AS measure, {m} AS value FROM hourly" for m in MEASURES)}
+), placed AS (
+  SELECT reading_ts, ROW_NUMBER() OVER (PARTITION BY CAST(reading_ts AS DATE) ORDER BY reading_ts) AS place FROM hourly
+)
+SELECT * FROM whole UNION ALL
+SELECT reading_ts, 'pressure_msl', CASE WHEN n = 1 THEN CAST(1000.5 AS DOUBLE) END
+FROM (SELECT DISTINCT CAST(reading_ts AS DATE) AS day FROM hourly) CROSS JOIN (VALUES (1), (2), (3)) AS numbers(n)
+LEFT JOIN placed ON place = n AND CAST(reading_ts AS DATE) = day
+UNION ALL
+SELECT NULL, 'malformed documents', CAST(COUNT(DISTINCT CAST(reading_ts AS DATE)) AS DOUBLE) FROM readings WHERE {BROKEN}"""
+
+
+def watched(batch: int, part: str) -> str:
+    rules = [(c, "not_null", f"{c} IS NULL") for c in ("event_id", *MEASURES)]
+    rules += [("temperature_2m", "accepted_range", "temperature_2m < -5 OR temperature_2m > 25"), ("wind_speed_10m", "positive", "wind_speed_10m <= 0")]
+    return " UNION ALL ".join(
+        f"SELECT CAST({batch} AS BIGINT) AS batch_id, 'readings' AS table_name, '{c}' AS column_name, '{rule}' AS rule, "
+        f"COUNT(*) FILTER ({failed}) AS failed_rows, COUNT(*) AS total_rows, COUNT(*) AS written_rows FROM readings WHERE reading_ts {part}"
+        for c, rule, failed in rules
+    )
+
+
+Q["stream_checked"] = ON_READINGS + watched(0, f"< {lit(fx.HALF_TIME)}") + " UNION ALL " + watched(1, f">= {lit(fx.HALF_TIME)}")

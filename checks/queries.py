@@ -14,12 +14,13 @@ from checks import fixture as fx
 from strata.functions import retail
 from strata.functions import weather as wx
 from strata.functions.exprs import mean, money_sum, month_start, ratio, whole
-from strata.operators import customers, enrich, metrics, products, quality, refresh, sales, staging, weather
+from strata.functions import named
+from strata.operators import customers, deltas, distinct, enrich, metrics, products, quality, refresh, sales, staging, weather
 from strata.plans.layers import run_layers
 from strata.plans.retail import retail_models
 from strata.plans.weather import weather_models
 from strata.session import prepare, run_dir
-from strata.sources import scans, schema, sinks, star
+from strata.sources import marks, scans, schema, sinks, star
 from strata.sources.tables import read_table
 from strata.streaming import loads
 
@@ -94,6 +95,20 @@ def api_hourly_rows(spark, folder):
     return scans.hourly_readings(star.hourly_documents(spark, folder), "payload")
 
 
+@query
+def api_variant_rows(spark, folder):
+    """Documents with a measure nobody declared and shorter than the times, some of them broken off, which are counted."""
+    days = star.hourly_documents(spark, folder)
+    more = F.replace("payload", F.lit('{"hourly":{'), F.lit('{"hourly":{"pressure_msl":[1000.5,"calm",null],'))
+    broken = F.dayofmonth("day") % 5 == 0
+    documents = days.select(F.when(broken, F.expr("left(payload, length(payload) - 3)")).otherwise(more).alias("payload"))
+    lost = scans.malformed(documents, "payload").agg(
+        F.lit(None).cast("timestamp_ntz").alias("reading_ts"), F.lit("malformed documents").alias("measure"),
+        F.count(F.lit(1)).cast("double").alias("value"),
+    )
+    return scans.open_readings(documents, "payload").unionByName(lost)
+
+
 @query
 def conform_schema(spark, folder):
     declared = schema.declare_schema(
@@ -179,6 +194,16 @@ def expire_partitions(spark, folder):
     return read_table(spark, path)
 
 
+@query
+def expire_rows(spark, folder):
+    """Partitions by month; the one the limit falls into keeps its younger rows."""
+    path = run_dir(spark, "expiry-rows")
+    dated = star.readings(spark, folder).select("event_id", "reading_ts")
+    sinks.write_partitioned(dated.withColumn("month", F.date_format("reading_ts", "yyyyMM")), path, ["month"], ["reading_ts"])
+    sinks.expire_rows(spark, path, "month", "reading_ts", fx.EXPIRE_DAYS, fx.EXPIRE_AS_OF)
+    return read_table(spark, path)
+
+
 @query
 def append_load(spark, folder):
     path = run_dir(spark, "append")
@@ -217,6 +242,14 @@ def partitioned_write(spark, folder):
     )
 
 
+@query
+def interleaved_write(spark, folder):
+    path = run_dir(spark, "interleaved")
+    source = lines(spark, folder, *LINE_KEY, "customer_id", "order_date")
+    sinks.write_interleaved(source, path, ["order_date", "customer_id"])
+    return read_table(spark, path)
+
+
 # --- staging ------------------------------------------------------------------------------
 
 
@@ -275,15 +308,17 @@ def dedupe_latest(spark, folder):
 @query
 def hwm_exclusive(spark, folder):
     events = star.table(spark, folder, "events").select("event_id", "ts", "event_type", "value")
-    loaded = events.where(F.col("ts") <= ntz(fx.HALF_TIME))
-    return refresh.newer_rows(events, loaded, "ts")
+    path = run_dir(spark, "hwm")
+    refresh.incremental_append(events.where(F.col("ts") <= ntz(fx.HALF_TIME)), path, "ts")
+    return refresh.newer_rows(events, marks.stored_mark(spark, path, "ts"), "ts")
 
 
 @query
 def hwm_inclusive(spark, folder):
     orders = star.table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
-    loaded = orders.where(F.col("o_orderdate") <= F.lit(fx.FIRST_LOAD_UNTIL))
-    return refresh.newer_rows(orders, loaded, "o_orderdate", inclusive=True)
+    path = run_dir(spark, "hwm-inclusive")
+    refresh.incremental_append(orders.where(F.col("o_orderdate") <= F.lit(fx.FIRST_LOAD_UNTIL)), path, "o_orderdate")
+    return refresh.newer_rows(orders, marks.stored_mark(spark, path, "o_orderdate"), "o_orderdate", inclusive=True)
 
 
 @query
@@ -357,6 +392,24 @@ def comfort_index(spark, folder):
     return weather.comfort(star.readings(spark, folder))
 
 
+@query
+def sql_comfort(spark, folder):
+    """:func:`comfort_index` in SQL text, with the formulas as functions of the session."""
+    named.register(spark, "strata_")
+    star.readings(spark, folder).createOrReplaceTempView("strata_readings")
+    return spark.sql(
+        """
+        SELECT event_id, reading_ts, temperature_2m, relative_humidity_2m, wind_speed_10m,
+               CAST(strata_heat_index(temperature_2m, relative_humidity_2m) AS DOUBLE) AS heat_index,
+               ROUND(strata_wind_chill(temperature_2m, wind_speed_10m), 6) AS wind_chill,
+               CAST(strata_comfort_index(temperature_2m, relative_humidity_2m, wind_speed_10m) AS DECIMAL(8,3)) AS comfort_index,
+               strata_comfort_category(
+                 strata_comfort_index(temperature_2m, relative_humidity_2m, wind_speed_10m)) AS comfort_category
+        FROM strata_readings
+        """
+    )
+
+
 @query
 def comfort_category_counts(spark, folder):
     return sales.counts(weather.comfort(star.readings(spark, folder)), ["comfort_category"])
@@ -418,7 +471,7 @@ PERFORMANCE_COLUMNS = (
 
 @query
 def product_performance(spark, folder):
-    source = staging.settled(loaded(lines(spark, folder, *PERFORMANCE_COLUMNS)), "lines")
+    source = loaded(lines(spark, folder, *PERFORMANCE_COLUMNS))
     return products.product_performance(source, fx.PRODUCT_TIER, fx.VOLUME_STEPS)
 
 
@@ -435,7 +488,7 @@ def regional_sales(spark, folder):
         spark, folder, "order_id", "customer_id", "product_id", "region", "state", "category", "segment",
         "order_date", "ship_date", "sales", "discount", "profit", "quantity",
     )
-    return sales.regional_sales(staging.settled(loaded(source), "lines"), fx.SEGMENTS)
+    return sales.regional_sales(loaded(source), fx.SEGMENTS)
 
 
 @query
@@ -467,6 +520,31 @@ def sales_overview(spark, folder):
     )
 
 
+@query
+def shipments_overview(spark, folder):
+    """The overview by shipping month and supplier: an order has several of both."""
+    source = lines(spark, folder, "order_id", "supplier_id", "ship_date", "sales", "discount", "profit")
+    shipped = source.withColumnsRenamed({"ship_date": "order_date", "supplier_id": "customer_id"})
+    return sales.sales_overview(shipped.where(F.col("order_date").isNotNull()))
+
+
+@query
+def unique_customers_sketch(spark, folder):
+    """Estimates from stored daily sketches, beside the exact counts and whether they are as near as they should be."""
+    path = run_dir(spark, "sketches")
+    source = lines(spark, folder, "order_id", "customer_id", "order_date")
+    sinks.write_new(sales.customer_sketches(source), path)
+    estimates = sales.unique_customers_estimated(read_table(spark, path))
+    exact = source.groupBy(month_start("order_date").alias("period_start")).agg(
+        F.count_distinct("customer_id").alias("unique_customers"), F.count_distinct("order_id").alias("total_orders")
+    )
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.lit(distinct.error_bound()) * F.col(b)
+    return exact.join(estimates, "period_start").select(
+        "period_start", "unique_customers", "total_orders",
+        near("customers", "unique_customers").alias("customers_near"), near("orders", "total_orders").alias("orders_near"),
+    )
+
+
 @query
 def sales_by_time(spark, folder):
     return sales.sales_by_time(lines(spark, folder, "order_id", "order_date", "sales"))
@@ -812,6 +890,60 @@ def partitioned_upsert(spark, folder):
     return read_table(spark, path).drop("order_month")
 
 
+def _merge_on_read(spark, folder):
+    table = deltas.newest_rows(spark, run_dir(spark, "merge-on-read"), LINE_KEY, ["order_date", "quantity"])
+    first, batch = _line_loads(spark, folder)
+    for rows in (batch, first, batch):
+        table.add(rows)
+    return table
+
+
+@query
+def merge_on_read(spark, folder):
+    return _merge_on_read(spark, folder).current()
+
+
+@query
+def merge_on_read_compacted(spark, folder):
+    table = _merge_on_read(spark, folder)
+    table.compact()
+    table.add(_line_loads(spark, folder)[0])  # older versions once more
+    return table.current()
+
+
+STATE_KEYS = ["region", "order_year"]
+STATE_MEASURES = {"quantity": "sum", "sales": "sum", "first_date": "min", "last_date": "max", "loaded_at": "max"}
+
+
+def _region_states(rows):
+    measures = {n: (STATE_MEASURES[n], F.col(c)) for n, c in (
+        ("quantity", "quantity"), ("sales", "sales"), ("first_date", "order_date"), ("last_date", "order_date"), ("loaded_at", "loaded_at"),
+    )}
+    return distinct.folded(rows, STATE_KEYS, ["order_id", "customer_id"], measures)
+
+
+@query
+def incremental_states(spark, folder):
+    """Sums, bounds and distinct counts by region and year over three loads; the third corrects the lines of one year,
+    whose groups are made anew."""
+    source = lines(spark, folder, "order_id", "customer_id", "region", "order_date", "quantity", "sales")
+    source = loaded(source).withColumn("order_year", whole(F.year("order_date")))
+    wrong = F.coalesce((F.col("order_year") == fx.REFRESH_YEAR) & (F.col("order_id") % 7 == 0), F.lit(False))
+    corrected = source.withColumns(
+        {
+            "quantity": F.when(wrong, F.col("quantity") + 100).otherwise(F.col("quantity")),
+            "loaded_at": F.when(wrong, ntz(fx.CORRECTED_TS)).otherwise(F.col("loaded_at")),
+        }
+    )
+    combine = STATE_MEASURES | {distinct.BITS: "or"}
+    table = deltas.adding_states(spark, run_dir(spark, "states"), STATE_KEYS, combine, distinct.WORDS)
+    first = source.where(F.col("loaded_at") == ntz(fx.LOAD_TS))
+    for rows, changed in ((first, None), (source, None), (source, None), (corrected, corrected.where(wrong))):
+        refresh.incremental_states(rows, table, STATE_KEYS, "loaded_at", _region_states, changed)
+    counted = distinct.counted(table.current(), STATE_KEYS, {"total_orders": 0, "unique_customers": 1}, STATE_MEASURES)
+    return counted.withColumn("sales", F.col("sales").cast("decimal(22,2)"))
+
+
 def _segment_loads(spark, folder, late):
     """Customer segments kept up to date over two loads, the second with the ``late`` lines; a third brings nothing."""
     source = loaded(lines(spark, folder, "order_id", "customer_id", "order_date", "sales"), late)
@@ -1020,6 +1152,21 @@ def top_products_snapshot(spark, folder):
 
 @query
 def dq_report(spark, folder):
+    return metrics.stacked([quality.quality_report(*x) for x in _checked(spark, folder)])
+
+
+@query
+def dq_observed(spark, folder):
+    """The same counts, taken while the tables are written."""
+    found = []
+    for rows, name, checks in _checked(spark, folder):
+        watch = quality.Watch(rows, name, checks)
+        sinks.write_new(watch.rows, run_dir(spark, "observed"))
+        found.append(watch.report(spark))
+    return metrics.stacked(found)
+
+
+def _checked(spark, folder):
     source = lines(
         spark, folder, *LINE_KEY, "customer_id", "segment", "order_date", "ship_date", "sales", "quantity", "discount",
         "profit",
@@ -1044,9 +1191,7 @@ def dq_report(spark, folder):
         q.accepted_range("relative_humidity_2m", low=0, high=100),
         q.positive("wind_speed_10m"),
     ]
-    return q.quality_report(enriched, "int_orders_enriched", order_checks).unionByName(
-        q.quality_report(readings, "stg_readings", reading_checks)
-    )
+    return [(enriched, "int_orders_enriched", order_checks), (readings, "stg_readings", reading_checks)]
 
 
 @query
@@ -1083,6 +1228,19 @@ def dq_unique(spark, folder):
     )
 
 
+@query
+def dq_unique_hashed(spark, folder):
+    orders, line_items = star.table(spark, folder, "orders"), star.table(spark, folder, "lineitem")
+    report = quality.hashed_uniqueness_report
+    return metrics.stacked(
+        [
+            report(orders, "orders", ["o_orderkey"]),
+            report(line_items, "lineitem", ["l_orderkey"]),
+            report(_customer_metrics(spark, folder), "int_customer_metrics", ["customer_id"]),
+        ]
+    )
+
+
 @query
 def dq_unique_combo(spark, folder):
     source = lines(spark, folder, *LINE_KEY)
@@ -1243,7 +1401,32 @@ def stream_upsert_out_of_order(spark, folder):
 @query
 def stream_daily_weather(spark, folder):
     for base, arriving in _arrivals(spark, folder, "stream-days"):
-        loads.stream_daily_weather(arriving, f"{base}/table", f"{base}/checkpoint")
+        loads.stream_daily_weather(arriving, f"{base}/table", f"{base}/checkpoint", partitions=4)
     return read_table(spark, f"{base}/table")
 
 
+@query
+def stream_dedupe(spark, folder):
+    """The second delivery brings the first one's rows again, in another file."""
+    base = run_dir(spark, "stream-dedupe")
+    readings = star.readings(spark, folder)
+    early = F.col("reading_ts") < ntz(fx.HALF_TIME)
+    for rows in (readings.where(early), readings.where(early).unionByName(readings.where(~early))):
+        sinks.append(rows, f"{base}/landing")
+        arriving = loads.landing(spark, f"{base}/landing", readings.schema)
+        loads.stream_dedupe(arriving, ["event_id"], "reading_ts", "40 days", f"{base}/table", f"{base}/checkpoint", partitions=4)
+    return spark.read.parquet(f"{base}/table")
+
+
+@query
+def stream_checked(spark, folder):
+    """Quality of each delivery, counted while it is appended."""
+    checks = [
+        *quality.not_null("event_id", *staging.READING_COLUMNS),
+        quality.accepted_range("temperature_2m", low=-5, high=25),
+        quality.positive("wind_speed_10m"),
+    ]
+    for base, arriving in _arrivals(spark, folder, "stream-checked"):
+        loads.stream_checked(arriving, f"{base}/table", f"{base}/report", "readings", checks, f"{base}/checkpoint")
+    written = read_table(spark, f"{base}/table").groupBy("batch_id").agg(F.count("*").alias("written_rows"))
+    return read_table(spark, f"{base}/report").join(written, "batch_id")

@@ -6,6 +6,7 @@ The mark of a load is best a column that every row carries from the load that br
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,6 +15,8 @@ from pyspark.sql.types import DataType, DateType, NumericType, StructType, Times
 from strata.operators.staging import dedupe, settled
 from strata.session import scratch
 from strata.sources.schema import check_schema_unchanged
+from strata.operators.deltas import ADDED, ANEW, CLEARED, WHOLE, Deltas
+from strata.sources.marks import append_marked, observed, save_mark, stored_mark
 from strata.sources.sinks import append, replace_partitions, write_partitioned
 from strata.sources.tables import Folder, read_table, stored, stored_schema
 
@@ -36,15 +39,16 @@ def high_water_mark(target: DataFrame, mark: str) -> Column:
     return target.agg(F.coalesce(F.max(mark), first)).scalar()
 
 
-def newer_rows(source: DataFrame, target: DataFrame | None, mark: str, inclusive: bool = False) -> DataFrame:
+def newer_rows(source: DataFrame, target: DataFrame | Column | None, mark: str, inclusive: bool = False) -> DataFrame:
     """Source rows above the target's mark (``inclusive``: from the mark on), all marked ones if there is no target.
 
-    A row without a mark is in no load, not even the first; :func:`unmarked` has them. Where the mark is a column of
-    the source's files, the comparison reaches the scan and skips older row groups.
+    The target is its stored mark (:func:`strata.sources.marks.stored_mark`), so that nothing but the source is read, or a frame
+    whose mark is searched. A row without a mark is in no load, not even the first; :func:`unmarked` has them. Where the mark is
+    a column of the source's files, the comparison reaches the scan and skips older row groups.
     """
     if target is None:
         return source.where(F.col(mark).isNotNull())
-    limit = high_water_mark(target, mark)
+    limit = target if isinstance(target, Column) else high_water_mark(target, mark)
     return source.where(F.col(mark) >= limit if inclusive else F.col(mark) > limit)
 
 
@@ -61,19 +65,21 @@ def new_keys_only(source: DataFrame, target: DataFrame, keys: Sequence[str]) ->
 def incremental_append(
     source: DataFrame, target: str, mark: str, keys: Sequence[str] | None = None, fixed_schema: bool = False
 ) -> int:
-    """Append the rows above the target's mark, the first time all; returns how many rows have no mark and stay out.
+    """Append the rows above the target's stored mark, the first time all; returns how many rows have no mark and stay out.
 
     Without ``keys`` late rows that equal the mark are lost. With ``keys`` the
     comparison includes the mark, and rows already stored at it are left out.
     """
-    current = stored(source.sparkSession, target)
+    spark = source.sparkSession
+    current = stored(spark, target)
     if current is not None and fixed_schema:
         check_schema_unchanged(source, current.schema)
-    new = newer_rows(source, current, mark, inclusive=keys is not None)
-    if current is not None and keys is not None:
-        at_mark = current.where(F.col(mark) >= high_water_mark(current, mark))
-        new = new_keys_only(new, at_mark, keys)
-    append(new, target)
+    limit = stored_mark(spark, target, mark)
+    new = newer_rows(source, limit, mark, inclusive=keys is not None)
+    if current is not None and limit is not None and keys is not None:
+        # The limit is a constant, so of the target only row groups that reach the mark are read.
+        new = new_keys_only(new, current.where(F.col(mark) >= limit), keys)
+    append_marked(new, target, mark)
     return unmarked(source, mark).count()
 
 
@@ -115,10 +121,21 @@ class Versions:
         complete = self._complete()
         return read_table(self.spark, self._version(complete[-1]).path) if complete else None
 
-    def publish(self, df: DataFrame) -> DataFrame:
+    def mark(self, name: str) -> Column | None:
+        """The current version's greatest mark, from the file beside it."""
+        complete = self._complete()
+        return stored_mark(self.spark, self._version(complete[-1]).path, name) if complete else None
+
+    def publish(self, df: DataFrame, mark: str | None = None) -> DataFrame:
+        """``mark``: the column whose greatest value is kept beside the version."""
         before = self._complete()
         folder = self._version(max(self._numbers(), default=0) + 1)
-        df.write.mode("errorifexists").parquet(folder.path)
+        if mark is None:
+            df.write.mode("errorifexists").parquet(folder.path)
+        else:
+            noted, note = observed(df, mark)
+            noted.write.mode("errorifexists").parquet(folder.path)
+            save_mark(self.spark, folder.path, df.schema[mark].dataType.simpleString(), note.get.get("mark"))
         for n in self._numbers():
             if before and n < before[-1]:
                 self._version(n).delete()
@@ -128,14 +145,43 @@ class Versions:
 BUCKET = "_bucket"
 
 
+class RepeatedKey(ValueError):
+    """A batch has a key more than once, and no order says which row is the newest."""
+
+
+class OtherBuckets(ValueError):
+    """A stored table has another number of buckets, or other keys, than it is opened with."""
+
+
+BUCKETS_FILE = "_strata_buckets"
+
+
 class Buckets:
     """A keyed table in ``n`` buckets by a hash of the key; an upsert rewrites the buckets it touches only.
 
-    ``n`` is fixed when the table is made; choose it so that a bucket is a few files.
+    ``n`` is fixed when the table is made (64 unless given; choose it so that a bucket is a few files) and stored with it.
+    An existing table is opened with its own number; asking for another, or for other keys, raises :class:`OtherBuckets`.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], n: int = 64):
-        self.spark, self.root, self.keys, self.n = spark, root, list(keys), n
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], n: int | None = None):
+        self.spark, self.root, self.keys = spark, root, list(keys)
+        self._file = Folder(spark, f"{root}/{BUCKETS_FILE}")
+        self.n = n or 64
+        if self._file.exists():
+            kept = json.loads(self._file.read_text())
+            if n not in (None, kept["n"]) or kept["keys"] != self.keys:
+                raise OtherBuckets(f"{root} has {kept['n']} buckets by {kept['keys']}, not {n} by {self.keys}")
+            self.n = kept["n"]
+        elif (there := stored(spark, root)) is not None:
+            # Made before the number was stored: it is taken as asked for, once every row lies where that number puts it.
+            wrong = self.bucketed(there.withColumnRenamed(BUCKET, "_there")).where(F.col(BUCKET) != F.col("_there"))
+            if not wrong.isEmpty():
+                raise OtherBuckets(f"{root} does not have {self.n} buckets by {self.keys}")
+            self.keep()
+
+    def keep(self) -> None:
+        """Store the number beside the table."""
+        self._file.write_text(json.dumps({"n": self.n, "keys": self.keys}))
 
     def bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn(BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.n)).cast("int"))
@@ -162,11 +208,12 @@ def incremental_upsert(
     """Replace the rows with the batch's keys, add the others; only the buckets of these keys are rewritten.
 
     With ``newest_first`` the newest row per key wins, within the batch and against the stored row, so batches may come
-    in any order and repeat.
+    in any order and repeat. Without it a key that the batch repeats raises :class:`RepeatedKey`.
     """
     upsert_partitions(
         table.bucketed(batch), table.root, table.keys, [BUCKET], newest_first=newest_first, check_moved=False, evolve=evolve
     )
+    table.keep()
     return table.current()
 
 
@@ -184,15 +231,19 @@ def upsert_partitions(
 
     The partition of a key must not change between loads. Unless the partition
     columns are part of the key, this is checked (a scan of the stored keys,
-    ``check_moved=False`` leaves it out) and :class:`MovedKey` raised. The batch is computed once and stored.
+    ``check_moved=False`` leaves it out) and :class:`MovedKey` raised. The batch is computed once and stored. Without
+    ``newest_first`` a key that it repeats raises :class:`RepeatedKey`, before anything is written.
     """
     spark = batch.sparkSession
     latest = dedupe(batch, keys, newest_first) if newest_first else batch
     current = stored(spark, target)
-    if current is None:
-        write_partitioned(latest, target, partition_cols, sort_cols)
-        return
     with scratch(spark):
+        if not newest_first:
+            latest = settled(latest, "unordered")
+            refuse_repeats(latest, keys)
+        if current is None:
+            write_partitioned(latest, target, partition_cols, sort_cols)
+            return
         latest = settled(fitted(latest, current.schema, evolve), "batch")
         if check_moved and not set(partition_cols) <= set(keys):
             _check_partitions_stay(current, latest, keys, partition_cols)
@@ -204,10 +255,20 @@ def upsert_partitions(
         replace_partitions(merged(touched, latest, keys, newest_first), target, partition_cols, sort_cols)
 
 
+def refuse_repeats(batch: DataFrame, keys: Sequence[str]) -> None:
+    """Raise if a key, missing values included, occurs twice."""
+    twice = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if not twice.isEmpty():
+        raise RepeatedKey(f"the batch has rows with the same {list(keys)}; give newest_first, or keep one of each")
+
+
 def _check_partitions_stay(current, latest, keys, partition_cols) -> None:
-    here = latest.select(*keys, F.struct(*partition_cols).alias("_new"))
+    here = latest.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*partition_cols).alias("_new"))
     there = current.select(*keys, F.struct(*partition_cols).alias("_old"))
-    moved = here.join(there, list(keys)).where(F.col("_old") != F.col("_new"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    moved = here.join(there, same).where(~F.col("_old").eqNullSafe(F.col("_new")))
     if not moved.isEmpty():
         raise MovedKey(f"a key of the batch is stored under other values of {list(partition_cols)}")
 
@@ -228,19 +289,49 @@ def incremental_aggregate(
     """
     current = table.current()
     rows = source
-    if current is not None:
-        limit = high_water_mark(current, mark)
+    limit = table.mark(mark)
+    if limit is not None:
         touched = source.where((F.col(mark) >= limit) | F.col(mark).isNull()).select(*keys).distinct()
         rows = null_safe(source, touched, keys, "left_semi")
     groups = aggregate(rows)
     if mark not in groups.columns:
         raise ValueError(f"the aggregate does not carry its mark {mark!r}")
     if current is None:
-        return table.publish(groups)
+        return table.publish(groups, mark)
     with scratch(source.sparkSession):
         groups = settled(groups, "groups")
         kept = null_safe(current, groups.select(*keys), keys, "left_anti")
-        return table.publish(kept.unionByName(groups.select(*current.columns)))
+        return table.publish(kept.unionByName(groups.select(*current.columns)), mark)
+
+
+def incremental_states(
+    source: DataFrame,
+    table: Deltas,
+    keys: Sequence[str],
+    mark: str,
+    fold: Callable[[DataFrame], DataFrame],
+    changed: DataFrame | None = None,
+) -> int:
+    """Bring a table of mergeable states (:func:`strata.operators.deltas.adding_states`) up to date; returns the rows written.
+
+    ``fold`` makes states of rows, by ``keys`` and finer columns, and carries the greatest ``mark``. A load folds the rows above the stored
+    mark and appends their states: nothing stored is read or written again, so a load costs what it brings. States
+    cannot take rows back: the groups of ``changed`` (``keys``), whose loaded rows were replaced or removed in the source, are made anew
+    from all their rows. Rows that come late at a mark already stored are not seen.
+    """
+    limit = table.mark()
+    new = newer_rows(source, limit, mark)
+    if changed is None or limit is None:
+        return table.add(fold(new).withColumn(WHOLE, F.lit(ADDED)), mark)
+    with scratch(source.sparkSession):
+        groups = settled(changed.select(*keys).distinct(), "changed")
+        added = fold(null_safe(new, groups, keys, "left_anti")).withColumn(WHOLE, F.lit(ADDED))
+        marked = source.where(F.col(mark).isNotNull())
+        anew = fold(null_safe(marked, groups, keys, "left_semi")).withColumn(WHOLE, F.lit(ANEW))
+        # A group that lost all its rows is cleared by this row alone.
+        others = [F.lit(None).cast(f.dataType).alias(f.name) for f in added.schema if f.name not in (*keys, WHOLE)]
+        cleared = groups.select(*keys, *others, F.lit(CLEARED).alias(WHOLE))
+        return table.add(added.unionByName(anew).unionByName(cleared), mark)
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from strata.functions import retail
 from strata.functions.bands import exact
 from strata.functions.exprs import mean, money_sum, month_start, number, ratio, whole
-from strata.operators.folding import folded_sums, join_groups, line_sums, order_fold, orders_in_group
+from strata.operators import distinct
+from strata.operators.folding import folded_sums, line_measures, ones
 from strata.operators.ranking import previous
-from strata.operators.staging import run_marks, with_margin_pct, with_net_sales
+from strata.operators.staging import run_marks, run_names, run_times, with_margin_pct, with_net_sales
 
 
 def calendar(c: str | Column = "order_date") -> dict[str, Column]:
@@ -21,44 +22,34 @@ def calendar(c: str | Column = "order_date") -> dict[str, Column]:
 def sales_overview(lines: DataFrame) -> DataFrame:
     """Month rows carrying the totals of their quarter and year.
 
-    Lines are folded to orders, then to months. Quarters and years are windows over
-    those few rows, no second pass and no join. Summing monthly order counts is
-    exact while an order has one date.
+    Lines are folded to months once: sums, and bitmap words of orders and customers. Months merge to quarters and years by OR,
+    so an order with lines in several months counts once in each of them and once in their quarter and year, whatever its customers.
     """
-    orders = order_fold(
-        with_net_sales(lines).withColumn("month_start", month_start("order_date")),
-        ["month_start"],
-        F.sum("net_sales").alias("_net"),
-        F.sum("profit").alias("_profit"),
-    )
-    months = (
-        orders.groupBy("month_start")
-        .agg(
-            money_sum("_net").alias("total_sales"),
-            money_sum("_profit").alias("total_profit"),
-            orders_in_group().alias("total_orders"),
-            F.count_distinct("customer_id").alias("unique_customers"),
-        )
-        .withColumns(calendar("month_start"))
+    dated = with_net_sales(lines).withColumn("month_start", month_start("order_date"))
+    measures = {"_net": ("sum", F.col("net_sales")), "_profit": ("sum", F.col("profit"))}
+    sums = {n: f for n, (f, _) in measures.items()}
+    months = distinct.folded(dated, ["month_start"], ["order_id", "customer_id"], measures)
+    m = F.col("month_start")
+    periods = F.array(*[F.struct(F.lit(k).alias("_span"), F.trunc(m, unit).alias("_start")) for k, unit in enumerate(("month", "quarter", "year"))])
+    spans = distinct.merged(months.select("*", F.inline(periods)), ["_span", "_start"], sums)
+    names = {"total_orders": 0, "unique_customers": 1}
+    rows = distinct.counted(spans, ["_span", "_start"], names, sums).withColumns(
+        {"total_sales": F.col("_net").cast("decimal(22,2)"), "total_profit": F.col("_profit").cast("decimal(22,2)")}
+        | calendar("_start")
     )
+    # From here on a row per month, quarter and year.
     year = W.partitionBy("year")
-    spans = {"quarterly": W.partitionBy("year", "quarter"), "yearly": year}
     totals = {}
-    for span, rows in spans.items():
-        totals[f"{span}_sales"] = money_sum_over("total_sales", rows)
-        totals[f"{span}_profit"] = money_sum_over("total_profit", rows)
-        totals[f"{span}_orders"] = F.sum("total_orders").over(rows)
-    return months.withColumns(
-        totals
-        | {
+    for span, name, group in ((1, "quarterly", W.partitionBy("year", "quarter")), (2, "yearly", year)):
+        for measure in ("sales", "profit", "orders"):
+            totals[f"{name}_{measure}"] = F.max(F.when(F.col("_span") == span, F.col(f"total_{measure}"))).over(group)
+    with_totals = rows.withColumns(totals).where("_span = 0").withColumns(
+        {
             "profit_margin": ratio("total_profit", "total_sales"),
             "avg_order_value": ratio("total_sales", "total_orders"),
         }
     )
-
-
-def money_sum_over(c: str, rows) -> Column:
-    return F.sum(c).over(rows).cast("decimal(22,2)")
+    return with_totals.withColumnRenamed("_start", "month_start").drop("_span", "_net", "_profit")
 
 
 def sales_by_time(lines: DataFrame, amount: str = "sales") -> DataFrame:
@@ -89,8 +80,8 @@ def sales_per_period(lines: DataFrame, unit: str, amount: str = "sales") -> Data
 def regional_sales(lines: DataFrame, segments: Sequence[str]) -> DataFrame:
     """Region × month: reach, totals, averages, lines per segment, best category, delivery.
 
-    Folded to (region, month, category) first, distinct counts apart, as in the
-    product table: two passes, so give stored lines. Carries the rows' load metadata.
+    One pass, as for the product table: sums folded to (region, month, category), identifiers to bitmap words. Carries the
+    rows' load metadata.
     """
     keys = ("region", "order_year", "order_month")
     dated = with_margin_pct(with_net_sales(lines)).withColumns(
@@ -100,55 +91,57 @@ def regional_sales(lines: DataFrame, segments: Sequence[str]) -> DataFrame:
             "_days": retail.delivery_days(),
         }
     )
-    per_segment = {f"{s.lower().replace(' ', '_')}_orders": F.count_if(F.col("segment") == s) for s in segments}
-    by_category = dated.groupBy(*keys, "category").agg(
-        *line_sums(),
-        *[c.alias(n) for n, c in per_segment.items()],
-        F.sum("_days").alias("_days"),
-        F.count("_days").alias("_shipped"),
-        F.count_if(F.col("_days").isNull()).alias("_unshipped"),
-        *run_marks(dated),
-    )
-    totals = by_category.groupBy(*keys).agg(
+    per_segment = {f"{s.lower().replace(' ', '_')}_orders": ("sum", ones(F.col("segment") == s)) for s in segments}
+    measures = line_measures() | per_segment | run_times(dated) | {
+        "_days": ("sum", F.col("_days")),
+        "_shipped": ("sum", ones(F.col("_days").isNotNull())),
+        "_unshipped": ("sum", ones(F.col("_days").isNull())),
+    }
+    ids = ["order_id", "customer_id", "product_id", "state"]
+    names = {"total_orders": 0, "unique_customers": 1, "unique_products": 2, "unique_states": 3}
+    finer = ["category", *run_names(dated)]
+    states = distinct.folded(dated, keys, ids, measures, finer)
+    groups = distinct.counted(states, keys, names, {n: f for n, (f, _) in measures.items()}, finer)
+    return groups.groupBy(*keys).agg(
         *run_marks(dated),
         *folded_sums("total_quantity", "total_sales"),
-        *[F.sum(n).alias(n) for n in per_segment],
+        *[F.sum(n).alias(n) for n in (*per_segment, *names)],
         ratio(F.sum("_days"), F.sum("_shipped")).alias("avg_delivery_days"),
         F.sum("_unshipped").alias("unshipped_orders"),
         F.max(F.struct("_best", "category"))["category"].alias("top_category_by_sales"),
     )
-    reach = dated.groupBy(*keys).agg(
-        F.count_distinct("order_id").alias("total_orders"),
-        F.count_distinct("customer_id").alias("unique_customers"),
-        F.count_distinct("product_id").alias("unique_products"),
-        F.count_distinct("state").alias("unique_states"),
-    )
-    return join_groups(totals, reach, keys)
 
 
 def category_region_month(lines: DataFrame, month_of_year: bool = False) -> DataFrame:
-    """Category × region × month totals; ``month_of_year`` merges the years."""
+    """Category × region × month totals; ``month_of_year`` merges the years. Orders and customers are counted by bitmap words."""
     month = whole(F.month("order_date")) if month_of_year else month_start("order_date")
     keys = ["category", "region", "order_month"]
-    orders = order_fold(
-        lines.withColumn("order_month", month),
-        keys,
-        F.sum("sales").alias("_sales"),
-        F.sum("quantity").alias("_quantity"),
-        F.sum("profit").alias("_profit"),
-        F.sum("discount").alias("_discount"),
-        F.count("discount").alias("_discounts"),
-    )
-    return orders.groupBy(*keys).agg(
-        money_sum("_sales").alias("total_sales"),
-        F.sum("_quantity").alias("total_quantity"),
-        money_sum("_profit").alias("total_profit"),
-        ratio(F.sum("_discount"), F.sum("_discounts")).alias("avg_discount"),
-        orders_in_group().alias("order_count"),
-        F.count_distinct("customer_id").alias("customer_count"),
+    measures = {f"_{c}": ("sum", F.col(c)) for c in ("sales", "quantity", "profit", "discount")}
+    measures["_discounts"] = ("sum", ones(F.col("discount").isNotNull()))
+    states = distinct.folded(lines.withColumn("order_month", month), keys, ["order_id", "customer_id"], measures)
+    groups = distinct.counted(states, keys, {"order_count": 0, "customer_count": 1}, {n: "sum" for n in measures})
+    return groups.select(
+        *keys,
+        F.col("_sales").cast("decimal(22,2)").alias("total_sales"),
+        F.col("_quantity").alias("total_quantity"),
+        F.col("_profit").cast("decimal(22,2)").alias("total_profit"),
+        ratio("_discount", "_discounts").alias("avg_discount"),
+        "order_count",
+        "customer_count",
     )
 
 
+def customer_sketches(lines: DataFrame) -> DataFrame:
+    """Sketches of orders and customers by day, to be stored; they merge to any period (:func:`unique_customers_estimated`)."""
+    return distinct.sketches(lines, ["order_date"], {"orders": "order_id", "customers": "customer_id"})
+
+
+def unique_customers_estimated(sketches: DataFrame, unit: str = "month") -> DataFrame:
+    """Estimated orders and customers per period from stored daily sketches, without the lines: the opt-in alternative to
+    exact counts."""
+    return distinct.estimated(sketches, [F.trunc("order_date", unit).alias("period_start")], ["orders", "customers"])
+
+
 SUMMARY_KEYS = ("category", "region", "order_month")
 
 

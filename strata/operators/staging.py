@@ -37,6 +37,16 @@ def run_marks(df: DataFrame) -> list:
     return [F.max(c).alias(c) for c in RUN_METADATA if c in df.columns]
 
 
+def run_times(df: DataFrame) -> dict:
+    """The load time and run start among a fold's measures, of those the rows carry."""
+    return {c: ("max", F.col(c)) for c in RUN_METADATA[:2] if c in df.columns}
+
+
+def run_names(df: DataFrame) -> list[str]:
+    """The run id, a text, is a group of a fold's rows rather than a measure."""
+    return [c for c in RUN_METADATA[2:] if c in df.columns]
+
+
 def with_net_sales(lines: DataFrame) -> DataFrame:
     return lines.withColumn("net_sales", retail.net_sales())
 

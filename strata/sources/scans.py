@@ -80,3 +80,31 @@ def hourly_readings(documents: DataFrame, json_col: str) -> DataFrame:
     return rows.select(
         parse_iso_minute("time").alias("reading_ts"), *[F.col(m).cast("float").alias(m) for m in HOURLY_MEASURES]
     )
+
+
+def malformed(documents: DataFrame, json_col: str) -> DataFrame:
+    """The documents that are no JSON; a missing one is not counted among them."""
+    return documents.where(F.col(json_col).isNotNull() & F.try_parse_json(json_col).isNull())
+
+
+def open_readings(documents: DataFrame, json_col: str, group: str = "hourly", time: str = "time") -> DataFrame:
+    """Documents whose measures are not declared: a row ``reading_ts``, ``measure``, ``value`` for every number of every
+    array in ``group``, whatever the arrays are called.
+
+    Arrays need not be equally long: numbers beyond the times have no ``reading_ts``, missing ones give no row. What is no
+    number is null; what is no array, and documents that are no JSON (:func:`malformed`) or have no such group, give no rows.
+    """
+    parsed = documents.select(F.try_parse_json(json_col).alias("doc"))
+    named = parsed.select(
+        F.try_variant_get("doc", f"$.{group}.{time}", "array<string>").alias("times"),
+        F.explode(F.try_variant_get("doc", f"$.{group}", "map<string, variant>")).alias("measure", "numbers"),
+    )
+    named = named.where(F.col("measure") != time)
+    values = named.select(
+        "times", "measure", F.posexplode(F.try_variant_get("numbers", "$", "array<variant>")).alias("at", "number")
+    )
+    return values.select(
+        parse_iso_minute(F.get("times", F.col("at"))).alias("reading_ts"),
+        "measure",
+        F.try_variant_get("number", "$", "double").alias("value"),
+    )

@@ -11,7 +11,8 @@ import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DatetimeType, NumericType
 
 from strata.sources.scans import in_days
 from strata.sources.tables import drop_partitions, partition_values, read_table, refuse_empty, save_schema, swap_in
@@ -64,6 +65,42 @@ def write_partitioned(df: DataFrame, target: str, partition_cols: Sequence[str],
     swap_in(df.sparkSession, target, write)
 
 
+def interleaved_rank(df: DataFrame, columns: Sequence[str], bits: int = 6) -> Column:
+    """Place of a row on a curve through all ``columns`` at once: the bits of its rank in each of them in turn.
+
+    A rank is the number of limits below the value, at most ``2 ** bits - 1``. The limits are approximate quantiles, found in one pass;
+    only they come to the driver. Columns are numbers, dates or timestamps; a missing value has rank 0.
+    """
+    for c in columns:
+        if not isinstance(df.schema[c].dataType, (NumericType, DatetimeType)):
+            raise TypeError(f"{c} has no quantiles")
+    shares = [k / 2**bits for k in range(1, 2**bits)]
+    limits = df.agg(*[F.percentile_approx(c, shares, 10 * 2**bits).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    place = F.lit(0).cast("bigint")
+    for i, c in enumerate(columns):
+        kind = df.schema[c].dataType
+        below = F.array(*[F.lit(x).cast(kind) for x in sorted(set(limits[i] or []))])
+        rank = F.coalesce(F.size(F.filter(below, _under(F.col(c)))), F.lit(0)).cast("bigint")
+        for b in range(bits):
+            bit = F.call_function("shiftright", rank, F.lit(b)).bitwiseAND(1)
+            place = place + bit * F.lit(1 << (b * len(columns) + i)).cast("bigint")
+    return place
+
+
+def _under(c: Column):
+    return lambda limit: limit < c
+
+
+def write_interleaved(df: DataFrame, target: str, columns: Sequence[str], bits: int = 6) -> None:
+    """Rebuild a table so that a filter on any of ``columns`` skips most files and row groups, not only one on the first.
+
+    Rows are range-partitioned and sorted by :func:`interleaved_rank`, so a file covers a small range of every column.
+    """
+    ranked = df.withColumn("_place", interleaved_rank(df, columns, bits))
+    laid = ranked.repartitionByRange("_place").sortWithinPartitions("_place").drop("_place")
+    swap_in(df.sparkSession, target, laid.write.parquet)
+
+
 def replace_partitions(df: DataFrame, target: str, partition_cols: Sequence[str], sort_cols: Sequence[str] = ()) -> None:
     """Rewrite only the partitions that occur in ``df``; running it twice changes nothing."""
     writer = laid_out(df, partition_cols, sort_cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -104,6 +141,27 @@ def expire_partitions(spark: SparkSession, target: str, day_col: str, days: int,
     return sorted(gone)
 
 
+def expire_rows(
+    spark: SparkSession, target: str, day_col: str, ts_col: str, days: int, as_of: dt.date, sort_cols: Sequence[str] = ()
+) -> list[str]:
+    """:func:`expire_partitions`, and the expired rows of the partitions that reach over the limit: those are rewritten
+    without them. Returns the values of the partitions removed or rewritten."""
+    gone = expire_partitions(spark, target, day_col, days, as_of)
+    limit = as_of - dt.timedelta(days=days)
+    # A month that holds the day of the limit; a day's partition does not reach over it.
+    value = limit.strftime("%Y%m")
+    if value not in partition_values(spark, target, day_col):
+        return gone
+    table = read_table(spark, target)
+    own = table.where(F.col(day_col).cast("string") == value)
+    kept = own.where(F.col(ts_col).isNull() | (F.to_date(ts_col) > F.lit(limit)))
+    if kept.isEmpty():
+        drop_partitions(spark, target, day_col, [value])
+    else:
+        replace_partitions(kept, target, [day_col], sort_cols)
+    return sorted([*gone, value])
+
+
 def last_day(value: str) -> dt.date | None:
     """Last day of a partition named by a day or a month."""
     try:

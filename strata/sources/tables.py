@@ -7,6 +7,7 @@ keeps its schema beside its data, in a folder that readers of the data skip, and
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterable, Sequence
 
@@ -69,8 +70,19 @@ def stored_schema(spark: SparkSession, path: str) -> StructType | None:
     return StructType.fromJson(json.loads(file.read_text())) if file.exists() else None
 
 
+def place_of(spark: SparkSession, path: str) -> str:
+    """Where the table's rows are: at ``path``, or, while :func:`swap_in` or a crash has left nothing there, in the old
+    table it moved aside."""
+    if Folder(spark, path).exists():
+        return path
+    above, _, name = path.rstrip("/").rpartition("/")
+    aside = [n for n in Folder(spark, above or "/").names() if n.startswith(f"{name}.old-")] if above else []
+    return f"{above}/{max(aside)}" if aside else path
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """The table at ``path`` with the schema it was written with; ``schema`` is for tables that keep none."""
+    path = place_of(spark, path)
     known = stored_schema(spark, path) or schema
     return spark.read.parquet(path) if known is None else spark.read.schema(known).parquet(path)
 
@@ -96,9 +108,16 @@ def refuse_empty(df: DataFrame, partition_cols: Sequence[str]) -> DataFrame:
 def swap_in(spark: SparkSession, path: str, write) -> None:
     """Let ``write(folder)`` fill a folder beside ``path`` and put it in its place.
 
-    A job that fails leaves the old table as it was.
+    A job that fails leaves the old table as it was. Between the two moves, also if the driver ends there,
+    :func:`read_table` finds the old table where it was moved to; the next swap removes it. :class:`~strata.operators.refresh.Versions`
+    also keep the files of readers that began before.
     """
-    new, here, old = (Folder(spark, p) for p in (f"{path}.new-{uuid.uuid4().hex[:8]}", path, f"{path}.old-{uuid.uuid4().hex[:8]}"))
+    path = path.rstrip("/")
+    left = place_of(spark, path)
+    if left != path:
+        Folder(spark, left).move(Folder(spark, path))
+    number = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    new, here, old = (Folder(spark, p) for p in (f"{path}.new-{number}", path, f"{path}.old-{number}"))
     try:
         write(new.path)
     except Exception:

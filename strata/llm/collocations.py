@@ -9,8 +9,8 @@
    Equal phrases have equal fingerprints, so a phrase's count is never more than its fingerprint's: no frequent phrase is lost.
 4. With those a chunk does the same for longer runs, of which only those count whose pairs of words are all frequent.
 5. Each chunk compares all occurrences of a frequent fingerprint with its text, word by word, and writes out the phrases
-   and their own counts. Adding up these texts tells apart phrases that share a fingerprint. Only phrases frequent
-   in total remain; their parts are among them.
+   and their own counts, again by shard of fingerprint. Adding up these texts tells apart phrases that share a fingerprint. Only
+   phrases frequent in total remain; their parts are among them.
 
 A missing or empty text has no words; a missing language is ``und``. Repeated rows count as often as they occur.
 Other columns are not read. Without phrases the result is empty.
@@ -18,6 +18,7 @@ Other columns are not read. Without phrases the result is empty.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -207,18 +208,23 @@ def merged(parts: list[bytes] | None) -> np.ndarray:
     return np.sort(np.frombuffer(b"".join(parts or []), np.uint64))
 
 
-def sent_back(counts: DataFrame, least: int) -> DataFrame:
+def in_shards(rows: DataFrame, shards: int) -> DataFrame:
+    """A partition for each shard, so that what a task reads does not grow with the corpus."""
+    return rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
+
+
+def _rows(batches) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def sent_back(counts: DataFrame, shards: int, least: int) -> DataFrame:
     """``chunk``, ``fps``: the fingerprints with ``least`` occurrences or more in all, for each chunk that has them."""
-    rows = counts.repartition("shard").sortWithinPartitions("shard")
     schema = "chunk bigint, fps binary"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def one_by_one(batches):
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns))
-
     def run(batches):
-        for _, rows_ in groupby(one_by_one(batches), itemgetter(0)):
+        for _, rows_ in groupby(_rows(batches), itemgetter(0)):
             blocks = [(chunk, np.frombuffer(f, np.uint64), np.frombuffer(c, np.uint32)) for _, chunk, f, c in rows_]
             fps = np.concatenate([f for _, f, _ in blocks])
             order = np.argsort(fps, kind="stable")
@@ -232,7 +238,7 @@ def sent_back(counts: DataFrame, least: int) -> DataFrame:
             if hits:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits), arrow.types)], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return in_shards(counts, shards).mapInArrow(run, schema)
 
 
 def with_frequent(rows: DataFrame, back: DataFrame) -> DataFrame:
@@ -244,17 +250,20 @@ def with_frequent(rows: DataFrame, back: DataFrame) -> DataFrame:
 # --- phrases ----------------------------------------------------------------------------
 
 
-def written_out(rows: DataFrame, longest: int) -> DataFrame:
-    """``lang``, ``phrase``, ``width``, ``a``: the phrases behind each chunk's frequent fingerprints, compared with the text."""
-    schema = "lang string, phrase string, width int, a bigint"
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+TEXTS = "shard bigint, lang string, texts binary, counts binary"
+
+
+def written_out(rows: DataFrame, longest: int, shards: int) -> DataFrame:
+    """The phrases behind each chunk's frequent fingerprints, compared with the text, and the chunk's counts of them: a row for
+    each shard of fingerprints, its phrases a line each."""
+    arrow = to_arrow_schema(StructType.fromDDL(TEXTS))
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 chunk, frequent = Chunk(row["lang"], row["words"], row["ids"]), merged(row["frequent"])
-                texts, widths, counts = [], [], []
+                by_shard: dict[int, tuple[list, list]] = {}
                 good = None
                 for width in range(1, longest + 1):
                     at = chunk.runs(width)
@@ -264,18 +273,38 @@ def written_out(rows: DataFrame, longest: int) -> DataFrame:
                     hit = among(fps, frequent)
                     if width == 2:
                         good = pairs_frequent(chunk, frequent)
-                    for words, n in distinct_runs(chunk.ids, at[hit], fps[hit], width):
-                        texts.append(b" ".join([chunk.words[w] for w in words]).decode())
-                        widths.append(width)
+                    for fp, words, n in distinct_runs(chunk.ids, at[hit], fps[hit], width):
+                        texts, counts = by_shard.setdefault((fp >> 32) * shards >> 32, ([], []))
+                        texts.append(b" ".join([chunk.words[w] for w in words]))
                         counts.append(n)
-                columns = [row["lang"]] * len(texts), texts, widths, counts
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types)], schema=arrow)
+                if by_shard:
+                    out = [(s, row["lang"], b"\n".join(t), np.array(n, np.uint32).tobytes()) for s, (t, n) in by_shard.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+
+    return rows.mapInArrow(run, TEXTS)
+
+
+def added_up(texts: DataFrame, shards: int, least: int) -> DataFrame:
+    """``lang``, ``phrase``, ``width``, ``a``: the phrases that occur ``least`` times or more in all, by their texts."""
+    schema = "lang string, phrase string, width int, a bigint"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for _, rows_ in groupby(_rows(batches), itemgetter(0)):
+            totals: dict[str, dict[bytes, int]] = {}
+            for _, lang, lines, counts in rows_:
+                own = totals.setdefault(lang, defaultdict(int))
+                for text, n in zip(lines.split(b"\n"), np.frombuffer(counts, np.uint32).tolist()):
+                    own[text] += n
+            found = [(lang, t.decode(), t.count(b" ") + 1, n) for lang, own in totals.items() for t, n in own.items() if n >= least]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), arrow.types)], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return in_shards(texts, shards).mapInArrow(run, schema)
 
 
-def distinct_runs(ids: np.ndarray, at: np.ndarray, fps: np.ndarray, width: int) -> Iterator[tuple[tuple, int]]:
-    """The different runs of words that begin at ``at``, with their counts; equal fingerprints do not make them equal."""
+def distinct_runs(ids: np.ndarray, at: np.ndarray, fps: np.ndarray, width: int) -> Iterator[tuple[int, tuple, int]]:
+    """Fingerprint, words and count of the different runs that begin at ``at``; equal fingerprints do not make them equal."""
     order = np.argsort(fps, kind="stable")
     at, fps = at[order], fps[order]
     first = np.flatnonzero(np.r_[True, fps[1:] != fps[:-1]][: len(fps)])
@@ -285,11 +314,10 @@ def distinct_runs(ids: np.ndarray, at: np.ndarray, fps: np.ndarray, width: int)
     if len(first):
         differs = (runs != np.repeat(runs[first], counts, axis=0)).any(axis=1)
         clash = np.add.reduceat(differs, first, dtype=np.int64) > 0
-    for words, n in zip(runs[first[~clash]].tolist(), counts[~clash].tolist()):
-        yield tuple(words), n
+    yield from zip(fps[first[~clash]].tolist(), map(tuple, runs[first[~clash]].tolist()), counts[~clash].tolist())
     for i in np.flatnonzero(clash).tolist():
         own, many = np.unique(runs[first[i] : first[i] + counts[i]], axis=0, return_counts=True)
-        yield from zip(map(tuple, own.tolist()), many.tolist())
+        yield from zip([int(fps[first[i]])] * len(own), map(tuple, own.tolist()), many.tolist())
 
 
 def big(c: Column | str) -> Column:
@@ -349,14 +377,14 @@ def phrases(
     texts = stored(chunks(df, text_col, lang_col), "chunks")
     totals = stored(texts.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     shards = int(totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) * 2 // SHARD + 1
-    short = stored(sent_back(counted(texts, [1, 2], shards), least), "short")
+    short = stored(sent_back(counted(texts, [1, 2], shards), shards, least), "short")
     back = short
     if longest > 2:
-        long = sent_back(counted(with_frequent(texts, short), list(range(3, longest + 1)), shards), least)
+        long = sent_back(counted(with_frequent(texts, short), list(range(3, longest + 1)), shards), shards, least)
         back = short.unionByName(stored(long, "long"))
-    own = written_out(with_frequent(texts, back), longest)
-    found = own.groupBy("lang", "phrase", "width").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
-    found = stored(found, "found")
+    # Frequent phrases are far fewer than runs of words: a few shards' worth of them fit one.
+    few = -(-shards // 8)
+    found = stored(added_up(written_out(with_frequent(texts, back), longest, few), few, least), "found")
     candidates = stored(scored(found, totals), "candidates")
     kept = unabsorbed(candidates, absorbed_percent)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]

@@ -87,16 +87,19 @@ def cut(free: int, parts: int) -> list[int]:
 
 
 def shards(distinct: DataFrame, radius: int, folder: str, most: int) -> DataFrame:
-    """``shard`` and ``fp``: the members of all shards of 2 to ``most`` fingerprints; shards above are cut by further bits."""
+    """``shard`` and ``fp``: the members of all shards of 2 to ``most`` fingerprints; shards above are cut by further bits.
+
+    With ``radius`` bits left all members are near each other and no cut is possible; there are ``2 ** radius`` of them at most.
+    """
+    if most < 2**radius:
+        raise ValueError(f"shards of {most} cannot be told apart within {radius} bits")
     spark = distinct.sparkSession
     rows, free, turn, out = distinct.select("fp", F.lit(0).cast("long").alias("shard"), F.lit(-1).cast("long").alias("free")), {(1 << 64) - 1}, 0, []
     while True:
         # Masks by what is left of the bits: at most 3 ** turn for radius 2, and few turns.
         masks = {f: cut(f, radius + 1) for f in free}
-        parts = F.lit(None).cast("array<bigint>")
-        for f, own in masks.items():
-            parts = F.when(F.col("free") == signed(f), F.array(*[F.lit(signed(m)) for m in own])).otherwise(parts)
-        dealt = rows.withColumn("part", F.explode(parts))
+        entries = [x for f, own in masks.items() for x in (F.lit(signed(f)), F.array(*[F.lit(signed(m)) for m in own]))]
+        dealt = rows.withColumn("part", F.explode(F.create_map(*entries)[F.col("free")]))
         dealt = dealt.select(
             "fp",
             F.xxhash64("shard", "part", F.col("fp").bitwiseAND(F.col("part"))).alias("shard"),

@@ -233,3 +233,114 @@ def judge(url, rules, default="allow"):
     ]
     best = max(fits, default=(0, 0, 0, None, default))
     return host, path, best[3], best[4]
+
+
+# --- SimHash ----------------------------------------------------------------------------
+
+
+def ascii_lower(text):
+    return re.sub("[A-Z]", lambda c: c.group().lower(), text or "")
+
+
+def simhash(text, n=3):
+    import xxhash
+
+    w = words(ascii_lower(text))
+    parts = [" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
+    hashes = [xxhash.xxh64(p.encode(), seed=42).intdigest() for p in parts]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def linked_components(keys, prints, radius=2):
+    """keys compare; the least key reachable from each, by comparing all pairs of different fingerprints."""
+    distinct = sorted(set(prints))
+    group = {p: p for p in distinct}
+
+    def root(p):
+        while group[p] != p:
+            p = group[p]
+        return p
+
+    for i, a in enumerate(distinct):
+        for b in distinct[i + 1 :]:
+            if (a ^ b).bit_count() <= radius:
+                group[root(b)] = root(a)
+    least = {}
+    for key, p in zip(keys, prints):
+        r = root(p)
+        least[r] = min(least.get(r, key), key)
+    return [least[root(p)] for p in prints]
+
+
+# --- collocations -----------------------------------------------------------------------
+
+
+def collocations(rows, least=100, longest=5, percent=100, top=2000):
+    """rows: (lang, text)."""
+    counts = defaultdict(Counter)
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", ascii_lower(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for k in range(1, longest + 1):
+                counts["und" if lang is None else lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        n = sum(c for p, c in f.items() if len(p) == 1)
+        frequent = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        outer = Counter()
+        for p, a in frequent.items():
+            for k in range(2, len(p)):
+                for i in range(len(p) - k + 1):
+                    outer[p[i : i + k]] = max(outer[p[i : i + k]], a)
+        found = []
+        for p, a in frequent.items():
+            score, k = min((1000 * a * n // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            if outer[p] == 0 or 100 * outer[p] < percent * a:
+                found.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, p, left, right) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, n, -score))
+    return out
+
+
+# --- Merkle trees -----------------------------------------------------------------------
+
+
+def joined_hash(parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def row_hash(values):
+    return joined_hash(["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values])
+
+
+def tree_ways(leaves, fanout=3):
+    """The root, and for each leaf its place and siblings, level by level."""
+    ways, where, row = [[] for _ in leaves], list(range(len(leaves))), list(leaves)
+    while len(row) > 1:
+        for way, at in zip(ways, where):
+            first = at - at % fanout
+            way.append((at - first, [x for i, x in enumerate(row[first : first + fanout]) if i != at - first]))
+        row = [joined_hash(row[i : i + fanout]) for i in range(0, len(row), fanout)]
+        where = [at // fanout for at in where]
+    return row[0], ways
+
+
+def manifest(rows):
+    """rows: (doc_id, source, lang, n_chars, text)."""
+    groups = defaultdict(list)
+    for row in rows:
+        key, text = row[0], row[4]
+        changed = key is not None and zlib.crc32(str(key).encode()) % 2 == 0 and text is not None
+        groups[row[1]].append((key is not None, key, row_hash(row), row_hash([*row[:4], text.replace("\n", "")]) if changed else row_hash(row)))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {name: tree_ways([leaf for _, _, leaf, _ in sorted(groups[name])]) for name in names}
+    root, above = tree_ways([trees[name][0] for name in names]) if names else (None, [])
+    out = []
+    for name, up in zip(names, above):
+        for (_, key, leaf, claim), way in zip(sorted(groups[name]), trees[name][1]):
+            digest = claim
+            for place, others in [*way, *up]:
+                digest = joined_hash([*others[:place], digest, *others[place:]])
+            proof = joined_hash([x for _, others in [*way, *up] for x in others])
+            out.append((key, leaf, trees[name][0], root, proof, digest, digest == root))
+    return out

@@ -23,6 +23,8 @@ from strata.session import run_dir
 #: Fixed values of the base rules: ASCII white space parts words; the symbols counted.
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 50, 50, 3
+#: Bytes of text whose lines are held as Python objects at a time.
+SLICE = 1 << 20
 
 
 def repeated_words(words: list) -> int:
@@ -89,7 +91,7 @@ def measure(df: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFra
     schema = f"_key bigint, _id {kind}, _host string, {', '.join(f'{c} bigint' for c in COUNTS)}, "
     schema += "content bigint, lines array<struct<line: bigint, words: bigint>>"
     columns = [row_hash(id_col, host_col, text_col), F.col(id_col), F.col(host_col).cast("string"), F.col(text_col)]
-    return map_columns(df.select(*columns), run, schema)
+    return map_columns(df.select(*columns), run, schema, SLICE)
 
 
 def frequent_lines(lines: DataFrame, limit: int) -> DataFrame:

@@ -35,6 +35,8 @@ from strata.session import run_dir
 
 #: Chunks in each of the cache's two generations; longer chunks are never kept. Only speed and memory depend on these.
 CACHED, CACHED_CHARS = 350_000, 48
+#: The same where a task also holds the ids it writes.
+CACHED_WITH_IDS = 150_000
 #: Fixed rule of byte-level vocabularies: printable bytes are their own character, the others follow from U+0100.
 PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
@@ -50,18 +52,18 @@ class Encoder(dict):
     When the dict is full it becomes the older generation, from which chunks come back as they are met again.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         super().__init__()
+        self.cached = cached
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) >= CACHED:
+        if len(self) >= self.cached:
             self.older = dict(self)
             self.clear()
         found, open_places = [], []
@@ -100,8 +102,8 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, cached: int = CACHED) -> Encoder:
+    return Encoder(path, cached)
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -125,7 +127,8 @@ def token_pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        own, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
+        own = encoder(tokenizer, CACHED_WITH_IDS if keep_ids else CACHED)
+        part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             for rows in slices(batch, SLICE):
                 out = []

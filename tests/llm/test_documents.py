@@ -374,7 +374,6 @@ def test_ranks_must_be_whole():
 @pytest.fixture(scope="module")
 def ids_of():
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     return lambda text: [*own.encode(text or "", add_special_tokens=False).ids, queries.END_ID]
 
 

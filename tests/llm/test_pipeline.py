@@ -66,5 +66,5 @@ def test_last_stage_carries_the_sequences(spark):
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if x[:2] == "op" and x[2].isdigit()}
+    assert "pipeline" in names and {f"op{n}_" for n in range(1, 14)} == {x.split("_")[0] + "_" for x in names if x[:2] == "op" and x[2].isdigit()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "secret scans", "best-fit packing"]

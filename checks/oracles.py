@@ -1132,3 +1132,34 @@ def watched(batch: int, part: str) -> str:
 
 
 Q["stream_checked"] = ON_READINGS + watched(0, f"< {lit(fx.HALF_TIME)}") + " UNION ALL " + watched(1, f">= {lit(fx.HALF_TIME)}")
+
+LAYER_ORDER_CHECKS = missing("order_id", "product_id", "customer_id") + [
+    ("delivery_days", "accepted_range", "days NOT BETWEEN 0 AND 365"),
+    ("delivery_status", "accepted_values", f"{STATUS} NOT IN ('Not Shipped', 'Fast', 'Standard', 'Slow')"),
+    ("order_size_category", "accepted_values", "FALSE"),  # every number has a size and a margin class
+    ("profitability_category", "accepted_values", "FALSE"),
+]
+LAYER_CUSTOMER_CHECKS = missing("customer_id", "total_orders", "total_spent") + [
+    ("total_orders", "accepted_range", "total_orders < 1"),
+    ("total_spent", "accepted_range", "total_spent < 0"),
+    ("customer_tier", "accepted_values", "customer_tier NOT IN ('VIP', 'Frequent', 'High Value', 'Regular')"),
+    ("customer_lifetime_days", "accepted_range", "customer_lifetime_days < 0"),
+]
+LAYER_DAY_CHECKS = missing("measurement_date", "avg_temperature", "total_precipitation") + [
+    ("avg_humidity", "accepted_range", "avg_humidity NOT BETWEEN 0 AND 100"),
+    ("measurement_count", "positive", "measurement_count <= 0"),
+]
+FAULTY_DAYS = """
+faulty_days AS (
+  SELECT CAST(reading_ts AS DATE) AS measurement_date, AVG(temperature_2m) AS avg_temperature,
+         AVG(relative_humidity_2m) AS avg_humidity, SUM(precipitation) AS total_precipitation, COUNT(*) AS measurement_count
+  FROM faulty WHERE COALESCE(temperature_2m, relative_humidity_2m, wind_speed_10m, precipitation) IS NOT NULL GROUP BY 1
+)"""
+Q["layers_quality"] = (
+    ctes(LINES, METRICS_CTE, READINGS, FAULTY_DAYS)
+    + checked("int_orders_enriched", "priced", LAYER_ORDER_CHECKS)
+    + " UNION ALL "
+    + checked("int_customer_metrics", "metrics", LAYER_CUSTOMER_CHECKS)
+    + " UNION ALL "
+    + checked("int_daily_weather", "faulty_days", LAYER_DAY_CHECKS)
+)

@@ -16,7 +16,7 @@ from strata.functions import weather as wx
 from strata.functions.exprs import mean, money_sum, month_start, ratio, whole
 from strata.functions import named
 from strata.operators import customers, deltas, distinct, enrich, metrics, products, quality, refresh, sales, staging, weather
-from strata.plans.layers import run_layers
+from strata.plans.layers import quality_of, run_layers
 from strata.plans.retail import retail_models
 from strata.plans.weather import weather_models
 from strata.session import prepare, run_dir
@@ -1066,6 +1066,21 @@ def layers_retail_incremental(spark, folder):
     return _compared(built, full, totals)
 
 
+@query
+def layers_quality(spark, folder):
+    """Checks of both domains' tables, counted while a build stores them."""
+    reports = []
+    retail_tables = ("stg_orders", "int_orders_enriched", "int_customer_metrics")
+    chosen = [m for m in retail_models(fx.LOAD_TS, fx.AS_OF, fx.SEGMENTS, RETAIL_CLASSES) if m.name in retail_tables]
+    days = [m for m in weather_models(fx.DAILY_LIMITS) if m.name in ("stg_readings", "int_daily_weather")]
+    sources = ({"orders": lines(spark, folder)}, {"readings": star.readings(spark, folder, faulty=True)})
+    for models, source in zip((chosen, days), sources):
+        path = run_dir(spark, "layers-quality")
+        run_layers(spark, source, models, path)
+        reports.append(quality_of(spark, models, path))
+    return metrics.stacked(reports)
+
+
 RETAIL_CLASSES = {
     "customer_tier": fx.CUSTOMER_TIER,
     "customer_segment": fx.CUSTOMER_SEGMENT,

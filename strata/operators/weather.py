@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from strata.functions import weather
 from strata.functions.bands import alert_flag
 from strata.functions.exprs import mean, money_sum, month_start, number, ratio, whole
-from strata.operators.staging import run_marks
+from strata.operators.staging import RUN_METADATA, run_marks
 
 DAY = "measurement_date"
 
@@ -37,6 +37,40 @@ def daily_weather(readings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+#: Partial sums of a day, and how loads combine them.
+DAY_STATES = {
+    "temperature_sum": "sum", "temperature_count": "sum", "min_temperature": "min", "max_temperature": "max",
+    "humidity_sum": "sum", "humidity_count": "sum", "wind_sum": "sum", "wind_count": "sum", "max_wind_speed": "max",
+    "total_precipitation": "sum", "measurement_count": "sum",
+}
+
+
+def daily_states(readings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mergeable partial sums per day (and ``by``), with the load metadata: :func:`daily_weather` of all loads is
+    :func:`daily_from_states` of their sums, without any of the readings."""
+    t, h, w, p = "temperature_2m", "relative_humidity_2m", "wind_speed_10m", "precipitation"
+    return readings.groupBy(_day(), *by).agg(
+        F.sum(t).alias("temperature_sum"), F.count(t).alias("temperature_count"),
+        F.min(t).alias("min_temperature"), F.max(t).alias("max_temperature"),
+        F.sum(h).alias("humidity_sum"), F.count(h).alias("humidity_count"),
+        F.sum(w).alias("wind_sum"), F.count(w).alias("wind_count"), F.max(w).alias("max_wind_speed"),
+        F.sum(p).alias("total_precipitation"), F.count("*").alias("measurement_count"),
+        *run_marks(readings),
+    )
+
+
+def daily_from_states(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The columns of :func:`daily_weather`, one row per row of merged states."""
+    return states.select(
+        DAY, *by,
+        ratio("temperature_sum", "temperature_count").alias("avg_temperature"), "min_temperature", "max_temperature",
+        ratio("humidity_sum", "humidity_count").alias("avg_humidity"),
+        ratio("wind_sum", "wind_count").alias("avg_wind_speed"), "max_wind_speed",
+        F.col("total_precipitation").cast("decimal(22,2)").alias("total_precipitation"), "measurement_count",
+        *[c for c in RUN_METADATA if c in states.columns],
+    )
+
+
 def daily_means(readings: DataFrame) -> DataFrame:
     return readings.groupBy(_day()).agg(mean("temperature_2m").alias("avg_temperature"))
 

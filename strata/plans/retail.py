@@ -7,13 +7,40 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import functions as F
 
-from strata.operators import customers, enrich, products, sales, staging
+from strata.functions import retail
+from strata.operators import customers, enrich, products, quality, sales, staging
 from strata.plans.layers import Model
 
 LINE_KEY = ("order_id", "line_no", "product_id", "supplier_id")
 MARK = "loaded_at"
 
 
+def order_checks() -> list[quality.Check]:
+    """Of the enriched lines."""
+    return [
+        *quality.not_null("order_id", "product_id", "customer_id"),
+        quality.accepted_range("delivery_days", low=0, high=365),
+        quality.accepted_values("delivery_status", [retail.NOT_SHIPPED, *labels(retail.DELIVERY_STEPS), retail.DELIVERY_SLOW]),
+        quality.accepted_values("order_size_category", [*labels(retail.ORDER_SIZE_STEPS), retail.ORDER_SIZE_REST]),
+        quality.accepted_values("profitability_category", [*labels(retail.MARGIN_STEPS), retail.MARGIN_REST]),
+    ]
+
+
+def customer_checks() -> list[quality.Check]:
+    """Of the customer table."""
+    return [
+        *quality.not_null("customer_id", "total_orders", "total_spent"),
+        quality.accepted_range("total_orders", low=1),
+        quality.accepted_range("total_spent", low=0),
+        quality.accepted_values("customer_tier", retail.CUSTOMER_TIERS),
+        quality.accepted_range("customer_lifetime_days", low=0),
+    ]
+
+
+def labels(steps) -> list[str]:
+    return [label for _, label in steps]
+
+
 def retail_models(
     load_ts: dt.datetime,
     as_of: dt.date,
@@ -44,11 +71,11 @@ def retail_models(
     def lines(t):
         return t["int_orders_enriched"]
 
-    def core(name, aggregate, keys, partition_by=(), sort_by=()):
-        """A core aggregate of the enriched lines."""
+    def core(name, aggregate, keys, partition_by=(), sort_by=(), checks=()):
+        """A core aggregate of the enriched lines. Built in full, its groups are checked."""
         if run:
             return Model(name, "core", lines, materialized="aggregate", keys=keys, mark=MARK, aggregate=aggregate)
-        return Model(name, "core", lambda t: aggregate(lines(t)), partition_by, sort_by)
+        return Model(name, "core", lambda t: aggregate(lines(t)), partition_by, sort_by, checks=checks)
 
     def customer_table(rows):
         return customers.customer_table(rows, limits.get("customer_tier"))
@@ -66,8 +93,11 @@ def retail_models(
     )
     return [
         Model("stg_orders", "stage", staged, materialized="view"),
-        Model("int_orders_enriched", "core", enriched, ("order_yyyymm",), ("order_date", "customer_id"), **stored),
-        core("int_customer_metrics", customer_table, ("customer_id",)),
+        Model(
+            "int_orders_enriched", "core", enriched, ("order_yyyymm",), ("order_date", "customer_id"), checks=order_checks(),
+            **stored,
+        ),
+        core("int_customer_metrics", customer_table, ("customer_id",), checks=customer_checks()),
         core("int_customer_segments", segmented, ("customer_id",)),
         core(
             "int_product_performance",

@@ -6,11 +6,28 @@ from collections.abc import Mapping
 
 from pyspark.sql import functions as F
 
-from strata.operators import staging, weather
+from strata.operators import quality, staging, weather
 from strata.plans.layers import Model
 from strata.functions.weather import DAILY_LIMITS
 
 
+def day_checks() -> list[quality.Check]:
+    """Of the stored days."""
+    return [
+        *quality.not_null("measurement_date", "avg_temperature", "total_precipitation"),
+        quality.accepted_range("avg_humidity", low=0, high=100),
+        quality.positive("measurement_count"),
+    ]
+
+
+def reading_checks() -> list[quality.Check]:
+    """Of the readings a load adds to the days."""
+    return [
+        *quality.not_null("measurement_date", *staging.READING_COLUMNS),
+        quality.accepted_range("relative_humidity_2m", low=0, high=100),
+    ]
+
+
 def weather_models(
     limits: Mapping[str, float] = DAILY_LIMITS,
     anomaly_limit: float = 5,
@@ -21,7 +38,8 @@ def weather_models(
     """Models over the sources ``readings`` and ``norms``.
 
     ``anomaly_limit`` is that of the seasonal mart, ``trailing_limit`` that of the trailing one. With ``incremental``
-    the readings carry ``loaded_at``: the days a load touched are built anew, its readings' comfort is appended.
+    the readings carry ``loaded_at`` and only ever grow: a load's partial sums are added to those of its days, its readings'
+    comfort is appended, and no stored day is read or written again.
     """
 
     def present(t):
@@ -43,8 +61,9 @@ def weather_models(
     if incremental:
         tables = [
             Model(
-                "int_daily_weather", "core", dated, materialized="aggregate", keys=("measurement_date",), mark="loaded_at",
-                aggregate=daily,
+                "int_daily_weather", "core", dated, materialized="states", keys=("measurement_date",), mark="loaded_at",
+                aggregate=weather.daily_states, combine=weather.DAY_STATES | {"loaded_at": "max"},
+                finish=lambda states: by_month(weather.daily_from_states(states)), checks=reading_checks(),
             ),
             Model(
                 "int_comfort_index", "core", lambda t: weather.comfort(t["stg_readings"], ["event_id", "loaded_at"]),
@@ -53,7 +72,9 @@ def weather_models(
         ]
     else:
         tables = [
-            Model("int_daily_weather", "core", lambda t: daily(dated(t)), ("yyyymm",), ("measurement_date",)),
+            Model(
+                "int_daily_weather", "core", lambda t: daily(dated(t)), ("yyyymm",), ("measurement_date",), checks=day_checks()
+            ),
             Model("int_comfort_index", "core", comfort, ("yyyymm",), ("reading_ts",)),
         ]
     return [

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.functions import named
-from strata.operators import deltas, distinct, products, quality, refresh, sales
+from strata.operators import deltas, distinct, products, quality, refresh, sales, weather
+from strata.plans.layers import Model, quality_of, run_layers
 from strata.sources import marks, scans, sinks, star, tables
 from strata.sources.tables import Folder, read_table
 from strata.streaming import loads
@@ -459,3 +460,54 @@ def test_named_formulas_are_the_expressions(spark):
                round(my_linear_comfort(t, h, w), 6) FROM measured""")
     assert rows(sql) == rows(own)
     assert "PythonUDF" not in plan(sql)
+
+
+# --- layered builds ---------------------------------------------------------------------
+
+
+def test_models_merged_on_read_and_of_states(spark, folder):
+    types = "k string, v int, m int"
+
+    def models(**extra):
+        return [
+            Model("newest", "core", lambda t: t["rows"], materialized="merge", keys=("k",), newest_first=("v",), mark="m"),
+            Model(
+                "totals", "core", lambda t: t["rows"], materialized="states", keys=("k",), mark="m",
+                aggregate=lambda df: df.groupBy("k").agg(F.sum("v").alias("total"), F.count("*").alias("n"), F.max("m").alias("m")),
+                combine={"total": "sum", "n": "sum", "m": "max"},
+                finish=lambda s: s.select("k", (F.col("total") / F.col("n")).alias("mean")),
+                checks=[*quality.not_null("k"), quality.positive("v")],
+            ),
+            Model("plain", "marts", lambda t: t["totals"].where("mean > 0"), checks=quality.not_null("k")),
+        ]
+
+    first = [("a", 1, 1), ("b", 5, 1), (None, -2, 1)]
+    second = [("a", 3, 2), ("b", 3, 2)]
+    for data in (first, second, second):
+        built = run_layers(spark, {"rows": spark.createDataFrame(data, types)}, models(), folder)
+    assert sorted(rows(built["newest"]), key=repr) == sorted([("a", 3, 2), ("b", 5, 1), (None, -2, 1)], key=repr)
+    assert sorted(rows(built["totals"]), key=repr) == sorted([("a", 2.0), ("b", 4.0), (None, -2.0)], key=repr)
+    report = rows(quality_of(spark, models(), folder), "table_name", "column_name")
+    assert report == [("plain", "k", "not_null", 0, 2), ("totals", "k", "not_null", 0, 2), ("totals", "v", "positive", 0, 2)]
+    with pytest.raises(ValueError, match="no model has checks"):
+        quality_of(spark, models()[:1], folder)
+    for bad in (
+        Model("x", "core", lambda t: t["rows"], materialized="merge", keys=("k",)),
+        Model("x", "core", lambda t: t["rows"], materialized="states", keys=("k",), mark="m"),
+        Model("x", "core", lambda t: t["rows"], materialized="view", checks=quality.not_null("k")),
+    ):
+        with pytest.raises(ValueError):
+            bad.check()
+
+
+def test_days_from_states_are_days_from_readings(spark):
+    readings = star.readings(spark, SMALL, faulty=True).withColumn("loaded_at", F.lit(1))
+    parts = [readings.where(F.col("event_id") % 3 == n) for n in range(3)]
+    states = weather.daily_states(parts[0], ["station_id"])
+    for part in parts[1:]:
+        states = states.unionByName(weather.daily_states(part, ["station_id"]))
+    combine = weather.DAY_STATES | {"loaded_at": "max"}
+    merged = states.groupBy("measurement_date", "station_id").agg(*[deltas.COMBINE[f](c).alias(c) for c, f in combine.items()])
+    own = weather.daily_from_states(merged, ["station_id"])
+    wanted = weather.daily_weather(readings, ["station_id"]).select(*own.columns)
+    assert own.exceptAll(wanted).count() == wanted.exceptAll(own).count() == 0 and own.count() == wanted.count() > 0

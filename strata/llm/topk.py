@@ -1,19 +1,21 @@
 """Exact top-k search by inner product with a uniform threshold in three phases.
 
-Vectors are cut into slices of components; the score of a pair is the sum of its slices' partial scores. Queries and
-candidates are packed into blocks, and every query block meets every candidate block in one task.
-
-1. Each candidate block gives, for every query, its best k of the candidates that lead in some slice, with their
-   whole scores. The k-th best of all of these is a score that k candidates reach: a safe cutoff.
-2. Cutoffs go back to the blocks. A candidate that reaches the cutoff has in some of the m slices at least cutoff / m,
-   so the entries at or above that are sufficient; those whose known partial scores and the bound for the unknown
-   ones stay below the cutoff fall away.
-3. The entries left are scored in full, and each block's best k are merged.
-
-Scores are integers and exact as long as they fit 64 bits. Vectors that are null or hold null, NaN or infinite components take no part; shorter
-vectors count as padded with zeros. Ids that are null take no part. A query's own row is known by its id, so
-rows that repeat an id are no candidates for it; repeated queries are answered each; repeated candidates
-count each. Other columns are not read.
+Vectors are cut into m slices of components, and a pair's score is the sum of its m partial scores. A task holds one slice of
+some candidates and meets the queries' same slice, so what it computes is a list of partial scores, local to the slice.
+
+1. Of every list only the best k entries of each query are gathered. These few candidates are scored in full; the k-th best of
+   them is a score that k candidates reach: the safe cutoff, sent back to the tasks with the queries.
+2. A candidate that reaches the cutoff has, in one slice at least, cutoff / m or more. Each task sends the entries at or
+   above that. An entry known in all slices has its score by adding up; one whose known scores and the bound for the unknown ones
+   stay below the cutoff falls away.
+3. The missing scores of those left are resolved exactly, and the best k of all stay.
+
+Candidates are dealt to as many groups as the session has shuffle partitions, and each query goes once to each group, however many
+candidates it holds. Only pairs at or above the cutoff / m leave a task; no list is sent whole.
+
+Scores are integers and exact as long as they fit 64 bits. Vectors that are null or hold null, NaN or infinite components take no part;
+shorter vectors count as padded with zeros. Ids that are null take no part. A query's own row is known by its id, so rows that repeat an
+id are no candidates for it; repeated queries are answered each; repeated candidates count each. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from pyspark.sql.types import StructType
 from strata.session import run_dir
 
 CANDIDATES, QUERIES = 4096, 512
-BLOCK = "block bigint, ids binary, vectors binary, width bigint"
+BLOCK = "slice int, first bigint, ids binary, vectors binary, width int, bound double"
+ENTRY = "q bigint, query_id bigint, c bigint, vec_id bigint, slice int, part bigint"
 
 
 def scaled(vector: Column, scale: int) -> Column:
@@ -41,9 +44,13 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(F.forall(vector, finite), F.lit(False))
 
 
-def blocks(df: DataFrame, rows: int) -> DataFrame:
-    """Blocks of at most ``rows`` of (id, vector): ids and the matrix as 64-bit integers."""
+def blocks(df: DataFrame, rows: int, width: int, slices: int) -> DataFrame:
+    """A row for each slice of at most ``rows`` of (id, vector): ids, and the slice's matrix as 64-bit integers.
+
+    ``first`` numbers the block's rows: the task, then the place.
+    """
     arrow = to_arrow_schema(StructType.fromDDL(BLOCK))
+    cuts = np.array_split(np.arange(width), slices)
 
     def run(batches):
         first = TaskContext.get().partitionId() << 32
@@ -52,93 +59,109 @@ def blocks(df: DataFrame, rows: int) -> DataFrame:
 
         def packed():
             nonlocal first
-            width = max(map(len, vectors))
             matrix = np.zeros((len(vectors), width), "<i8")
             for row, v in zip(matrix, vectors):
                 row[: len(v)] = v
-            values = [first, np.array(ids, "<i8").tobytes(), matrix.tobytes(), width]
-            first += 1
+            raw = np.array(ids, "<i8").tobytes()
+            for at, cut in enumerate(cuts):
+                part = matrix[:, cut]
+                values = at, first, raw, part.tobytes(), len(cut), float(np.abs(part.astype(float)).max(initial=0))
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow)], schema=arrow)
+            first += len(ids)
             ids.clear()
             vectors.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow)], schema=arrow)
 
         for batch in batches:
             for key, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(key)
                 vectors.append(vector)
                 if len(ids) == rows:
-                    yield packed()
+                    yield from packed()
         if ids:
-            yield packed()
+            yield from packed()
 
     return df.mapInArrow(run, BLOCK)
 
 
-class Pair:
-    """A query block and a candidate block, of one width."""
-
-    def __init__(self, q_ids, q_vectors, q_width, c_ids, c_vectors, c_width, slices):
-        self.q_ids, self.c_ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8")
-        width = max(q_width, c_width, 1)
-        self.q, self.c = (self._matrix(v, len(i), w, width) for v, i, w in ((q_vectors, self.q_ids, q_width), (c_vectors, self.c_ids, c_width)))
-        most = lambda m: int(np.abs(m).max(initial=0))
-        if most(self.q) * most(self.c) * width < 2**53:  # whole numbers that doubles hold exactly
-            self.q, self.c = self.q.astype(float), self.c.astype(float)
-        self.cuts = [c for c in np.array_split(np.arange(width), slices) if len(c)]
-        self.own = self.q_ids[:, None] == self.c_ids[None, :]
-
-    @staticmethod
-    def _matrix(raw, rows, width, wanted):
-        m = np.frombuffer(raw, "<i8").reshape(rows, width)
-        return np.pad(m, ((0, 0), (0, wanted - width)))
-
-    def partial(self) -> list[np.ndarray]:
-        return [self.q[:, c] @ self.c[:, c].T for c in self.cuts]
-
-    def best(self, scores: np.ndarray, chosen: np.ndarray, k: int):
-        """(query, candidate) places of each query's best k of the chosen, by score, then id."""
-        q, c = np.nonzero(chosen & ~self.own)
-        s = scores[q, c]
-        order = np.lexsort((self.c_ids[c], -s, q))
-        q, c = q[order], c[order]
-        start = np.searchsorted(q, q)
-        keep = np.arange(len(q)) - start < k
-        return q[keep], c[keep]
-
-
-def leaders(pair: Pair, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phase 1: places and whole scores of the best k among those that lead in a slice."""
-    partial = pair.partial()
-    chosen = np.zeros(pair.own.shape, bool)
-    for p in partial:
-        p = np.where(pair.own, p.min(initial=0) - 1, p)
-        n = min(k, p.shape[1])
-        top = np.argpartition(-p, n - 1, axis=1)[:, :n]
-        np.put_along_axis(chosen, top, True, axis=1)
-    scores = sum(partial)
-    q, c = pair.best(scores, chosen, k)
-    return q, c, scores[q, c]
-
-
-def sufficient(pair: Pair, cutoff: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phases 2 and 3: places and scores of the best k that reach the cutoff (-inf: all do)."""
-    partial = pair.partial()
-    bound = (cutoff / len(partial))[:, None]
-    known = np.zeros(pair.own.shape, int)
-    upper = np.zeros(pair.own.shape)
-    for p in partial:
-        there = p >= bound
-        known += there
-        upper += np.where(there, p, bound)
-    left = (known > 0) & (upper >= cutoff[:, None] - 1e-6)
-    q, c = np.nonzero(left)
-    scores = np.zeros(left.shape, pair.q.dtype)
-    for at in range(0, len(q), 1 << 18):
-        a, b = q[at : at + (1 << 18)], c[at : at + (1 << 18)]
-        scores[a, b] = np.einsum("ij,ij->i", pair.q[a], pair.c[b])
-    left[q, c] = scores[q, c] >= cutoff[q]
-    q, c = pair.best(scores, left, k)
-    return q, c, scores[q, c]
+def matrix(raw: bytes, width: int, exact_as_double: bool) -> np.ndarray:
+    m = np.frombuffer(raw, "<i8").reshape(-1, width) if width else np.zeros((0, 0), "<i8")
+    return m.astype(float) if exact_as_double else m
+
+
+class Meeting:
+    """The partial scores of a block of queries and a block of candidates in one slice."""
+
+    def __init__(self, row: dict):
+        self.q_ids, self.c_ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
+        self.q_first, self.c_first, self.slice = row["q_first"], row["first"], row["slice"]
+        # Whole numbers that doubles hold exactly are multiplied as doubles.
+        small = row["q_bound"] * row["bound"] * max(row["width"], 1) < 2**53
+        if row["width"]:
+            q, c = matrix(row["q_vectors"], row["width"], small), matrix(row["vectors"], row["width"], small)
+            self.part = q @ c.T
+        else:
+            self.part = np.zeros((len(self.q_ids), len(self.c_ids)))
+        self.other = self.q_ids[:, None] != self.c_ids[None, :]
+
+    def best(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of each query's ``k`` best entries in this slice."""
+        part = np.where(self.other, self.part, -np.inf if self.part.dtype == float else np.iinfo(np.int64).min)
+        n = min(k, part.shape[1])
+        top = np.argpartition(-part if part.dtype == float else ~part, n - 1, axis=1)[:, :n]
+        q = np.repeat(np.arange(len(part)), n)
+        keep = self.other[q, top.ravel()]
+        return q[keep], top.ravel()[keep]
+
+    def reaching(self, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the entries at or above each query's share."""
+        return np.nonzero((self.part >= share[:, None]) & self.other)
+
+    def entries(self, q: np.ndarray, c: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+        part = self.part[q, c].astype(np.int64)
+        columns = q + self.q_first, self.q_ids[q], c + self.c_first, self.c_ids[c], np.full(len(q), self.slice, np.int32), part
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, schema.types)], schema=schema)
+
+
+def meetings(pairs: DataFrame, work) -> DataFrame:
+    """The entries that ``work(meeting, row)`` chooses, of every pair of blocks."""
+    schema = to_arrow_schema(StructType.fromDDL(ENTRY))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                meeting = Meeting(row)
+                yield meeting.entries(*work(meeting, row), schema)
+
+    return pairs.mapInArrow(run, ENTRY)
+
+
+def resolved(pairs: DataFrame, q: DataFrame, c: DataFrame) -> DataFrame:
+    """``q``, ``query_id``, ``c``, ``vec_id``, ``score``: the whole scores of chosen pairs; ``q`` and ``c`` have the vectors by row."""
+    own = pairs.join(c.withColumnRenamed("row", "c").withColumnRenamed("vector", "_c"), "c")
+    own = own.join(q.withColumnRenamed("row", "q").withColumnRenamed("vector", "_q"), "q")
+    products = F.zip_with("_q", "_c", lambda a, b: F.coalesce(a, F.lit(0)) * F.coalesce(b, F.lit(0)))
+    score = F.aggregate(products, F.lit(0).cast("bigint"), lambda total, x: total + x)
+    return own.select("q", "query_id", "c", "vec_id", score.alias("score"))
+
+
+def vectors_by_row(parts: DataFrame) -> DataFrame:
+    """``row`` and ``vector`` of all rows of the stored blocks, put together from their slices."""
+    arrow = to_arrow_schema(StructType.fromDDL("row bigint, slice int, part array<bigint>"))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = len(row["ids"]) // 8
+                own = matrix(row["vectors"], row["width"], False) if row["width"] else np.zeros((n, 0), "<i8")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(n) + row["first"]), pa.array([row["slice"]] * n, pa.int32()), pa.array(own.tolist(), arrow.types[2])],
+                    schema=arrow,
+                )
+
+    rows = parts.select("first", "slice", "ids", "vectors", "width").mapInArrow(run, "row bigint, slice int, part array<bigint>")
+    slices = F.sort_array(F.collect_list(F.struct("slice", "part")))
+    return rows.groupBy("row").agg(F.flatten(F.transform(slices, lambda s: s["part"])).alias("vector"))
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, slices: int = 2) -> DataFrame:
@@ -148,43 +171,60 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, slices: int = 2
     """
     spark = queries.sparkSession
     folder = run_dir(spark, "top-k")
-    for df, name, rows in ((queries, "q", QUERIES), (candidates, "c", CANDIDATES)):
-        own, vector = df.columns
-        ready = df.where(F.col(own).isNotNull() & F.col(vector).isNotNull())
-        blocks(ready, rows).write.parquet(f"{folder}/{name}")
-    q = spark.read.parquet(f"{folder}/q").select(*[F.col(c).alias(f"q_{c}") for c in ("block", "ids", "vectors", "width")])
-    c = spark.read.parquet(f"{folder}/c")
-    # The stated queries against all rows: each query block is sent to every candidate block, by the blocks' numbers.
-    numbers = [r["block"] for r in c.select("block").collect()]
-    # Merged, never broadcast: the spread queries are far larger than what Spark takes them for.
-    spread = lambda df: df.withColumn("block", F.explode(F.lit(numbers).cast("array<bigint>"))).hint("merge")
-    pairs = spread(q).join(c, "block")
-
-    def meet(batches, work):
-        names = ("q_ids", "q_vectors", "q_width", "ids", "vectors", "width")
-        for batch in batches:
-            for row in batch.to_pylist():
-                pair = Pair(*(row[n] for n in names), slices)
-                a, b, scores = work(pair, row)
-                scores = np.clip(scores, -(2**63), 2**63 - 1025).astype(np.int64)
-                query = (np.int64(row["q_block"]) << 12) + a
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(pair.q_ids[a]), pa.array(pair.c_ids[b]), pa.array(scores)], schema=found)
-
-    schema = "q bigint, query_id bigint, vec_id bigint, score bigint"
-    found = to_arrow_schema(StructType.fromDDL(schema))
-    first = pairs.mapInArrow(lambda batches: meet(batches, lambda pair, _: leaders(pair, k)), schema)
-    by_score = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    ranked = lambda df: df.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-    kth = ranked(first).where(F.col("rank") == k)
-    cutoffs = kth.groupBy(F.shiftright("q", 12).alias("q_block")).agg(
-        F.map_from_entries(F.collect_list(F.struct((F.col("q") % 4096).cast("int"), F.col("score").cast("double")))).alias("cutoffs")
-    )
-    cutoffs.write.parquet(f"{folder}/cutoffs")
-    q = q.join(spark.read.parquet(f"{folder}/cutoffs"), "q_block", "left")
-
-    def with_cutoffs(pair, row):
-        given = dict(row["cutoffs"] or ())
-        return sufficient(pair, np.array([given.get(i, -np.inf) for i in range(len(pair.q_ids))]), k)
 
-    last = spread(q).join(c, "block").mapInArrow(lambda batches: meet(batches, with_cutoffs), schema)
-    return ranked(last).select("query_id", "rank", "vec_id", "score")
+    def stored(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    ready = [df.where(F.col(df.columns[0]).isNotNull() & F.col(df.columns[1]).isNotNull()) for df in (queries, candidates)]
+    longest = [df.agg(F.coalesce(F.max(F.size(df.columns[1])), F.lit(0))).first()[0] for df in ready]
+    width = max(1, *longest)
+    slices = min(slices, width)
+    q_parts = stored(blocks(ready[0], QUERIES, width, slices), "q")
+    c_parts = stored(blocks(ready[1], CANDIDATES, width, slices), "c")
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    c = c_parts.withColumn("group", F.pmod(F.xxhash64("first"), F.lit(groups)).cast("int"))
+    q = q_parts.select("slice", *[F.col(x).alias(f"q_{x}") for x in ("first", "ids", "vectors", "width", "bound")])
+
+    def pairs(q: DataFrame) -> DataFrame:
+        spread = q.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        # Merged, never broadcast: the blocks are far larger than what Spark takes them for.
+        return spread.hint("merge").join(c, ["slice", "group"])
+
+    def ranked(df: DataFrame, by: list[str], score: str) -> DataFrame:
+        order = W.partitionBy(*by).orderBy(F.desc(score), "vec_id", "c")
+        return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    # Phase 1: the lists' best entries, and the cutoff their whole scores give.
+    heads = ranked(meetings(pairs(q), lambda meeting, _: meeting.best(k)), ["q", "slice"], "part")
+    leaders = stored(heads.select("q", "query_id", "c", "vec_id").distinct(), "leaders")
+    q_rows, c_rows = (stored(vectors_by_row(p), n) for p, n in ((q_parts, "q-rows"), (c_parts, "c-rows")))
+    lead = stored(resolved(leaders, q_rows, c_rows), "lead")
+    cutoffs = ranked(lead, ["q"], "score").where(F.col("rank") == k).select("q", F.col("score").alias("cutoff"))
+    cutoffs = stored(cutoffs, "cutoffs")
+
+    # Phase 2: every block of queries takes its cutoffs along; without one, fewer than k candidates are known and all entries are sent.
+    rows = q_parts.where("slice = 0").select(
+        F.col("first").alias("q_first"), F.explode(F.sequence(F.lit(0), F.expr("octet_length(ids) div 8 - 1"))).alias("at")
+    )
+    rows = rows.withColumn("q", F.col("q_first") + F.col("at")).join(cutoffs, "q", "left")
+    limits = rows.groupBy("q_first").agg(F.sort_array(F.collect_list(F.struct("at", "cutoff"))).alias("limits"))
+    armed = q.join(stored(limits.select("q_first", "limits.cutoff"), "limits"), "q_first")
+    sent = stored(meetings(pairs(armed), lambda meeting, row: meeting.reaching(shares(row["cutoff"], slices))), "sent")
+    known = sent.groupBy("q", "query_id", "c", "vec_id").agg(F.sum("part").alias("part"), F.count(F.lit(1)).alias("known"))
+    known = known.join(cutoffs, "q", "left")
+    # Each unknown slice is below its share, cutoff / m.
+    hopeless = F.col("part") * slices + (slices - F.col("known")) * F.col("cutoff") < F.col("cutoff") * slices
+    known = stored(known.where(~F.coalesce(hopeless, F.lit(False))), "known")
+
+    # Phase 3: what is missing.
+    whole = known.where(F.col("known") == slices).select("q", "query_id", "c", "vec_id", F.col("part").alias("score"))
+    missing = known.where(F.col("known") < slices).select("q", "query_id", "c", "vec_id")
+    final = ranked(whole.unionByName(resolved(missing, q_rows, c_rows)), ["q"], "score")
+    return final.select("query_id", "rank", "vec_id", "score")
+
+
+def shares(cutoffs: list[int | None], slices: int) -> np.ndarray:
+    """The least partial score that counts, per query: the cutoff's share rounded up, so that a whole number reaches it if and only if it
+    reaches the share."""
+    return np.array([-np.inf if c is None else float(-(-c // slices)) if abs(c) < 2**52 else np.floor(c / slices) - 2.0**12 for c in cutoffs])

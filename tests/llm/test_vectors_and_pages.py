@@ -96,18 +96,41 @@ def test_top_k_with_more_slices_than_components(spark):
     assert Counter(map(tuple, got)) == Counter(wanted)
 
 
-def test_cutoff_prunes_and_loses_nothing():
-    rng = np.random.default_rng(3)
-    q, c = rng.integers(-200, 200, (4, 64)), rng.integers(-200, 200, (3000, 64))
-    args = [np.arange(4).astype("<i8").tobytes(), q.astype("<i8").tobytes(), 64, (np.arange(3000) + 10).astype("<i8").tobytes(), c.astype("<i8").tobytes(), 64, 2]
-    pair = topk.Pair(*args)
+@pytest.mark.parametrize("slices", [2, 4])
+def test_few_entries_leave_their_lists(spark, monkeypatch, tmp_path, slices):
+    """Phase 1 sends k entries a list, phase 2 those at or above the share, phase 3 resolves the rest exactly."""
+    monkeypatch.setattr(topk, "run_dir", lambda *_: str(tmp_path))
+    monkeypatch.setattr(topk, "CANDIDATES", 256)
+    rng = np.random.default_rng(slices)
+    q, c = rng.integers(-200, 200, (20, 64)), rng.integers(-200, 200, (3000, 64))
+    frame = lambda m, first: spark.createDataFrame([(first + i, v) for i, v in enumerate(m.tolist())], "vec_id long, vector array<long>")
+    got = topk.top_k(frame(q, 10_000), frame(c, 0), k=5, slices=slices).collect()
     scores = q @ c.T
-    a, _, found = topk.leaders(pair, 5)
-    cutoff = np.array([np.sort(found[a == i])[-5] for i in range(4)])
-    assert (cutoff <= np.sort(scores, axis=1)[:, -5]).all()
-    a, b, found = topk.sufficient(pair, cutoff, 5)
-    for i in range(4):
-        assert sorted(found[a == i].tolist()) == np.sort(scores[i])[-5:].tolist()
+    for i in range(20):
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == 10_000 + i)
+        best = sorted(range(3000), key=lambda j: (-scores[i, j], j))[:5]
+        assert own == [(r, j, scores[i, j]) for r, j in enumerate(best, 1)]
+    sent = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in ("leaders", "sent", "known", "cutoffs")}
+    assert sent["leaders"].count() <= 20 * 5 * slices
+    assert sent["sent"].count() < 0.2 * scores.size * slices and sent["known"].count() < scores.size / 2
+    kth = np.sort(scores, axis=1)[:, -5]
+    assert all(r["cutoff"] <= kth[n] for n, r in enumerate(sent["cutoffs"].orderBy("q").collect()))
+    # nothing below the share was sent, and nothing at or above it was kept back
+    cutoff = {r["q"]: r["cutoff"] for r in sent["cutoffs"].collect()}
+    entries = sent["sent"].collect()
+    assert all(r["part"] * slices >= cutoff[r["q"]] for r in entries)
+    place = {r["q"]: r["query_id"] - 10_000 for r in entries}
+    cuts = np.array_split(np.arange(64), slices)
+    wanted = sum(int((q[place[n]][cut] @ c[:, cut].T * slices >= limit).sum()) for n, limit in cutoff.items() for cut in cuts)
+    assert len(entries) == wanted
+
+
+def test_a_share_is_reached_by_whole_numbers_only_if_they_reach_it():
+    for cutoff in range(-20, 21):
+        for slices in (1, 2, 3, 8):
+            least = topk.shares([cutoff], slices)[0]
+            assert [p >= least for p in range(-30, 31)] == [p * slices >= cutoff for p in range(-30, 31)]
+    assert topk.shares([None, 2**60 + 1], 2)[0] == -np.inf and topk.shares([2**60 + 1], 2)[0] <= 2**59
 
 
 # --- URL rules --------------------------------------------------------------------------

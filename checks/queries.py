@@ -1175,8 +1175,8 @@ def dq_observed(spark, folder):
     """The same counts, taken while the tables are written."""
     found = []
     for rows, name, checks in _checked(spark, folder):
-        watch = quality.Watch(rows, name, checks)
-        sinks.write_new(watch.rows, run_dir(spark, "observed"))
+        watch = quality.Watch(name, checks)
+        sinks.write_new(watch(rows), run_dir(spark, "observed"))
         found.append(watch.report(spark))
     return metrics.stacked(found)
 

@@ -17,7 +17,7 @@ from strata.session import scratch
 from strata.sources.schema import check_schema_unchanged
 from strata.operators.deltas import ADDED, ANEW, CLEARED, WHOLE, Deltas
 from strata.sources.marks import append_marked, observed, save_mark, stored_mark
-from strata.sources.sinks import append, replace_partitions, write_partitioned
+from strata.sources.sinks import Watched, append, as_is, replace_partitions, write_partitioned
 from strata.sources.tables import Folder, read_table, stored, stored_schema
 
 
@@ -344,12 +344,14 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(other, condition, how)
 
 
-def partition_refresh(df: DataFrame, target: str, partition_cols: Sequence[str], sort_cols: Sequence[str] = ()) -> None:
+def partition_refresh(
+    df: DataFrame, target: str, partition_cols: Sequence[str], sort_cols: Sequence[str] = (), watch: Watched = as_is
+) -> None:
     """Rewrite the partitions present in ``df``, leave the others. A drifting frame raises."""
     schema = stored_schema(df.sparkSession, target)
     if schema is not None:
         check_schema_unchanged(df, schema)
-    replace_partitions(df, target, partition_cols, sort_cols)
+    replace_partitions(df, target, partition_cols, sort_cols, watch)
 
 
 def guarded_append(df: DataFrame, target: str) -> None:

@@ -18,6 +18,9 @@ from strata.sources.scans import in_days
 from strata.sources.tables import drop_partitions, partition_values, read_table, refuse_empty, save_schema, swap_in
 
 
+Watched = Callable[[DataFrame], DataFrame]
+
+
 def write_new(df: DataFrame, target: str) -> None:
     """Fails when the target exists."""
     df.write.mode("errorifexists").parquet(target)
@@ -55,11 +58,18 @@ def stored_order(df: DataFrame, partition_cols: Sequence[str]):
     return df.select(*[c for c in df.columns if c not in partition_cols], *partition_cols).schema
 
 
-def write_partitioned(df: DataFrame, target: str, partition_cols: Sequence[str], sort_cols: Sequence[str] = ()) -> None:
-    """Rebuild a table in partition folders, each file sorted by ``sort_cols`` for min/max skipping."""
+def as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
+def write_partitioned(
+    df: DataFrame, target: str, partition_cols: Sequence[str], sort_cols: Sequence[str] = (), watch: Watched = as_is
+) -> None:
+    """Rebuild a table in partition folders, each file sorted by ``sort_cols`` for min/max skipping. ``watch`` sees the rows as
+    they are written."""
 
     def write(path: str) -> None:
-        laid_out(df, partition_cols, sort_cols).write.partitionBy(*partition_cols).parquet(path)
+        watch(laid_out(df, partition_cols, sort_cols)).write.partitionBy(*partition_cols).parquet(path)
         save_schema(df.sparkSession, path, stored_order(df, partition_cols))
 
     swap_in(df.sparkSession, target, write)
@@ -101,9 +111,12 @@ def write_interleaved(df: DataFrame, target: str, columns: Sequence[str], bits:
     swap_in(df.sparkSession, target, laid.write.parquet)
 
 
-def replace_partitions(df: DataFrame, target: str, partition_cols: Sequence[str], sort_cols: Sequence[str] = ()) -> None:
-    """Rewrite only the partitions that occur in ``df``; running it twice changes nothing."""
-    writer = laid_out(df, partition_cols, sort_cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def replace_partitions(
+    df: DataFrame, target: str, partition_cols: Sequence[str], sort_cols: Sequence[str] = (), watch: Watched = as_is
+) -> None:
+    """Rewrite only the partitions that occur in ``df``; running it twice changes nothing. ``watch`` sees the rows as they are
+    written."""
+    writer = watch(laid_out(df, partition_cols, sort_cols)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*partition_cols).parquet(target)
     save_schema(df.sparkSession, target, stored_order(df, partition_cols))
 

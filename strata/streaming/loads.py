@@ -47,9 +47,9 @@ def stream_checked(rows: DataFrame, target: str, report: str, table: str, checks
     """Append each batch and, from the same pass, its quality report to the table ``report`` (with ``batch_id``)."""
 
     def load(batch: DataFrame, number: int) -> None:
-        watch = Watch(batch, table, checks)
+        watch = Watch(table, checks)
         # A batch that is tried again replaces what the first try left.
-        replace_partitions(watch.rows.withColumn("batch_id", F.lit(number).cast("bigint")), target, ["batch_id"])
+        replace_partitions(batch.withColumn("batch_id", F.lit(number).cast("bigint")), target, ["batch_id"], watch=watch)
         found = watch.report(batch.sparkSession).withColumn("batch_id", F.lit(number).cast("bigint"))
         replace_partitions(found, report, ["batch_id"])
 

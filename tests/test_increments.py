@@ -286,9 +286,15 @@ def test_checks_counted_during_the_write(spark, folder):
     df = frame(spark, [(1, -1, None), (None, 5, day(1)), (3, None, day(9))])
     checks = [*quality.not_null("k", "d"), quality.positive("v"), quality.in_past("d", day(5))]
     for name, part in (("some", df), ("none", df.where("k > 100")), ("empty", df.limit(0))):
-        watch = quality.Watch(part, "t", checks)
-        sinks.write_new(watch.rows, f"{folder}/{name}")
+        watch = quality.Watch("t", checks)
+        sinks.write_new(watch(part), f"{folder}/{name}")
         assert rows(watch.report(spark)) == rows(quality.quality_report(part, "t", checks))
+        watch = quality.Watch("t", checks)
+        sinks.write_partitioned(part, f"{folder}/{name}-days", ["d"], ["k"], watch)
+        assert rows(watch.report(spark)) == rows(quality.quality_report(part, "t", checks))
+        # counted in the stage that writes, above the shuffle that deals out the partitions
+        text = plan(quality.Watch("t", checks)(sinks.laid_out(part, ["d"], [])))
+        assert name != "some" or text.index("CollectMetrics") < text.index("Exchange")
 
 
 def test_uniqueness_by_hashes(spark, monkeypatch):

@@ -16,9 +16,11 @@ empty, that is a lone end token. Other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from codecs import charmap_decode
 from collections import defaultdict
 from functools import lru_cache
 
@@ -39,15 +41,16 @@ CACHED, CACHED_CHARS = 350_000, 48
 CACHED_WITH_IDS = 150_000
 #: Fixed rule of byte-level vocabularies: printable bytes are their own character, the others follow from U+0100.
 PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
-LATIN_END = "\u0250"
-#: Chunks given to the tokenizer at a time, and bytes of text encoded at a time.
-TOGETHER = 10_000
+OTHERS = [b for b in range(256) if b not in PRINTABLE]
+BYTE_CHARS = "".join(chr(b if b in PRINTABLE else 0x100 + OTHERS.index(b)) for b in range(256))
+#: Latin words and ASCII numbers are one pre-token whatever the Unicode version; the model alone does for them.
+ONE_PRE_TOKEN = re.compile(" ?(?:[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9]+)")
+#: Bytes of text encoded at a time.
 SLICE = 3 << 19
 
 
 class Encoder(dict):
-    """Ids of chunks seen, as little-endian 32-bit integers; new chunks of a slice are encoded together.
+    """Ids of chunks seen, as little-endian 32-bit integers; a new chunk is encoded when it is looked up.
 
     When the dict is full it becomes the older generation, from which chunks come back as they are met again.
     """
@@ -66,39 +69,18 @@ class Encoder(dict):
         if len(self) >= self.cached:
             self.older = dict(self)
             self.clear()
-        found, open_places = [], []
-        for text in texts:
-            chunks = FINE_CHUNK.findall(text)
-            ids = list(map(self.get, chunks))
-            found.append(ids)
-            if None in ids:
-                open_places.append((ids, [(i, chunks[i]) for i, own in enumerate(ids) if own is None]))
-        self.learn({c for _, places in open_places for _, c in places})
-        for ids, places in open_places:
-            for i, chunk in places:
-                ids[i] = self[chunk]
-        out = [b"".join(ids) for ids in found]
-        for _, places in open_places:
-            for _, chunk in places:
-                if len(chunk) > CACHED_CHARS:
-                    self.pop(chunk, None)
-        return out
-
-    def learn(self, chunks: set[str]) -> None:
-        known = chunks & self.older.keys()
-        self.update((c, self.older[c]) for c in known)
-        rest = []
-        for c in chunks - known:
-            # Latin words are one pre-token whatever the Unicode version; the model alone does for them.
-            if (c[1:] if c[0] == " " else c).isalpha() and (c.isascii() or max(c) < LATIN_END):
-                pieces = self.tokenize(c.encode().decode("latin-1").translate(BYTE_CHARS))
-                self[c] = array("I", [t.id for t in pieces]).tobytes()
+        return [b"".join(map(self.__getitem__, FINE_CHUNK.findall(text))) for text in texts]
+
+    def __missing__(self, chunk: str) -> bytes:
+        if (ids := self.older.get(chunk)) is None:
+            if ONE_PRE_TOKEN.fullmatch(chunk):
+                own = [t.id for t in self.tokenize(charmap_decode(chunk.encode(), "strict", BYTE_CHARS)[0])]
             else:
-                rest.append(c)
-        for at in range(0, len(rest), TOGETHER):
-            some = rest[at : at + TOGETHER]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.update((c, array("I", e.ids).tobytes()) for c, e in zip(some, found))
+                own = self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
+            ids = array("I", own).tobytes()
+        if len(chunk) <= CACHED_CHARS:
+            self[chunk] = ids
+        return ids
 
 
 @lru_cache(maxsize=1)

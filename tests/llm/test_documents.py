@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strata.llm import bpe, kneser_ney, line_quality, ngram_join, packing, pii, queries, secrets, viterbi
+from strata.llm.text import FINE_CHUNK
 from tests.llm import brute
 
 SMALL = "/root/testdata/sf0.001"
@@ -416,6 +417,22 @@ def test_packing_of_small_sequences(spark, tables, ids_of):
     assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in out)
 
 
+def test_chunks_repeat_words():
+    text = "Area AREA!! AREA%%%\nArea (AREA) AREA's AREA\nArea 3-4"
+    wanted = ["Area", " AREA", "!!", " AREA", "%%%", "\n", "Area", " (AREA)", " AREA", "'s", " AREA", "\n", "Area", " 3", "-4"]
+    assert FINE_CHUNK.findall(text) == wanted
+    assert FINE_CHUNK.findall("a<|endoftext|>b, c|d") == ["a", "<|endoftext|>b", ",", " c", "|d"]
+
+
+@pytest.mark.parametrize("cached", [3, 350_000])
+def test_ids_of_random_texts(ids_of, cached):
+    own = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), cached)
+    texts = random_texts(4000, 2)
+    for at in range(0, len(texts), 50):
+        for text, ids in zip(texts[at : at + 50], own.encode(texts[at : at + 50])):
+            assert [*np.frombuffer(ids, "<u4").tolist(), queries.END_ID] == ids_of(text)
+
+
 def test_plan_uses_every_rank_once():
     rng = np.random.default_rng(1)
     lengths = np.minimum(256, np.maximum(1, rng.lognormal(4, 1, 5000).astype(int)))

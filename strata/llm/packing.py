@@ -66,9 +66,6 @@ class Encoder(dict):
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) >= self.cached:
-            self.older = dict(self)
-            self.clear()
         return [b"".join(map(self.__getitem__, FINE_CHUNK.findall(text))) for text in texts]
 
     def __missing__(self, chunk: str) -> bytes:
@@ -79,6 +76,9 @@ class Encoder(dict):
                 own = self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
             ids = array("I", own).tobytes()
         if len(chunk) <= CACHED_CHARS:
+            if len(self) >= self.cached:  # at every new chunk: one long text may have more of them than are kept
+                self.older = dict(self)
+                self.clear()
             self[chunk] = ids
         return ids
 

@@ -433,6 +433,14 @@ def test_ids_of_random_texts(ids_of, cached):
             assert [*np.frombuffer(ids, "<u4").tolist(), queries.END_ID] == ids_of(text)
 
 
+def test_one_long_text_does_not_outgrow_the_cache(ids_of):
+    own = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 100)
+    text = " ".join(f"w{a}{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for _ in range(2))
+    ids = own.encode([text])[0]
+    assert len(own) <= 100 and len(own.older) <= 100
+    assert [*np.frombuffer(ids, "<u4").tolist(), queries.END_ID] == ids_of(text)
+
+
 def test_plan_uses_every_rank_once():
     rng = np.random.default_rng(1)
     lengths = np.minimum(256, np.maximum(1, rng.lognormal(4, 1, 5000).astype(int)))

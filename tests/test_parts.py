@@ -6,10 +6,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from checks.queries import REGISTRY
-from strata.operators import products, quality
+from checks.queries import REGISTRY, differing
+from strata.operators import products, quality, refresh
 from strata.plans.layers import Model, quality_of, run_layers
-from strata.session import BUILDING, building
+from strata.session import BUILDING, building, scratch
 from strata.sources import sinks
 from strata.sources.tables import read_table
 
@@ -122,13 +122,11 @@ def test_the_settings_of_a_build_end_with_it_and_yield_to_the_users(spark):
         spark.conf.unset(codec)
 
 
-def test_a_models_parts_need_columns_and_an_order(spark):
+def test_a_models_parts_need_columns(spark):
     with pytest.raises(ValueError, match="no columns"):
         Model("m", "core", lambda t: t["rows"], parts=2).check()
     with pytest.raises(ValueError, match="not built in parts"):
         Model("m", "core", lambda t: t["rows"], materialized="append", mark="v", parts=2, parts_by=("k",)).check()
-    with pytest.raises(ValueError, match="needs an order"):
-        Model("m", "core", lambda t: t["rows"], materialized="upsert", keys=("k",), parts=2).check()
 
 
 def test_a_product_folds_each_line_to_three_rows_and_counts_its_places(spark):
@@ -166,3 +164,83 @@ def test_the_lines_are_laid_out_before_they_are_widened(spark, folder, monkeypat
     monkeypatch.setattr("strata.plans.layers.write_partitioned", spy)
     REGISTRY["layers_quality"](spark, SMALL)
     assert not any("profitability_category" in columns for columns in plans) and any("order_yyyymm" in columns for columns in plans)
+
+
+def load(spark, rows):
+    return spark.createDataFrame(rows, "k bigint, g string, at int, v string")
+
+
+FIRST = [(i if i % 9 else None, f"g{i % 5}", 1, f"a{i}") for i in range(1, 60)] + [(1, "g1", 0, "old")]
+SECOND = [(1, "g1", 2, "b"), (2, "g2", 0, "older"), (100, "g0", 2, "new"), (100, "g0", 3, "newer")]
+
+
+def test_an_upsert_in_parts_gives_the_same_table(spark, folder):
+    tables = {}
+    for n in (1, 4):
+        bucketed = refresh.Buckets(spark, f"{folder}/buckets{n}", ["k", "g"], 8)
+        for rows in (FIRST, SECOND):
+            refresh.incremental_upsert(load(spark, rows), bucketed, ["at"], parts=n)
+            refresh.upsert_partitions(load(spark, rows), f"{folder}/folders{n}", ["k"], ["g"], newest_first=["at"], check_moved=False, parts=n)
+        again = refresh.Buckets(spark, bucketed.root, ["k", "g"])
+        tables[n] = [content(again.current()), content(read_table(spark, f"{folder}/folders{n}"))]
+    assert tables[4] == tables[1]
+    assert repr(again.current().where("k = 100").first().v) == "'newer'"
+
+
+def test_what_an_upsert_in_parts_refuses_is_refused_before_anything_is_written(spark, folder):
+    path = f"{folder}/t"
+    refresh.upsert_partitions(load(spark, FIRST), path, ["k"], ["g"], newest_first=["at"], parts=4)
+    before = content(read_table(spark, path))
+    moved = [*SECOND, (3, "g0", 9, "elsewhere")]
+    with pytest.raises(refresh.MovedKey):
+        refresh.upsert_partitions(load(spark, moved), path, ["k"], ["g"], newest_first=["at"], parts=4)
+    with pytest.raises(refresh.RepeatedKey):
+        refresh.upsert_partitions(load(spark, SECOND), path, ["k"], ["g"], parts=4)
+    assert content(read_table(spark, path)) == before
+
+
+def test_stored_rows_are_not_shuffled_to_find_the_touched_partitions(spark, folder, monkeypatch):
+    plans = []
+    written = refresh.replace_partitions
+
+    def spy(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, *args, **kwargs)
+
+    monkeypatch.setattr(refresh, "replace_partitions", spy)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        for rows in (FIRST, SECOND):
+            refresh.upsert_partitions(load(spark, rows), f"{folder}/t", ["k"], ["g"], newest_first=["at"], check_moved=False, parts=2)
+    finally:
+        spark.conf.set(key, before)
+    assert len(plans) == 2 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+
+
+def test_an_aggregate_in_parts_gives_the_same_table(spark, folder):
+    def totals(rows):
+        return rows.groupBy("k").agg(F.max("at").alias("at"), F.count("*").alias("n"))
+
+    loads = [load(spark, FIRST), load(spark, FIRST + SECOND), load(spark, FIRST + SECOND)]
+    found = {}
+    for n in (1, 4):
+        table = refresh.Versions(spark, f"{folder}/{n}")
+        for rows in loads:
+            refresh.incremental_aggregate(rows, table, ["k"], "at", totals, sinks.Parts(("k",), n))
+        found[n] = content(refresh.Versions(spark, f"{folder}/{n}").current())
+    assert found[4] == found[1] == content(totals(loads[-1]))
+
+
+def test_builds_differ_by_the_rows_one_has_more_often(spark, folder):
+    schema = "order_id bigint, line_no int, product_id bigint, load_ts int, v string"
+    a = [(1, 1, 1, 0, "x"), (1, 1, 1, 1, "x"), (2, 1, None, 0, None), (3, 1, 1, 0, "y")]
+    b = [(1, 1, 1, 0, "x"), (2, 1, None, 7, None), (3, 1, 1, 0, "z"), (3, 1, 1, 0, "z")]
+    before = shuffle_files(spark)
+    with building(spark), scratch(spark):
+        for drop in ([], ["product_id"]):
+            one, two = (spark.createDataFrame(rows, schema).drop(*drop) for rows in (a, b))
+            assert [tuple(r) for r in differing({"t": one}, {"t": two}, "t").collect()] == [("t", 4)]
+            assert [tuple(r) for r in differing({"t": one}, {"t": one}, "t").collect()] == [("t", 0)]
+        assert gone(spark, before)

@@ -10,7 +10,7 @@ from checks.queries import REGISTRY, differing
 from strata.operators import products, quality, refresh
 from strata.plans.layers import Model, quality_of, run_layers
 from strata.session import BUILDING, building, scratch
-from strata.sources import sinks
+from strata.sources import sinks, star
 from strata.sources.tables import read_table
 
 SMALL = "/root/testdata/sf0.001"
@@ -53,7 +53,8 @@ def test_every_row_is_in_one_part(spark):
 
 
 @pytest.mark.parametrize("partition_by", [(), ("g",)])
-def test_a_table_built_in_parts_has_the_same_rows_and_counts(spark, folder, partition_by):
+def test_a_table_built_in_parts_has_the_same_rows_and_counts(spark, folder, partition_by, monkeypatch):
+    monkeypatch.setattr("strata.plans.layers.PART_BYTES", 1)
     checks = [*quality.not_null("k"), quality.accepted_range("twice", high=300)]
 
     def model(name, parts):
@@ -72,7 +73,8 @@ def test_a_table_built_in_parts_has_the_same_rows_and_counts(spark, folder, part
     assert counts["parts"] == counts["whole"] and counts["whole"][0][1:] == (32, 220)
 
 
-def test_a_table_without_rows_is_built_in_parts(spark, folder):
+def test_a_table_without_rows_is_built_in_parts(spark, folder, monkeypatch):
+    monkeypatch.setattr("strata.plans.layers.PART_BYTES", 1)
     none = numbered(spark).where("v < 0")
     for name, by in (("flat", ()), ("folders", ("g",))):
         model = Model(name, "core", lambda t: t["rows"], by, parts=3, parts_by=("k",), checks=quality.not_null("k"))
@@ -244,3 +246,26 @@ def test_builds_differ_by_the_rows_one_has_more_often(spark, folder):
             assert [tuple(r) for r in differing({"t": one}, {"t": two}, "t").collect()] == [("t", 4)]
             assert [tuple(r) for r in differing({"t": one}, {"t": one}, "t").collect()] == [("t", 0)]
         assert gone(spark, before)
+
+
+def test_only_models_with_large_sources_are_built_in_parts(spark, monkeypatch):
+    model = Model("m", "core", lambda t: t["rows"], parts=4, parts_by=("order_id",))
+    lines = star.order_lines(spark, SMALL)
+    assert model.in_parts(lines).n == 1
+    monkeypatch.setattr("strata.plans.layers.PART_BYTES", 1000)
+    assert model.in_parts(lines) == sinks.Parts(("order_id",), 4)
+    assert model._replace(parts=1).in_parts(lines).n == 1
+
+
+def test_a_part_of_the_lines_leaves_the_scans_of_lines_and_orders_alone(spark):
+    """The other rows are not shuffled."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        part = sinks.Parts(("order_id",), 4).of(star.order_lines(spark, SMALL))[1]
+        text = part._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    for name in ("l_orderkey", "o_orderkey"):
+        assert any("pmod(xxhash64(" in line and f"{name}#" in line for line in text.splitlines() if "Filter" in line)
